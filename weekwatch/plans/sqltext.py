@@ -248,8 +248,8 @@ BLOCKS["gold"] = (
 )
 BLOCKS["series"] = (
     "SELECT s.*, CAST(p.city_population AS BIGINT) AS city_population, " + rate("s.cases", "p.city_population")
-    + " AS rate FROM (SELECT kind, epi_year, epi_week, week_start, CAST(sum(cases) AS BIGINT) AS cases, "
-    "row_number() OVER (PARTITION BY kind ORDER BY week_start) - 1 AS series_index FROM grid GROUP BY ALL) s "
+    + " AS rate FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY week_start) - 1 AS series_index FROM "
+    "(SELECT kind, epi_year, epi_week, week_start, CAST(sum(cases) AS BIGINT) AS cases FROM grid GROUP BY ALL)) s "
     "LEFT JOIN (SELECT epi_year, CAST(sum(population) AS BIGINT) AS city_population FROM pop GROUP BY 1) p USING (epi_year)"
 )
 
