@@ -44,6 +44,11 @@ def round_even(c: Column, digits: int) -> Column:
     return F.rint(c * scale) / scale
 
 
+def pct(part: Column, whole: Column, digits: int) -> Column:
+    """100 * part / whole, half-even; null for an empty whole."""
+    return round_even(F.try_divide(100.0 * part, whole), digits)
+
+
 def week_angle(week: Column) -> Column:
     return F.lit(2 * math.pi) * week / F.lit(53.0)
 

@@ -19,9 +19,13 @@ def average_rank(value: str, partition: list[str]) -> Column:
 
 
 def safe_corr(x: Column, y: Column) -> Column:
-    """Pearson correlation, null instead of NaN when a side is constant."""
-    r = F.corr(x, y)
-    return F.when((F.min(x) < F.max(x)) & (F.min(y) < F.max(y)), r)
+    """Pearson correlation over rows that have both; null when a side is constant.
+
+    Built from covariance and deviations: corr() itself divides by zero on a constant side.
+    """
+    a, b = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    spread = F.stddev_pop(a) * F.stddev_pop(b)
+    return F.when((F.min(a) < F.max(a)) & (F.min(b) < F.max(b)), F.try_divide(F.covar_pop(a, b), spread))
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, functions as F
 ACCENTED = "áàâãäåāăąéèêëēėęěíìîïīįóòôõöōőúùûüūůűųçćčñńňýÿžźżšśťďřğ"
 PLAIN = "aaaaaaaaaeeeeeeeeiiiiiiooooooouuuuuuuucccnnnyyzzzsstdrg"
 
+SPACES = " \t\n\r\f\x0b"
+
 # Known misspellings of place names -> official name.
 PLACE_CROSSWALK = {
     "ALTO STA TERESINHA": "ALTO SANTA TEREZINHA",
@@ -32,13 +34,14 @@ MASK_RULES = (
 
 
 def _blank_to_null(c: Column) -> Column:
-    trimmed = F.regexp_replace(c.cast("string"), r"^\s+|\s+$", "")
+    trimmed = F.btrim(c.cast("string"), F.lit(SPACES))
     return F.when((trimmed != "") & (F.lower(trimmed) != "nan"), trimmed)
 
 
 def clean_code(c: Column) -> Column:
     """Trim, blank or 'nan' to null, '12.0' to '12'; never a number, leading zeros stay."""
-    return F.regexp_replace(_blank_to_null(c), r"^(-?\d+)\.0$", "$1")
+    text = _blank_to_null(c)
+    return F.when(text.endswith(".0"), F.regexp_replace(text, r"^(-?\d+)\.0$", "$1")).otherwise(text)
 
 
 def clean_text(c: Column) -> Column:
@@ -52,7 +55,7 @@ def disease_code_key(c: Column) -> Column:
 
 def plain_lower(c: Column) -> Column:
     """Accent-free lower text; null becomes the empty string."""
-    lowered = F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r"^\s+|\s+$", ""))
+    lowered = F.lower(F.btrim(F.coalesce(c, F.lit("")), F.lit(SPACES)))
     return F.translate(lowered, ACCENTED, PLAIN)
 
 

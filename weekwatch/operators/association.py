@@ -81,7 +81,7 @@ def weighted_corr(x: str, y: str, n: str):
     cov = F.sum(w * a * b) - F.sum(w * a) * F.sum(w * b) / sw
     va = F.sum(w * a * a) - F.sum(w * a) * F.sum(w * a) / sw
     vb = F.sum(w * b * b) - F.sum(w * b) * F.sum(w * b) / sw
-    return F.when((F.min(a) < F.max(a)) & (F.min(b) < F.max(b)), cov / F.sqrt(va * vb))
+    return F.when((F.min(a) < F.max(a)) & (F.min(b) < F.max(b)), F.try_divide(cov, F.sqrt(va * vb)))
 
 
 def correlation_matrix(grid: DataFrame, columns: Sequence[str] = MATRIX_COLUMNS) -> DataFrame:

@@ -26,8 +26,8 @@ def dense_index(df: DataFrame, order: Sequence[Column], name: str = "index") ->
 def resample(units: DataFrame, n: Column, draws: int = 2000, seed: int = 42) -> DataFrame:
     """(draw, index, weight): n indices drawn with replacement per draw, equal draws merged."""
     spark = units.sparkSession
-    slots = spark.range(draws).withColumnRenamed("id", "draw").withColumn("_s", F.explode(F.sequence(F.lit(0).cast("bigint"), n.cast("bigint") - 1)))
-    at = F.pmod(F.xxhash64(F.lit(seed), "draw", "_s"), n)
+    slots = spark.range(draws).withColumnRenamed("id", "draw").withColumn("_s", F.explode(F.when(n > 0, F.sequence(F.lit(0).cast("bigint"), n.cast("bigint") - 1))))
+    at = F.pmod(F.xxhash64(F.lit(seed), "draw", "_s"), F.nullif(n, F.lit(0)))
     return slots.groupBy("draw", at.alias("index")).agg(F.count(F.lit(1)).alias("weight"))
 
 

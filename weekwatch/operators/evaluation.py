@@ -40,7 +40,7 @@ def ranking_metrics(scores: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
     neg = F.col("n") - F.col("pos")
     below_neg = (F.col("cum_n") - F.col("cum_pos")) - neg
     agg = [
-        F.sum(F.col("pos") / F.col("all_pos") * (tp / listed)).alias("average_precision"),
+        F.sum(F.try_divide(F.col("pos"), F.col("all_pos")) * (tp / listed)).alias("average_precision"),
         F.sum(F.col("pos") * (below_neg + neg / 2.0)).alias("_wins"),
         F.max("all_pos").alias("n_positive"), F.max("all_n").alias("n"),
     ]
@@ -77,7 +77,7 @@ def classification_metrics(df: DataFrame, score: str, label: str, threshold: flo
     conf = threshold_table(s, [threshold])
     rank = ranking_metrics(s)
     row = rank.select(F.struct("average_precision", "roc_auc", "n_positive", "n").alias("r")).scalar()
-    return conf.withColumn("_r", row).select("*", "_r.*").drop("_r").withColumn("prevalence", F.col("n_positive") / F.col("n"))
+    return conf.withColumn("_r", row).select("*", "_r.*").drop("_r").withColumn("prevalence", F.try_divide(F.col("n_positive"), F.col("n")))
 
 
 def calibration_bins(df: DataFrame, score: str, label: str, bins: int = 10) -> DataFrame:
@@ -155,7 +155,7 @@ def fold_sizes(df: DataFrame, test_years: Sequence[int]) -> DataFrame:
 
 def lift(table: DataFrame) -> DataFrame:
     """Average precision over prevalence; null when nothing is positive."""
-    prevalence = F.col("n_positive") / F.col("n")
+    prevalence = F.try_divide(F.col("n_positive"), F.col("n"))
     return table.withColumn("prevalence", prevalence).withColumn(
         "lift", F.col("average_precision") / F.when(F.col("prevalence") > 0, F.col("prevalence"))
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from weekwatch.functions.numbers import rate_100k, round_even
+from weekwatch.functions.numbers import pct, rate_100k, round_even
 from weekwatch.operators.weather import real_cell_rows, real_station_rows
 
 WEEK = ["epi_year", "epi_week"]
@@ -47,7 +47,7 @@ def kpis(grid: DataFrame) -> DataFrame:
         F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"),
         F.countDistinct(F.when(F.col("cases") > 0, F.col("place"))).alias("places_with_case"),
         F.countDistinct(F.when(_has_station(), F.col("place"))).alias("places_with_reading"),
-        round_even(100.0 * F.count_if(_has_station()) / F.count(F.lit(1)), 4).alias("pct_rows_with_reading"),
+        pct(F.count_if(_has_station()), F.count(F.lit(1)), 4).alias("pct_rows_with_reading"),
     )
 
 
@@ -87,10 +87,10 @@ def station_coverage(grid: DataFrame) -> DataFrame:
     return grid.agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.count_if(has).alias("rows_with_reading"),
-        round_even(100.0 * F.count_if(has) / F.count(F.lit(1)), 4).alias("pct_rows"),
+        pct(F.count_if(has), F.count(F.lit(1)), 4).alias("pct_rows"),
         with_places.alias("places_with_reading"),
         n_places.alias("n_places"),
-        round_even(100.0 * with_places / n_places, 2).alias("pct_places"),
+        pct(with_places, n_places, 2).alias("pct_places"),
         F.array_join(F.transform(F.array_sort(F.collect_set(F.when(has, F.col("epi_year")))), lambda y: y.cast("string")), ",").alias("years"),
         F.countDistinct(F.when(has, F.col("station"))).alias("n_stations"),
         F.array_join(F.array_sort(F.collect_set(F.when(has, F.col("source")))), ",").alias("sources"),
@@ -104,9 +104,9 @@ def station_coverage_by_year(grid: DataFrame) -> DataFrame:
     return grid.groupBy("epi_year").agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.count_if(has).alias("rows_with_reading"),
-        round_even(100.0 * F.count_if(has) / F.count(F.lit(1)), 4).alias("pct_rows"),
+        pct(F.count_if(has), F.count(F.lit(1)), 4).alias("pct_rows"),
         with_places.alias("places_with_reading"),
-        round_even(100.0 * with_places / n_places, 2).alias("pct_places"),
+        pct(with_places, n_places, 2).alias("pct_places"),
     )
 
 
@@ -114,7 +114,7 @@ def station_coverage_by_place(grid: DataFrame) -> DataFrame:
     weeks = grid.agg(F.countDistinct(F.col("epi_year") * 100 + F.col("epi_week")).alias("n")).select("n").scalar()
     has = _has_station()
     return grid.groupBy("place", "place_name").agg(F.count_if(has).alias("rows_with_reading")).withColumn(
-        "pct_weeks", round_even(100.0 * F.col("rows_with_reading") / weeks, 2)
+        "pct_weeks", pct(F.col("rows_with_reading"), weeks, 2)
     )
 
 
@@ -123,7 +123,7 @@ def station_coverage_grid(grid: DataFrame) -> DataFrame:
     n_places = grid.agg(F.countDistinct("place").alias("n")).select("n").scalar()
     return grid.groupBy(*WEEK).agg(
         F.countDistinct(F.when(_has_station(), F.col("place"))).alias("places_with_reading")
-    ).withColumn("pct_places", round_even(100.0 * F.col("places_with_reading") / n_places, 2))
+    ).withColumn("pct_places", pct(F.col("places_with_reading"), n_places, 2))
 
 
 def rain_series(grid: DataFrame) -> DataFrame:
@@ -137,7 +137,7 @@ def rate_coverage_by_year(grid: DataFrame) -> DataFrame:
     return grid.groupBy("epi_year").agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.count("rate_1w").alias("rows_with_rate"),
-        round_even(100.0 * F.count("rate_1w") / F.count(F.lit(1)), 2).alias("pct_rows"),
+        pct(F.count("rate_1w"), F.count(F.lit(1)), 2).alias("pct_rows"),
     )
 
 
@@ -147,7 +147,7 @@ def cell_coverage(grid: DataFrame) -> DataFrame:
     return grid.agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.count_if(has).alias("rows_with_cell"),
-        round_even(100.0 * F.count_if(has) / F.count(F.lit(1)), 4).alias("pct_rows"),
+        pct(F.count_if(has), F.count(F.lit(1)), 4).alias("pct_rows"),
         F.countDistinct(F.when(has, F.col("rain_cell"))).alias("n_rain_cells"),
         F.countDistinct(F.when(has, F.col("temp_cell"))).alias("n_temp_cells"),
     ).withColumn("distinct_values_median", weekly.agg(F.percentile("n", 0.5).alias("m")).select("m").scalar())
@@ -157,8 +157,8 @@ def double_coverage_by_year(grid: DataFrame) -> DataFrame:
     n = F.count(F.lit(1))
     return grid.groupBy("epi_year").agg(
         n.alias("n_rows"),
-        round_even(100.0 * F.count_if(_has_station("cell_rain_valid_days")) / n, 2).alias("pct_cell"),
-        round_even(100.0 * F.count_if(_has_station()) / n, 2).alias("pct_station"),
+        pct(F.count_if(_has_station("cell_rain_valid_days")), n, 2).alias("pct_cell"),
+        pct(F.count_if(_has_station()), n, 2).alias("pct_station"),
     )
 
 
@@ -224,7 +224,7 @@ def small_places(states: DataFrame) -> DataFrame:
     per = states.groupBy("place").agg(F.percentile("population", 0.5).alias("median_population"))
     cut = per.agg(F.percentile("median_population", 0.25).alias("q")).select("q").scalar()
     small = per.select("place", (F.col("median_population") <= cut).alias("small"))
-    return states.join(F.broadcast(small), "place").groupBy("small").agg(
+    return states.join(small, "place").groupBy("small").agg(
         F.countDistinct("place").alias("n_places"),
         F.count_if(F.col("state_rate") == 1).alias("weekly_events"),
         F.count_if(F.col("state_rate_4w") == 1).alias("four_week_events"),

@@ -123,18 +123,19 @@ def custom_forecasts(train: DataFrame, targets: DataFrame, name: str, model: Cal
     """A user's model(train_frame, target_frame) -> values, one series and fold at a time in its own task."""
     import pandas as pd
 
+    columns = ["kind", "fold", "method", "epi_year", "epi_week", "week_start", "step", "actual", "predicted"]
     schema = "kind string, fold int, method string, epi_year int, epi_week int, week_start date, step int, actual double, predicted double"
 
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        left, right = rows[rows["_train"]], rows[~rows["_train"]]
         if left.empty or right.empty:
-            return pd.DataFrame(columns=["kind", "fold", "method", "epi_year", "epi_week", "week_start", "step", "actual", "predicted"])
+            return pd.DataFrame(columns=columns)
         right = right.sort_values("epi_week")
-        out = right[["kind", "fold", "epi_year", "epi_week", "week_start", "step", "actual"]].copy()
-        out["method"] = name
-        out["predicted"] = [max(0.0, float(v)) for v in model(left.sort_values("series_index"), right)]
-        return out[["kind", "fold", "method", "epi_year", "epi_week", "week_start", "step", "actual", "predicted"]]
+        values = [max(0.0, float(v)) for v in model(left.sort_values("series_index"), right)]
+        return right.assign(method=name, predicted=values)[columns]
 
-    return train.groupBy(*Series).cogroup(targets.groupBy(*Series)).applyInPandas(run, schema)
+    both = train.withColumn("_train", F.lit(True)).unionByName(targets.withColumn("_train", F.lit(False)), allowMissingColumns=True)
+    return both.groupBy(*Series).applyInPandas(run, schema)
 
 
 def all_forecasts(series: DataFrame, folds: Sequence[int], with_holt_winters: bool = True) -> DataFrame:

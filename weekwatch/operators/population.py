@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from weekwatch.functions.numbers import round_even
+from weekwatch.functions.numbers import pct, round_even
 
 SMALL_PLACE = 1000
 HIGH_GROWTH_PCT = 50.0
@@ -28,13 +28,13 @@ def scaled_growth(anchors: DataFrame, first_year: int, last_year: int, years: Se
     `anchors` has (place, p0, p1); without a total the factor is 1.
     """
     span = last_year - first_year
-    growth = F.pow(F.col("p1") / F.col("p0"), F.lit(1.0 / span))
+    growth = F.pow(F.try_divide(F.col("p1"), F.col("p0")), F.lit(1.0 / span))
     prelim = anchors.withColumn("epi_year", F.explode(F.array(*[F.lit(y) for y in years]))).withColumn(
         "_prelim", F.col("p0") * F.pow(growth, (F.col("epi_year") - first_year).cast("double"))
     )
     sums = prelim.groupBy("epi_year").agg(F.sum("_prelim").alias("_sum"))
     factor = sums.join(totals, "epi_year", "left").select(
-        "epi_year", F.col("total").alias("reference_total"), F.coalesce(F.col("total") / F.col("_sum"), F.lit(1.0)).alias("factor")
+        "epi_year", F.col("total").alias("reference_total"), F.coalesce(F.try_divide(F.col("total"), F.col("_sum")), F.lit(1.0)).alias("factor")
     )
     return prelim.join(F.broadcast(factor), "epi_year").select(
         "place", "epi_year", (F.col("_prelim") * F.col("factor")).alias("population"), "reference_total", "factor"
@@ -47,7 +47,7 @@ def hold_out(checkpoints: DataFrame, first: tuple[str, int], middle: tuple[str,
     pred = scaled_growth(anchors, first[1], last[1], [middle[1]], totals).select("place", F.col("population").alias("predicted"))
     out = pred.join(checkpoints.select("place", F.col(middle[0]).cast("double").alias("real")), "place", "left")
     err = F.col("predicted") - F.col("real")
-    return out.withColumns({"abs_error": F.abs(err), "pct_error": 100.0 * F.abs(err) / F.col("real"), "bias": err})
+    return out.withColumns({"abs_error": F.abs(err), "pct_error": F.try_divide(100.0 * F.abs(err), F.col("real")), "bias": err})
 
 
 def hold_out_summary(held: DataFrame) -> DataFrame:
@@ -63,7 +63,7 @@ def hold_out_summary(held: DataFrame) -> DataFrame:
 
 def atypical_places(checkpoints: DataFrame, start: str, end: str, small: int = SMALL_PLACE) -> DataFrame:
     """Small, fast growing or shrinking places; reported, never smoothed."""
-    change = 100.0 * (F.col(end) - F.col(start)) / F.col(start)
+    change = F.try_divide(100.0 * (F.col(end) - F.col(start)), F.col(start))
     return checkpoints.select(
         "place", F.col(start).alias("population_start"), F.col(end).alias("population_end"), change.alias("change_pct"),
         (F.col(end) < small).alias("very_small"), (change > HIGH_GROWTH_PCT).alias("high_growth"), (change < 0).alias("shrinking"),
@@ -78,8 +78,8 @@ def projections(checkpoints: DataFrame, a: tuple[str, int], b: tuple[str, int],
     last = F.col(c[0]).cast("double")
     factor = {
         "fixed_share": F.lit(1.0),
-        "long_trend": F.pow(last / F.col(a[0]), F.lit(1.0 / (c[1] - a[1]))),
-        "recent_trend": F.pow(last / F.col(b[0]), F.lit(1.0 / (c[1] - b[1]))),
+        "long_trend": F.pow(F.try_divide(last, F.col(a[0])), F.lit(1.0 / (c[1] - a[1]))),
+        "recent_trend": F.pow(F.try_divide(last, F.col(b[0])), F.lit(1.0 / (c[1] - b[1]))),
     }
     items = F.array(*[F.struct(F.lit(m).alias("method"), factor[m].alias("g")) for m in METHODS])
     raw = (
@@ -96,7 +96,7 @@ def projections(checkpoints: DataFrame, a: tuple[str, int], b: tuple[str, int],
 def growth_dispersion(projected: DataFrame) -> DataFrame:
     """Per method: mean over years of the spread over places of yearly growth (sample deviation)."""
     w = W.partitionBy("method", "place").orderBy("epi_year")
-    grown = projected.withColumn("g", F.col("population") / F.lag("population").over(w) - 1).where(F.col("g").isNotNull())
+    grown = projected.withColumn("g", F.try_divide(F.col("population"), F.lag("population").over(w)) - 1).where(F.col("g").isNotNull())
     return grown.groupBy("method", "epi_year").agg(F.stddev_samp("g").alias("s")).groupBy("method").agg(F.avg("s").alias("dispersion"))
 
 
@@ -143,13 +143,13 @@ def reconciliation(series: DataFrame, totals: DataFrame) -> DataFrame:
     diff = F.col("places_total") - F.col("total")
     return sums.join(totals, "epi_year", "left").select(
         "epi_year", "places_total", F.col("total").alias("official_total"), diff.alias("difference"),
-        round_even(100.0 * diff / F.col("total"), 4).alias("difference_pct"),
+        pct(diff, F.col("total"), 4).alias("difference_pct"),
     )
 
 
 def signed_errors(held: DataFrame) -> DataFrame:
     """Signed percentage errors of the hold-out: the sample the perturbation draws from."""
-    return held.select((100.0 * F.col("bias") / F.col("real")).alias("error_pct")).where(F.col("error_pct").isNotNull())
+    return held.select(F.try_divide(100.0 * F.col("bias"), F.col("real")).alias("error_pct")).where(F.col("error_pct").isNotNull())
 
 
 def perturbed(population: DataFrame, errors: DataFrame, replicas: int = 20, seed: int = 42, types: Sequence[str] = ("estimativa", "projecao")) -> DataFrame:
@@ -160,7 +160,7 @@ def perturbed(population: DataFrame, errors: DataFrame, replicas: int = 20, seed
     """
     sample = errors.agg(F.array_sort(F.collect_list("error_pct")).alias("e")).select("e").scalar()
     copies = population.withColumn("replica", F.explode(F.sequence(F.lit(0), F.lit(replicas - 1)))).withColumn("_e", sample)
-    index = F.pmod(F.xxhash64(F.lit(seed), "replica", "place", "epi_year"), F.size("_e")).cast("int") + 1
+    index = F.pmod(F.xxhash64(F.lit(seed), "replica", "place", "epi_year"), F.nullif(F.size("_e"), F.lit(0))).cast("int") + 1
     drawn = F.element_at("_e", index)
     value = F.when(F.col("population_type").isin(*types), F.greatest(F.lit(1.0), F.rint(F.col("population") * (1 + drawn / 100)))).otherwise(F.col("population"))
     return copies.withColumn("population", value.cast("bigint")).drop("_e")

@@ -64,7 +64,7 @@ def situation(priority: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_places"),
         F.sum("population").alias("_pop"),
     )
-    change = F.when(F.col("cases_before") > 0, round_even(100.0 * (F.col("cases_recent") - F.col("cases_before")) / F.col("cases_before"), 1))
+    change = F.when(F.col("cases_before") > 0, pct((F.col("cases_recent") - F.col("cases_before")), F.col("cases_before"), 1))
     return out.withColumns(
         {"change_pct": change, "rate_recent": rate_100k(F.col("cases_recent"), F.col("_pop"))}
     ).withColumn("trend", trend_label(F.col("change_pct"))).drop("_pop")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from weekwatch.contracts import GRID_KEY
-from weekwatch.functions.numbers import round_even
+from weekwatch.functions.numbers import pct, round_even
 
 # Patterns of the inferred kinds, tried in this order.
 KIND_PATTERNS = (("data", r"^\d{2}/\d{2}/\d{4}$"), ("inteiro", r"^-?\d+$"), ("decimal", r"^-?\d+[.,]\d+$"))
@@ -37,7 +37,7 @@ def column_profile(df: DataFrame, file: str | None = None) -> DataFrame:
         kind = kind.when(F.col(f"_{k}"), k)
     return agg.select(
         *keys, "column_name", kind.otherwise("texto").alias("kind"), "n_rows", "n_null",
-        round_even(100.0 * F.col("n_null") / F.col("n_rows"), 2).alias("pct_null"), "n_distinct",
+        pct(F.col("n_null"), F.col("n_rows"), 2).alias("pct_null"), "n_distinct",
     )
 
 
@@ -68,7 +68,7 @@ def null_profile(df: DataFrame) -> DataFrame:
     """Nulls per column of a wide table, one pass."""
     n = df.agg(F.count(F.lit(1)).alias("_rows"), *[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns])
     return n.unpivot(["_rows"], list(df.columns), "column_name", "n_null").select(
-        "column_name", "n_null", round_even(100.0 * F.col("n_null") / F.col("_rows"), 4).alias("pct_null")
+        "column_name", "n_null", pct(F.col("n_null"), F.col("_rows"), 4).alias("pct_null")
     )
 
 
@@ -85,7 +85,7 @@ def grid_profile(grid: DataFrame, key: Sequence[str] = GRID_KEY) -> DataFrame:
         F.min("week_start").alias("first_day"), F.max("week_end").alias("last_day"),
         F.sum(c).alias("cases"), round_even(F.avg(c), 4).alias("cases_mean"), F.percentile(c, 0.5).alias("cases_median"),
         F.max(c).alias("cases_max"), F.min(c).alias("cases_min"), F.count_if(c > 0).alias("rows_with_case"), F.count_if(c < 0).alias("rows_negative"),
-        round_even(100.0 * F.count_if(c > 0) / n, 4).alias("pct_with_case"),
+        pct(F.count_if(c > 0), n, 4).alias("pct_with_case"),
         F.count_if(has).alias("rows_with_reading"), F.count_if(F.col("rain_week") < 0).alias("negative_rain"),
         round_even(F.avg(F.when(has, F.col("rain_week"))), 4).alias("rain_mean"), F.max(F.when(has, F.col("rain_week"))).alias("rain_max"),
         F.min(F.when(has, F.col("week_start"))).alias("reading_first"), F.max(F.when(has, F.col("week_end"))).alias("reading_last"),

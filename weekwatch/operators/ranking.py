@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from weekwatch.contracts import ALERT_WINDOW, TOP_K
-from weekwatch.functions.numbers import round_even
+from weekwatch.functions.numbers import pct, round_even
 
 EP = ["place", "kind", "start_index"]
 
@@ -23,7 +23,7 @@ def relative_score(df: DataFrame, score: str, by: Sequence[str] = ("kind", "week
     up = W.partitionBy(*by).orderBy(F.asc_nulls_first(score), F.desc("place"))
     n = F.count(F.lit(1)).over(W.partitionBy(*by))
     return df.withColumn(
-        "priority_score", round_even(100.0 * (F.row_number().over(up) - 1) / F.greatest(n - 1, F.lit(1)), 1)
+        "priority_score", pct((F.row_number().over(up) - 1), F.greatest(n - 1, F.lit(1)), 1)
     )
 
 
@@ -237,7 +237,7 @@ def episode_master(features: DataFrame, eps: DataFrame, states: DataFrame, place
         F.min("lead_weeks").alias("lead_weeks"),
         *[F.max(F.coalesce((F.col("best_position") <= k).cast("int"), F.lit(0))).alias(f"hit_{k}") for k in ks],
     )
-    with_region = wide.join(F.broadcast(places.select("place", "region")), "place", "left")
+    with_region = wide.join(places.select("place", "region"), "place", "left")
     return active_before(states, with_region)
 
 

@@ -24,7 +24,7 @@ def add_rates(grid: DataFrame) -> DataFrame:
     trail = W.partitionBy("place", "kind").orderBy("week_index")
     pop = F.col("population")
     out = {
-        "density": round_even(pop / F.col("area_km2"), 2),
+        "density": round_even(F.try_divide(pop, F.col("area_km2")), 2),
         "rate_1w": rate_100k(F.col("cases"), pop),
     }
     for name, n in ROLLING.items():
@@ -64,6 +64,6 @@ def city_series(grid: DataFrame) -> DataFrame:
     out = weekly.withColumn("series_index", F.row_number().over(order) - 1)
     if "population" not in grid.columns:
         return out.withColumn("city_population", F.lit(None).cast("bigint")).withColumn("rate", F.lit(None).cast("double"))
-    return out.join(F.broadcast(city_population(grid)), ["kind", "epi_year"], "left").withColumn(
+    return out.join(city_population(grid), ["kind", "epi_year"], "left").withColumn(
         "rate", rate_100k(F.col("cases"), F.col("city_population"))
     )

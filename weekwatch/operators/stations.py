@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from weekwatch.contracts import STATION_IDLE_DAYS, STATION_SOURCES
 from weekwatch.functions import geo
-from weekwatch.functions.numbers import round_even
+from weekwatch.functions.numbers import pct, round_even
 from weekwatch.functions.text import clean_text
 from weekwatch.operators import routing
 
@@ -171,7 +171,7 @@ def mapping_coverage(mapping: DataFrame, total_places: Column) -> DataFrame:
         F.count_if("own_station").alias("n_own"), F.count_if(~F.col("own_station")).alias("n_other"),
     ).select(
         "n_mapped", "n_stations",
-        round_even(100.0 * F.col("n_mapped") / total_places, 2).alias("pct_mapped"),
+        pct(F.col("n_mapped"), total_places, 2).alias("pct_mapped"),
         round_even(F.col("mean"), 3).alias("km_mean"),
         round_even(F.col("q")[0], 3).alias("km_median"),
         round_even(F.col("q")[1], 3).alias("km_p90"),
@@ -226,8 +226,8 @@ def station_profile(hourly: DataFrame) -> DataFrame:
     return out.withColumns(
         {
             "expected_days": expected,
-            "coverage_pct": round_even(100.0 * F.col("days") / expected, 2),
-            "null_pct": round_even(100.0 * (F.col("n_rows") - F.col("_r")) / F.col("n_rows"), 2),
+            "coverage_pct": pct(F.col("days"), expected, 2),
+            "null_pct": pct((F.col("n_rows") - F.col("_r")), F.col("n_rows"), 2),
         }
     ).drop("_r")
 

@@ -142,12 +142,13 @@ def dense_daily(daily: DataFrame, keys: Sequence[str] = ("station",)) -> DataFra
 def trailing_daily(dense: DataFrame, keys: Sequence[str] = ("station",)) -> DataFrame:
     """ROWS frames over the dense series: what a rolling window with min_periods=1 gives each day."""
     w = W.partitionBy(*keys).orderBy("day")
+    # counts are whole numbers, so differences of a running count are exact and need no frame
+    run = dense.withColumn("_n", F.count("rain_mm").over(w.rowsBetween(W.unboundedPreceding, 0)))
     out = {}
     for n in DAYS:
-        frame = w.rowsBetween(-(n - 1), 0)
-        out[f"rain_{n}d"] = F.sum("rain_mm").over(frame)
-        out[f"valid_days_{n}d"] = F.count("rain_mm").over(frame)
-    return dense.withColumns(out)
+        out[f"rain_{n}d"] = F.sum("rain_mm").over(w.rowsBetween(-(n - 1), 0))
+        out[f"valid_days_{n}d"] = F.col("_n") - F.coalesce(F.lag("_n", n).over(w), F.lit(0))
+    return run.withColumns(out).drop("_n")
 
 
 def cell_windows(cells: DataFrame, rain_layer: str = "ERA5", temp_layer: str = "ERA5-LAND") -> tuple[DataFrame, DataFrame]:

@@ -336,7 +336,7 @@ SELECT region, coalesce(a, 0) AS n_a, coalesce(b, 0) AS n_b FROM (SELECT region,
 FULL JOIN (SELECT region, count(*) AS b FROM reps JOIN places USING (place) GROUP BY 1) USING (region)""", _OV))
 def episode_overlap_by_region(spark, sf):
     s = with_rates(spark, sf)
-    regions = F.broadcast(T.places(spark, sf).select("place", "region"))
+    regions = T.places(spark, sf).select("place", "region")
     a = E.episodes(threshold.alert_state(s)).join(regions, "place")
     b = E.episodes(threshold.alert_state(s, "rate_1w", suffix="_rate"), "state_rate").join(regions, "place")
     return E.overlap_by(a, b, "region")

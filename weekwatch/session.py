@@ -26,12 +26,16 @@ def get_session(app: str = "weekwatch", cores: str = "*", shuffle: int = 8) -> S
     return spark
 
 
+_local: dict[str, str] = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder named by the cluster; a temporary one only where none is set (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """Shared folder named by the cluster; a temporary one only in a local session that names none."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or _local.get(spark.sparkContext.applicationId)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="weekwatch-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        folder = _local[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="weekwatch-ckpt-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
     return folder

@@ -6,8 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, types as T
 
-from py4j.protocol import Py4JJavaError  # noqa: F401  (raised by Hadoop file calls)
-
 
 def distinct_columns(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
     """Scan of a few columns only; Parquet reads nothing else."""
@@ -20,6 +18,24 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def list_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, uri, length) of every file under a path or glob, empty files included: scans leave those out.
+
+    Listing is name-node work that Spark's own file index also does on the driver.
+    """
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = []
+    for top in fs.globStatus(root) or []:
+        walk = fs.listFiles(top.getPath(), True)
+        while walk.hasNext():
+            f = walk.next()
+            if not f.getPath().getName().startswith(("_", ".")):
+                found.append((f.getPath().toString(), f.getPath().toUri().toString(), f.getLen()))
+    return spark.createDataFrame(found, "path string, uri string, length bigint")
+
+
 def read_prefix(spark: SparkSession, prefix: str, schema: T.StructType) -> DataFrame:
     """Every partition under a prefix as one table; an absent prefix is an empty table."""
     if not path_exists(spark, prefix):
@@ -29,11 +45,4 @@ def read_prefix(spark: SparkSession, prefix: str, schema: T.StructType) -> DataF
 
 def write_years(df: DataFrame, path: str, partition: str = "ano") -> None:
     """One folder per year; a rerun replaces only the years it brings."""
-    (
-        df.repartition(partition)
-        .sortWithinPartitions(*[c for c in df.columns if c in ("place", "station")])
-        .write.partitionBy(partition)
-        .mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .parquet(path)
-    )
+    df.write.partitionBy(partition).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)

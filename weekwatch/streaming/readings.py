@@ -50,7 +50,7 @@ def merge_latest(readings: DataFrame, table: str, keys: Sequence[str], order: Se
             return
         if path_exists(spark, table):
             old = spark.read.schema(batch.schema).parquet(table)
-            touched = F.broadcast(batch.select(partition).distinct())
+            touched = batch.select(partition).distinct()
             merged = old.join(touched, partition, "left_semi").unionByName(batch)
         else:
             merged = batch
