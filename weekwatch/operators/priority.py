@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from weekwatch.contracts import SEASON_HALF_WIDTH
 from weekwatch.functions.numbers import (
-    RATIO_EPS, TREND_UP, change_pct, rate_100k, round_even, trend_label,
+    RATIO_EPS, TREND_UP, change_pct, pct, rate_100k, round_even, trend_label,
 )
 
 RECENT = 4

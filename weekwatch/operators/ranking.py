@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from weekwatch.contracts import ALERT_WINDOW, TOP_K
-from weekwatch.functions.numbers import pct, round_even
+from weekwatch.functions.numbers import pct
 
 EP = ["place", "kind", "start_index"]
 

@@ -140,15 +140,22 @@ def dense_daily(daily: DataFrame, keys: Sequence[str] = ("station",)) -> DataFra
 
 
 def trailing_daily(dense: DataFrame, keys: Sequence[str] = ("station",)) -> DataFrame:
-    """ROWS frames over the dense series: what a rolling window with min_periods=1 gives each day."""
+    """What a rolling window with min_periods=1 gives each day of the dense series.
+
+    Every window is a whole number of weeks, so one 7-row frame is computed and the longer sums
+    add its values of 7, 14 and 21 rows before: a quarter of the frame work.
+    """
     w = W.partitionBy(*keys).orderBy("day")
-    # counts are whole numbers, so differences of a running count are exact and need no frame
-    run = dense.withColumn("_n", F.count("rain_mm").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    out = {}
+    week = w.rowsBetween(-6, 0)
+    base = dense.withColumns({"_s": F.sum("rain_mm").over(week), "_n": F.count("rain_mm").over(week)})
+    zero = F.lit(0)
+    out, total, days = {}, F.coalesce("_s", zero), F.col("_n")
     for n in DAYS:
-        out[f"rain_{n}d"] = F.sum("rain_mm").over(w.rowsBetween(-(n - 1), 0))
-        out[f"valid_days_{n}d"] = F.col("_n") - F.coalesce(F.lag("_n", n).over(w), F.lit(0))
-    return run.withColumns(out).drop("_n")
+        if n > 7:
+            total = total + F.coalesce(F.lag("_s", n - 7).over(w), zero)
+            days = days + F.coalesce(F.lag("_n", n - 7).over(w), zero)
+        out[f"rain_{n}d"], out[f"valid_days_{n}d"] = F.when(days > 0, total), days
+    return base.withColumns(out).drop("_s", "_n")
 
 
 def cell_windows(cells: DataFrame, rain_layer: str = "ERA5", temp_layer: str = "ERA5-LAND") -> tuple[DataFrame, DataFrame]:

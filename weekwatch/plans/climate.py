@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weekwatch.contracts import CELL_LIMITS
 from weekwatch.functions import geo
 from weekwatch.functions.numbers import round_even
 from weekwatch.operators import association as A, explore, rates, routing, stations as S, weather as Wx

@@ -4,11 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weekwatch.functions.numbers import round_even
 from weekwatch.operators import bootstrap as B, episodes as E, evaluation as V, features as X, learning as L, ranking as R
-from weekwatch.plans import tables as T
 from weekwatch.plans.registry import query
-from weekwatch.plans.sqltext import r, sql, sunday
+from weekwatch.plans.sqltext import onset_block, r, sql, sunday
 from weekwatch.plans.weekly import _RATE_STATES, master, rounded, with_features, with_rates, with_states
 from weekwatch.session import cut_lineage
 from weekwatch.streaming import readings as SR, weekly as SW
@@ -59,10 +57,21 @@ def state_dataset(spark, sf):
     return d.select(*KEY, "label", "rising_weeks", "max_4w")
 
 
-@query("rate_onset_dataset")
+_RATED = {
+    **_RATE_STATES,
+    "rons": onset_block("rstates", "state", "rate_onset_h"),
+    "rfull": """SELECT f.*, o.rate_onset_h3, o.rate_1w AS rate_t, lag(o.rate_1w, 1) OVER w AS rate_lag_1, lag(o.rate_1w, 2) OVER w AS rate_lag_2, lag(o.rate_1w, 3) OVER w AS rate_lag_3, lag(o.rate_1w, 4) OVER w AS rate_lag_4,
+ o.rate_1w - lag(o.rate_1w, 1) OVER w AS rate_delta, o.state AS rate_state_t, o.rate_1w / (o.threshold + 1) AS rate_threshold_ratio, (o.rate_1w - o.week_mean) / (o.week_std + 1) AS rate_deviation
+ FROM feats f JOIN rons o USING (place, kind, week_index) WINDOW w AS (PARTITION BY f.place, f.kind ORDER BY week_index)""",
+}
+_RNAMES = X.variant_names("v2_casos_incidencia")
+_RR = [*_XR, "rate_t", "rate_lag_1", "rate_lag_2", "rate_lag_3", "rate_lag_4", "rate_4w", "rate_8w", "rate_delta", "rate_threshold_ratio", "rate_deviation"]
+
+
+@query("rate_onset_dataset", sql("SELECT place, kind, week_index, CAST(rate_onset_h3 AS BIGINT) AS label, " + ", ".join(f"{r(c, 5)} AS {c}" if c in _RR else c for c in _RNAMES) + f" FROM rfull WHERE rate_onset_h3 IS NOT NULL AND {_nn(_RNAMES)}", _RATED))
 def rate_onset_dataset(spark, sf):
     d, names = L.rate_onset_dataset(with_rates(spark, sf))
-    return d.select(*KEY, "label", *names)
+    return rounded(d.select(*KEY, "label", *names), **{c: 5 for c in _RR})
 
 
 def small_set(spark, sf):

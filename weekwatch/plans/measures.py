@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weekwatch.functions.numbers import round_even
 from weekwatch.operators import episodes as E, evaluation as V, population as Pop, profile, rates, threshold
 from weekwatch.plans import climate, tables as T
 from weekwatch.plans.registry import query
 from weekwatch.plans.sqltext import r, sql
-from weekwatch.plans.weekly import rounded, with_features, with_rate_features, with_rates, with_states
+from weekwatch.plans.weekly import rounded, with_features, with_rate_features, with_states
 
 A, B, C = ("p95", 1995), ("p98", 1998), ("p00", 2000)
 

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weekwatch.functions import dates
-from weekwatch.operators import association, explore, forecasting as M, gates, rates, routing, star
+from weekwatch.operators import association, forecasting as M, gates, rates, routing, star
 from weekwatch.plans import climate, tables as T
 from weekwatch.plans.registry import query
 from weekwatch.plans.sqltext import r, rate, sql, week_one

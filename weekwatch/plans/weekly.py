@@ -8,7 +8,7 @@ from weekwatch.functions.numbers import round_even
 from weekwatch.operators import episodes as E, explore, features as X, grid as G, priority as P, ranking as R, rates, threshold
 from weekwatch.plans import tables as T
 from weekwatch.plans.registry import query
-from weekwatch.plans.sqltext import BLOCKS, pct_change, r, rate, sql, state_block, episode_block, onset_block, trend, week_one
+from weekwatch.plans.sqltext import pct_change, r, rate, sql, state_block, episode_block, onset_block, trend, week_one
 
 SCORES = {"history": "threshold_ratio", "growth": "growth", "recent": "recent_ratio"}
 
