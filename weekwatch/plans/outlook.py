@@ -245,10 +245,10 @@ def weekly_measures(spark, sf):
 
 
 @query("place_measures", sql(f"""
-SELECT *, dense_rank() OVER (ORDER BY cases DESC) AS rank_cases, dense_rank() OVER (ORDER BY rate DESC) AS rank_rate FROM (
+SELECT * REPLACE ({r('rate', 5)} AS rate, {r('rate_4w', 5)} AS rate_4w), dense_rank() OVER (ORDER BY cases DESC) AS rank_cases, dense_rank() OVER (ORDER BY {r('rate', 9)} DESC) AS rank_rate FROM (
 SELECT place, CAST(sum(cases) AS BIGINT) AS cases, CAST(sum(cases) FILTER ((SELECT max(week_start) FROM cal) - week_start < 28) AS BIGINT) AS cases_4w, {r('avg(population)')} AS population,
  CAST(sum(cases) FILTER (week_start = (SELECT max(week_start) FROM cal)) AS BIGINT) AS cases_last_week, (SELECT max(epi_year * 100 + epi_week) FROM cal) AS last_week,
- {r(rate('sum(cases)', 'avg(population)'), 5)} AS rate, {r(rate('sum(cases) FILTER ((SELECT max(week_start) FROM cal) - week_start < 28)', 'avg(population)'), 5)} AS rate_4w FROM rates GROUP BY place)"""))
+ {rate('sum(cases)', 'avg(population)')} AS rate, {rate('sum(cases) FILTER ((SELECT max(week_start) FROM cal) - week_start < 28)', 'avg(population)')} AS rate_4w FROM rates GROUP BY place)"""))
 def place_measures(spark, sf):
     g = with_rates(spark, sf)
     return rounded(star.place_measures(star.weekly_fact(g), star.week_dimension(g)), population=6, rate=5, rate_4w=5)
