@@ -27,28 +27,28 @@ def test_text_tables_sniff_encoding_separator_and_isolate_faults(spark, tmp_path
 
 def test_station_file(spark, tmp_path):
     head = [
-        "REGIAO:;NE", "UF:;PE", "ESTACAO:;RECIFE", "CODIGO (WMO):;A301", "LATITUDE:;-8,05", "LONGITUDE:;-34,90", "ALTITUDE:;10,5", "DATA DE FUNDACAO:;01/01/20",
+        "REGIAO:;NE", "UF:;PE", "ESTACAO:;Olinda", "CODIGO (WMO):;A301", "LATITUDE:;-8,05", "LONGITUDE:;-34,90", "ALTITUDE:;10,5", "DATA DE FUNDACAO:;01/01/20",
         f"Data;Hora UTC;{X.RAIN_TITLE};{X.TEMPERATURE_TITLE};{X.HUMIDITY_TITLE};",
     ]
     body = ["2024/01/01;0000 UTC;,4;25,5;80;", "2024/01/01;0100 UTC;;26,5;;", "2024/01/02;0000 UTC;;;;"]
     (tmp_path / "s.csv").write_bytes("\r\n".join(head + body).encode("latin-1"))
     meta, hourly = X.read_station_files(spark, str(tmp_path))
     reg = X.station_register(meta).first()
-    assert (reg["station"], reg["station_name"], reg["lat"], reg["lon"], reg["altitude"], str(reg["founded"])) == ("A301", "RECIFE", -8.05, -34.9, 10.5, "2020-01-01")
+    assert (reg["station"], reg["station_name"], reg["lat"], reg["lon"], reg["altitude"], str(reg["founded"])) == ("A301", "OLINDA", -8.05, -34.9, 10.5, "2020-01-01")
     daily = weather.hourly_to_daily(X.station_hours(meta, hourly))
     got = {str(r["day"]): (r["rain_mm"], r["valid_hours"], r["temperature_mean"]) for r in daily.collect()}
     assert got == {"2024-01-01": (0.4, 1, 26.0), "2024-01-02": (None, 0, None)}
 
 
 def test_snapshot_matrix_and_layer_json(spark, tmp_path):
-    point = {"ponto": {"id": "12.0", "nome": " pina ", "latitude": "-8.1", "longitude": "-34.9"}, "3": {"valor": "recife"},
+    point = {"ponto": {"id": "12.0", "nome": " pina ", "latitude": "-8.1", "longitude": "-34.9"}, "3": {"valor": "olinda"},
              "dados_monitorados": {"dados": [{"titulo": "24 Horas", "valor": "3.5"}, {"titulo": "Data último dado", "valor": "04-03-2025"}]}}
     (tmp_path / "snap.json").write_text(json.dumps({"pontos": {"metadados": {}, "12": point}}))
     docs = J.documents(spark, str(tmp_path / "snap.json"))
     d = J.snapshot_daily(docs).first()
     assert (d["station"], str(d["day"]), d["rain_mm"], d["valid_hours"]) == ("12", "2025-03-04", 3.5, 1)
     s = J.snapshot_stations(docs).first()
-    assert (s["station_name"], s["lat"], s["city"]) == ("PINA", -8.1, "RECIFE")
+    assert (s["station_name"], s["lat"], s["city"]) == ("PINA", -8.1, "OLINDA")
 
     m = {"datas": ["01/03/2025", "bad"], "horarios": ["0h", "25h", "2h"], "acumulados": [[1.5, 2.0, None], [0.0, None, True]]}
     docs = spark.createDataFrame([("s1", json.dumps(m))], "station string, value string")

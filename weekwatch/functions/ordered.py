@@ -17,35 +17,34 @@ def cumulative_by_value(
     df: DataFrame, groups: list[str], value: str, sums: list[str], ranges: int = RANGES
 ) -> DataFrame:
     """One row per (groups, value) with `sums` added up and `cum_*` (ascending, inclusive) and `all_*`."""
-    keys = groups or ["_all"]
-    base = df if groups else df.withColumn("_all", F.lit(0))
     merged = (
-        base.where(F.col(value).isNotNull())
-        .groupBy(*keys, value)
+        df.where(F.col(value).isNotNull())
+        .groupBy(*groups, value)
         .agg(*[F.sum(s).alias(s) for s in sums])
     )
     points = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
-    cuts = merged.groupBy(*keys).agg(F.percentile_approx(value, points, F.lit(1000)).alias("_cuts"))
-    # one row of at most `ranges` cut points per group
-    ranged = (
-        merged.join(cuts, keys)
-        .withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(value))))
-        .drop("_cuts")
-    )
-    totals = ranged.groupBy(*keys, "_range").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
-    earlier = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    whole = W.partitionBy(*keys)
+    cut = F.percentile_approx(value, points, F.lit(1000)).alias("_cuts")
+    # one row of at most `ranges` cut points per group; without groups a scalar, so no join
+    if groups:
+        with_cuts = merged.join(merged.groupBy(*groups).agg(cut), groups)
+    else:
+        with_cuts = merged.withColumn("_cuts", merged.agg(cut).select("_cuts").scalar())
+    ranged = with_cuts.withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    totals = ranged.groupBy(*groups, "_range").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
+    # at most `ranges` rows per group
+    whole = W.partitionBy(*groups) if groups else W.partitionBy()
+    earlier = whole.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select(
-        *keys,
+        *groups,
         "_range",
         *[F.coalesce(F.sum(f"_t_{s}").over(earlier), F.lit(0)).alias(f"_o_{s}") for s in sums],
         *[F.sum(f"_t_{s}").over(whole).alias(f"all_{s}") for s in sums],
     )
-    inside = W.partitionBy(*keys, "_range").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-    out = ranged.join(offsets, keys + ["_range"])
+    inside = W.partitionBy(*groups, "_range").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
+    out = ranged.join(offsets, [*groups, "_range"])
     for s in sums:
         out = out.withColumn(f"cum_{s}", F.sum(s).over(inside) + F.col(f"_o_{s}"))
-    return out.drop("_range", *[f"_o_{s}" for s in sums], *([] if groups else ["_all"]))
+    return out.drop("_range", *[f"_o_{s}" for s in sums])
 
 
 def exact_percentiles(

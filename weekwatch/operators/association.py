@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from weekwatch import contracts as C
 from weekwatch.contracts import WET_WEEK_MM
 from weekwatch.functions.numbers import round_even
 from weekwatch.functions.ordered import cumulative_by_value
@@ -224,10 +225,10 @@ def strongest_lag(table: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:
     text = F.when(
         F.col("_ok") > 0,
         F.format_string(
-            "A maior associação observada ocorreu com %d %s de defasagem (Spearman=%.2f, n=%d), mas isso representa associação histórica, não causalidade.",
+            C.LAG_SENTENCE,
             lag, F.when(lag == 1, "semana").otherwise("semanas"), F.col("b.spearman"), F.col("b.n"),
         ),
-    ).otherwise(f"Nenhuma defasagem teve amostra suficiente (n ≥ {RELIABLE_N}) para uma leitura confiável nesta combinação de agravo e variável climática.")
+    ).otherwise(C.NO_LAG_SENTENCE.format(n=RELIABLE_N))
     has = F.col("_ok") > 0
     return out.select(
         *keys, F.when(has, lag).alias("lag"), F.when(has, F.col("b.spearman")).alias("spearman"), F.when(has, F.col("b.n")).alias("n"), text.alias("sentence")

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from weekwatch import contracts as C
 from weekwatch.contracts import (
     DIMENSION_COLUMNS, LINEAGE, NOTIFICATION_ALIASES, NOTIFICATION_DATES, NOTIFICATION_SCHEMA,
 )
@@ -62,7 +63,7 @@ def conform_notifications(raw: DataFrame, disease: Column, resource: Column, yea
     df = df.join(files.select("_source_resource_id", "refused", "n_present", "n_diverging"), "_source_resource_id", "left")
     whole = (
         F.coalesce("refused", F.lit(False)),
-        F.format_string("arquivo rejeitado integralmente: %d/%d linhas com codigo_agravo divergente", "n_diverging", "n_present"),
+        F.format_string(C.FILE_REFUSED, "n_diverging", "n_present"),
     )
     out = routing.first_failing(df, [whole, *routing.notification_rules(F.col("_div"))])
     return out.select(*[F.col(f.name).cast(f.dataType) for f in NOTIFICATION_SCHEMA], routing.REASON)

@@ -11,7 +11,7 @@ import pyspark
 from pyspark.ml import PipelineModel
 from pyspark.sql import SparkSession
 
-KNOWN_VERSIONS = ("dengue_onset_ranking_candidate_v1",)
+KNOWN_VERSIONS = ("weekwatch_v1",)
 VERSION_PATTERN = re.compile(r"^[a-z0-9_]+$")
 
 

@@ -6,6 +6,7 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from weekwatch import contracts as C
 from weekwatch.contracts import DISEASE_CODES, DISEASES
 from weekwatch.functions.text import clean_text, disease_code_key, first_year_in, plain_lower
 
@@ -34,9 +35,9 @@ def reason_counts(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 def notification_rules(diverges: Column) -> list[tuple[Column, str]]:
     return [
-        (F.col("id_notificacao").isNull(), "id_notificacao ausente"),
-        (~F.col("tipo_arbovirose").isin(*DISEASES), "tipo_arbovirose invalido"),
-        (diverges, "codigo_agravo inconsistente com tipo_arbovirose"),
+        (F.col("id_notificacao").isNull(), C.NO_ID),
+        (~F.col("tipo_arbovirose").isin(*DISEASES), C.BAD_DISEASE),
+        (diverges, C.BAD_CODE),
     ]
 
 
@@ -61,9 +62,9 @@ def refuse_files(df: DataFrame, file: str, present: Column, diverges: Column, li
 
 def station_rules(duplicate: Column) -> list[tuple[Column, str]]:
     return [
-        (F.col("station").isNull(), "codigo_estacao ausente"),
-        ((F.abs("lat") > 90) | (F.abs("lon") > 180), "latitude/longitude fora do intervalo valido"),
-        (duplicate, "codigo_estacao duplicado (mesma fonte)"),
+        (F.col("station").isNull(), C.NO_STATION),
+        ((F.abs("lat") > 90) | (F.abs("lon") > 180), C.BAD_COORDINATES),
+        (duplicate, C.DUPLICATE_STATION),
     ]
 
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from weekwatch import contracts as C
 from weekwatch.contracts import STATION_IDLE_DAYS, STATION_SOURCES
 from weekwatch.functions import geo
 from weekwatch.functions.numbers import pct, round_even
@@ -32,10 +33,10 @@ def eligibility(
     """
     known = stations.where(F.col("source").isin(*sources)).join(last_reading(daily), ["source", "station"], "left")
     rules = [
-        (F.col("lat").isNull() | F.col("lon").isNull(), "coordenada ausente"),
-        ((F.abs("lat") > 90) | (F.abs("lon") > 180), "coordenada fora do intervalo geografico valido"),
-        (F.col("last_reading").isNull(), "sem leitura em silver_clima_diario"),
-        (F.datediff(reference, "last_reading") > idle_days, f"ultima leitura ha mais de {idle_days} dias (estacao considerada inativa)"),
+        (F.col("lat").isNull() | F.col("lon").isNull(), C.NO_COORDINATES),
+        ((F.abs("lat") > 90) | (F.abs("lon") > 180), C.COORDINATES_OUT),
+        (F.col("last_reading").isNull(), C.NO_READING),
+        (F.datediff(reference, "last_reading") > idle_days, C.IDLE_STATION.format(days=idle_days)),
     ]
     return routing.first_failing(known, rules)
 

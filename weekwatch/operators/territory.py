@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from weekwatch import contracts as C
 from weekwatch.functions import geo
 from weekwatch.functions.text import clean_code, clean_text
 from weekwatch.operators import routing
@@ -64,13 +65,13 @@ def conform_outlines(raw: DataFrame, resource: str, run_id: str) -> DataFrame:
     first = df.where(F.col("place").isNotNull()).groupBy("place").agg(F.min("_row").alias("_first"))
     df = df.join(first, "place", "left").withColumn("_dup", F.coalesce(F.col("_row") != F.col("_first"), F.lit(False))).drop("_first")
     rules = [
-        (F.col("rings").isNull(), "geometry nula"),
-        (~closed | F.coalesce("_x", F.lit(False)), "geometry invalida (nao corrigida automaticamente)"),
-        (F.col("place").isNull(), "codigo_bairro ausente"),
-        (F.col("_dup"), "codigo_bairro duplicado"),
-        (F.col("place_name").isNull(), "nome_bairro vazio"),
-        (F.col("area_km2").isNull() | (F.col("area_km2") <= 0), "area_km2 invalida (<= 0)"),
-        ((F.abs("centroid_lat") > 90) | (F.abs("centroid_lon") > 180), "centroide fora do intervalo geografico valido"),
+        (F.col("rings").isNull(), C.NO_GEOMETRY),
+        (~closed | F.coalesce("_x", F.lit(False)), C.BAD_GEOMETRY),
+        (F.col("place").isNull(), C.NO_PLACE),
+        (F.col("_dup"), C.DUPLICATE_PLACE),
+        (F.col("place_name").isNull(), C.NO_PLACE_NAME),
+        (F.col("area_km2").isNull() | (F.col("area_km2") <= 0), C.BAD_AREA),
+        ((F.abs("centroid_lat") > 90) | (F.abs("centroid_lon") > 180), C.CENTROID_OUT),
     ]
     return routing.first_failing(df, rules).drop("_row", "_x", "_dup")
 

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from weekwatch import contracts as C
 from weekwatch.contracts import CELL_LIMITS, TEMPERATURE_RANGE
 from weekwatch.functions.numbers import between_or_null, round_even
 from weekwatch.operators import routing
@@ -53,9 +54,9 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Data
 def daily_rules() -> list[tuple[Column, str]]:
     """Reject reasons of a daily reading, first match wins."""
     rules = [
-        (F.col("day").isNull(), "data ausente ou nao parseavel"),
-        (F.col("station").isNull(), "codigo_estacao ausente"),
-        (F.col("rain_mm") < 0, "precipitacao_mm negativa"),
+        (F.col("day").isNull(), C.NO_DAY),
+        (F.col("station").isNull(), C.NO_STATION),
+        (F.col("rain_mm") < 0, C.NEGATIVE_RAIN),
     ]
     for name in ("humidity_min", "humidity_max", "humidity_mean"):
         rules.append((~F.col(name).between(0, 100), f"{name} fora de 0-100"))

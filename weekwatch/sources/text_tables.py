@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from weekwatch import contracts as C
 from weekwatch.functions.dates import parse_two_digit_date
 from weekwatch.functions.numbers import comma_decimal
 from weekwatch.functions.text import clean_code, clean_text
@@ -63,10 +64,10 @@ def file_checks(spark: SparkSession, path: str) -> DataFrame:
 
     problems = F.array_compact(
         F.array(
-            problem(empty, "erro", "arquivo vazio (0 bytes)"),
-            problem(html, "erro", "conteúdo parece ser HTML, não um CSV"),
-            problem(rest & (F.col("n_lines") < 2), "aviso", "arquivo possui menos de 2 linhas (sem dados após o cabeçalho?)"),
-            problem(rest & (semis == 0) & (commas == 0), "aviso", "nenhum delimitador comum (',' ou ';') encontrado na primeira linha"),
+            problem(empty, "erro", C.EMPTY_FILE),
+            problem(html, "erro", C.HTML_FILE),
+            problem(rest & (F.col("n_lines") < 2), "aviso", C.SHORT_FILE),
+            problem(rest & (semis == 0) & (commas == 0), "aviso", C.NO_SEPARATOR),
         )
     )
     separator = F.when(commas > semis, ",").otherwise(";")

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from weekwatch.operators.weather import keep_last
 from weekwatch.session import checkpoint_dir
-from weekwatch.sources.tables import path_exists
+from weekwatch.sources.tables import delete_path, path_exists
 
 
 def daily_readings(readings: DataFrame, delay: str = "2 days", ts: str = "ts") -> DataFrame:
@@ -61,6 +61,7 @@ def merge_latest(readings: DataFrame, table: str, keys: Sequence[str], order: Se
         spark.read.schema(batch.schema).parquet(aside).repartition(partition).write.partitionBy(partition).mode("overwrite").option(
             "partitionOverwriteMode", "dynamic"
         ).parquet(table)
+        delete_path(spark, aside)
 
     return readings.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
