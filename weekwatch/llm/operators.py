@@ -1,3 +1,3 @@
 """Imports every operator module, which registers its query."""
 
-from weekwatch.llm import chat, mixing, packing, warc  # noqa: F401
+from weekwatch.llm import chat, mixing, packing, simhash, warc  # noqa: F401
