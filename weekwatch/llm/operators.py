@@ -1,3 +1,3 @@
 """Imports every operator module, which registers its query."""
 
-from weekwatch.llm import chat, mixing, packing, ppm, quality, simhash, topk, warc  # noqa: F401
+from weekwatch.llm import chat, mixing, packing, ppm, quality, simhash, topk, warc, wrapper  # noqa: F401
