@@ -10,7 +10,7 @@ goes up a reduction tree until one row of each source is left.
 
 Defined cases: a null text has size 0 and takes 0; a null source is a source of its own,
 last in the order; a source without words has target 0. Repeated rows are rows of their
-own: they are dealt by (doc_id, size), meet in an order that ties cannot change, and
+own: they are numbered apart, meet in an order that ties cannot change, and
 equal rows are interchangeable. A table without words takes nothing. Only doc_id, text
 and source are read, so other columns cannot clash.
 """
@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from weekwatch.llm.registry import query, table
+from weekwatch.llm.shared import store
 from weekwatch.session import cut_lineage
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -143,18 +144,8 @@ def dependent_rounding(rows: DataFrame, seed: int = 17, bucket_rows: int = BUCKE
     return out
 
 
-def mix(docs: DataFrame, seed: int = 17, **shares) -> DataFrame:
-    """One row per row of `docs`: doc_id, source, size, source_size, target, copies, taken."""
-    sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
-    # equal rows share a key and are numbered below it, so that no two rows have one id
-    key = F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("size").cast("string"))
-    same = sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n"))
-    rows = cut_lineage(
-        same.select(
-            "doc_id", "source", "size", "n",
-            F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy_no"),
-        ).select("doc_id", "source", "size", F.concat_ws("/", F.hex(F.xxhash64(key, "copy_no")), key, F.col("copy_no").cast("string"), F.coalesce("source", F.lit("\0"))).alias("row_id"))
-    )
+def mix_rows(rows: DataFrame, seed: int = 17, **shares) -> DataFrame:
+    """`rows` with row_id (no two alike), source and size -> the same with source_size, target and copies."""
     targets = cut_lineage(source_targets(rows, **shares))
     # one row per source; Catalyst broadcasts it while it is small, else AQE splits the large sources
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -164,11 +155,32 @@ def mix(docs: DataFrame, seed: int = 17, **shares) -> DataFrame:
     fractions = fractions.withColumn("whole", whole).withColumn("p", F.greatest(F.col("fraction") - whole, F.lit(0.0)))
     ups = dependent_rounding(fractions.select("row_id", "source", "size", "p"), seed)
     copies = F.when(F.col("size") > 0, F.col("whole") + F.coalesce(F.col("up"), F.lit(0))).otherwise(0).cast("long")
-    return (
-        fractions.join(ups, "row_id", "left")
-        .withColumn("copies", copies)
-        .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
-    )
+    return fractions.join(ups, "row_id", "left").withColumn("copies", copies).drop("row_id", "fraction", "whole", "p", "up")
+
+
+def row_ids(rows: DataFrame, *same: str) -> DataFrame:
+    """A row_id for rows of (doc_id, size) and the columns of `same`; equal rows are numbered apart."""
+    key = F.concat_ws("/", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in ("doc_id", "size", *same)])
+    number = F.row_number().over(W.partitionBy("doc_id", "size", *same).orderBy(F.lit(0)))
+    # the hash comes first, so that rows meet in an order that has nothing to do with their ids
+    return rows.withColumn("copy_no", number).withColumn("row_id", F.concat_ws("/", F.hex(F.xxhash64(key, "copy_no")), key, "copy_no")).drop("copy_no")
+
+
+def mix(docs: DataFrame, seed: int = 17, **shares) -> DataFrame:
+    """One row per row of `docs`: doc_id, source, size, source_size, target, copies, taken."""
+    sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
+    mixed = mix_rows(cut_lineage(row_ids(sized, "source")), seed, **shares)
+    return mixed.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, seed: int = 17, **shares) -> DataFrame:
+    """The rows of `docs`, each as often as the mix takes it."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    rows = store(docs.select(whole, F.monotonically_increasing_id().alias("row_no"), n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash")))
+    sized = rows.select("row_no", F.col("doc.doc_id").alias("doc_id"), F.col("doc.source").alias("source"), "size", "text_hash")
+    mixed = mix_rows(cut_lineage(row_ids(sized, "source", "text_hash")), seed, **shares).where("copies > 0").select(F.col("row_no").alias("taken_no"), "copies")
+    taken = rows.join(mixed, F.col("row_no") == F.col("taken_no"))
+    return taken.select("doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("doc.*")
 
 
 @query("op10_mix_sources")

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from weekwatch.llm.chat import let
 from weekwatch.llm.registry import query, table
+from weekwatch.llm.shared import store
 from weekwatch.session import cut_lineage
 
 MIN_WORDS, MOST_REPEATED = 50, 50  # words; per cent of words
@@ -34,6 +35,7 @@ VECTOR = ("x_length", "x_symbols", "x_repeats", "x_lines")
 #: Least standard deviation of each statistic: differences below it are not held against a text.
 FLOORS = {"x_length": 0.05, "x_symbols": 0.08, "x_repeats": 0.20, "x_lines": 0.20}
 SHARE, TAIL, STEPS, LEAST, ACCURACY = 0.75, 1e-6, 3, 50, 10_000
+MOST_BROADCAST = 100_000  # rows of 16 numbers
 
 
 def chi2_below(x: float, df: int) -> float:
@@ -202,8 +204,11 @@ def fit(vectors: DataFrame, share: float = SHARE, steps: int = STEPS) -> DataFra
 
 
 def verdict(rows: DataFrame, estimates: DataFrame, least: int = LEAST, cutoff: float = CUTOFF) -> DataFrame:
-    """`rows` (with lang, source, base_failed and the vector) and a column `kept`."""
-    out = rows
+    """`rows` (with lang, source, base_failed and the vector) and a column `kept`.
+
+    Estimates are one row per group; they are broadcast up to MOST_BROADCAST of them, else joined by key.
+    """
+    out, small = rows, estimates.count() <= MOST_BROADCAST
     for level in (0, 1, 2):
         e = estimates.where((F.col("level") == level) & (F.col("n") >= least)).select(
             F.col("g_lang").alias("e_lang"), F.col("g_source").alias("e_source"), *[c for c in estimates.columns if c[:2] in ("m_", "l_")]
@@ -219,26 +224,30 @@ def verdict(rows: DataFrame, estimates: DataFrame, least: int = LEAST, cutoff: f
             out = out.withColumn("e_all", whole.select("e").scalar())
             out = out.select(*[c for c in out.columns if c != "e_all"], "e_all.*")
         else:
-            out = out.join(e, on, "left")
+            out = out.join(F.broadcast(e) if small else e, on, "left")
         names = [c for c in e.columns if c[:2] in ("m_", "l_")] + ([] if level == 2 else ["e_lang", "e_source"])
         out = out.withColumn(f"d_{level}", distance([F.col(x) for x in VECTOR])).drop(*names)
     d = F.coalesce("d_0", "d_1", "d_2", F.lit(0.0))
     return out.withColumn("kept", ~F.col("base_failed") & (d <= cutoff)).drop("d_0", "d_1", "d_2")
 
 
-def judged(docs: DataFrame, extra: list[Column] = (), keep_stats: bool = True, **limits) -> DataFrame:
-    """Statistics, base_failed and kept for each row, with `extra` columns carried along."""
+def judged(docs: DataFrame, *carry: Column, cut=cut_lineage, **limits) -> DataFrame:
+    """doc_id, statistics, base_failed, vector and kept of each row, with the columns of `carry`; `cut` writes the statistics."""
     s = docs.select(
-        *extra, F.col("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"),
+        *carry, F.col("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"),
         text_statistics(F.col("text")).alias("s"),
     )
-    rows = s.select(*[c for c in s.columns if c != "s"], "s.*", base_failed(F.col("s")).alias("base_failed"), *vector(F.col("s")))
-    if keep_stats:
-        rows = cut_lineage(rows)
+    rows = cut(s.select(*[c for c in s.columns if c != "s"], "s.*", base_failed(F.col("s")).alias("base_failed"), *vector(F.col("s"))))
     estimates = fit(rows.where(~F.col("base_failed")).select("lang", "source", *VECTOR))
     return verdict(rows, estimates, **limits)
 
 
+def kept_documents(docs: DataFrame, **limits) -> DataFrame:
+    """The rows of `docs` that the rules keep."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    return judged(docs, whole, cut=store, **limits).where("kept").select("doc.*")
+
+
 @query("op7_quality_rules")
 def op7(spark, sf_dir):
     """All documents with their statistics and verdict."""

@@ -27,10 +27,11 @@ from math import comb
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from weekwatch.llm.graph import components
 from weekwatch.llm.registry import query, table
+from weekwatch.llm.shared import store
 from weekwatch.session import cut_lineage
 
 WORDS, MOST, SEED = 4, 4, 42
@@ -58,15 +59,15 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
     return int(np.packbits(2 * count > len(stops), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long of the same bits."""
+def fingerprint_column(text: Column, words: int = WORDS) -> Column:
+    """The fingerprint of a text column, as a signed long of the same bits."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            fps = np.array([fingerprint(t if isinstance(t, str) else None, words) for t in f["text"]], np.uint64)
-            yield pd.DataFrame({"doc_id": f["doc_id"].astype("Int64"), "fp": fps.view(np.int64)})
+    @F.pandas_udf("long")
+    def run(texts: pd.Series) -> pd.Series:
+        fps = np.array([fingerprint(t if isinstance(t, str) else None, words) for t in texts], np.uint64)
+        return pd.Series(fps.view(np.int64))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, "doc_id long, fp long")
+    return run(text.cast("string"))
 
 
 # --- partitions and thresholds -----------------------------------------------------------------------
@@ -284,20 +285,34 @@ def links(classes: DataFrame, most: int = MOST, bucket: int = BUCKET, masks: lis
     return out
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, most: int = MOST, bucket: int = BUCKET) -> DataFrame:
-    """One row per row of `docs`: doc_id, fingerprint (16 hex digits), component_id."""
-    fps = cut_lineage(fingerprints(docs, words))
-    classes = cut_lineage(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
+def classes_of(rows: DataFrame, most: int = MOST, bucket: int = BUCKET) -> DataFrame:
+    """(class_fp, root, component_id): one row per distinct fingerprint of rows with doc_id and fp."""
+    classes = cut_lineage(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
     roots = components(links(classes, most, bucket)).withColumnRenamed("node", "fp")
     rooted = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    of_class = rooted.select("fp", "root").join(ids, "root").select(F.col("fp").alias("class_fp"), "component_id")
+    return rooted.select("fp", "root").join(ids, "root").select(F.col("fp").alias("class_fp"), "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, words: int = WORDS, most: int = MOST, bucket: int = BUCKET) -> DataFrame:
+    """One row per row of `docs`: doc_id, fingerprint (16 hex digits), component_id."""
+    fps = cut_lineage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprint_column(F.col("text"), words).alias("fp")))
     # a fingerprint that a third of the rows share: AQE splits it, as nothing above needs its rows together
-    return fps.join(of_class, F.col("fp") == F.col("class_fp")).select(
+    return fps.join(classes_of(fps, most, bucket), F.col("fp") == F.col("class_fp")).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 
 
+def keep_one(docs: DataFrame, words: int = WORDS, most: int = MOST, bucket: int = BUCKET) -> DataFrame:
+    """The rows of `docs` without near-duplicates: of each group the row with the smallest doc_id stays."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    rows = store(docs.select(whole, F.col("doc_id").cast("long").alias("doc_id"), fingerprint_column(F.col("text"), words).alias("fp"), F.monotonically_increasing_id().alias("row_no")))
+    rooted = rows.select("doc_id", "fp", "row_no").join(classes_of(rows.select("doc_id", "fp"), most, bucket), F.col("fp") == F.col("class_fp"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row_no")))
+    kept = rooted.groupBy("root").agg(first.alias("first")).select(F.col("first.row_no").alias("kept_no"))
+    return rows.join(kept, F.col("row_no") == F.col("kept_no"), "left_semi").select("doc.*")
+
+
 @query("op4_simhash_groups")
 def op4(spark, sf_dir):
     """All documents with fingerprint and near-duplicate group."""
