@@ -17,6 +17,7 @@ from __future__ import annotations
 import base64
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,19 +29,19 @@ from weekwatch.session import cut_lineage
 
 LENGTH, END_ID, GROUP_PIECES = 2048, 1, 20_000
 VOCABULARY, RANKS, SPECIAL = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken", {"<|endoftext|>": 50256}
-CACHED_UNITS = 200_000
+CACHED_UNITS, MARKS = 300_000, ".,;:!?"
 
 _loaded: dict[tuple[str, str], "_Encoder"] = {}
-_SPACE = re.compile(r"\s")
+_NOT_PLAIN = re.compile(r" \s|\s ")
 
 
 class _Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes.
 
     In this vocabulary's splitting pattern a single space before another character always starts a
-    piece, so the words between single spaces are encoded on their own and remembered. A text with any
-    other white space next to a space is encoded whole. The same ids as the tokenizers file gives; tests
-    compare them.
+    piece, so the words between single spaces are encoded on their own and remembered. A word of letters
+    is one piece, and one mark after it is the next. A text with any other white space next to a
+    space is encoded whole. The same ids as the tokenizers file gives; tests compare them.
     """
 
     def __init__(self, vocabulary: str, ranks: str):
@@ -56,27 +57,38 @@ class _Encoder:
         with open(public_tokenizers.path(ranks), "rb") as f:
             merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bpe = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens=SPECIAL)
+        self.piece = self.bpe._core_bpe.encode_single_piece
+        self.marks = {m: self._ids(m) for m in MARKS}
         self.seen: dict[str, bytes] = {}
 
+    def _remember(self, unit: str) -> bytes:
+        """Ids of a word after a space, kept until there are too many."""
+        word, mark = (unit[:-1], self.marks[unit[-1]]) if unit[-1] in self.marks else (unit, b"")
+        if word.isalpha():
+            ids = array("I", self.piece(b" " + word.encode())).tobytes() + mark
+        else:
+            ids = self._ids(" " + unit)
+        if len(self.seen) >= CACHED_UNITS:
+            self.seen.clear()
+        self.seen[unit] = ids
+        return ids
+
     def _ids(self, text: str) -> bytes:
         ids = self.whole.encode(text, add_special_tokens=False).ids if self.whole else self.bpe.encode(text, allowed_special="all")
-        return np.asarray(ids, "<u4").tobytes()
+        return array("I", ids).tobytes()
 
     def encode(self, text: str) -> bytes:
         if self.whole or not text:
             return self._ids(text)
-        units = text.split(" ")
-        if any(not u or _SPACE.match(u) or _SPACE.match(u[-1]) for u in units):
+        if text[-1] == " " or _NOT_PLAIN.search(text):
             return self._ids(text)
-        seen = self.seen
-        out = [self._ids(units[0])]
-        for u in units[1:]:
-            got = seen.get(u)
-            if got is None:
-                if len(seen) >= CACHED_UNITS:
-                    seen.clear()
-                got = seen[u] = self._ids(" " + u)
-            out.append(got)
+        units = text.split(" ")
+        out = list(map(self.seen.get, units))
+        out[0] = self._ids(units[0])
+        if None in out:
+            for i, got in enumerate(out):
+                if got is None:
+                    out[i] = self._remember(units[i])
         return b"".join(out)
 
 
