@@ -10,8 +10,8 @@ else they would differ in more. m and the thresholds are chosen by dynamic progr
 numbers of key rows and candidate pairs, from the bit frequencies of all fingerprints. Within t_i
 bits in a partition means equal but for some t_i of its bits, so a fingerprint is probed under one key for
 each choice of t_i bits left out. Rows of one key are verified against each other on all 64 bits, and only
-a spanning forest of a key's links is kept. A key with more than `bucket` rows is not looked at as a whole:
-its rows are dealt again by the same principle on the bits that the key leaves out, until keys are small.
+a spanning forest of a key's links is kept. A key with more than `bucket` rows is not looked at as a whole: its
+rows are dealt into blocks of about that size, and each two blocks are verified by a task of their own.
 
 Defined cases: a text without words (null, empty, white space) has fingerprint zero and links like any
 other; fewer words than a shingle make one shingle; repeated rows and null doc_ids stay, a component's id
@@ -20,6 +20,7 @@ is its smallest doc_id (null if it has none). Only doc_id and text are read, so
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from itertools import combinations
 from math import comb
@@ -192,8 +193,9 @@ def _forest(fps: np.ndarray, most: int) -> tuple[list, list]:
     return a, b
 
 
-def _verify(most: int, bucket: int):
+def _verify(most: int, bucket: int | None):
     """Rows sorted by (mask, key) -> links (a, b), or rows of too large keys as (a = fingerprint, mask)."""
+    bucket = bucket or sys.maxsize
 
     def frame(a, b, mask=None) -> pd.DataFrame:
         a = np.asarray(a, np.uint64).view(np.int64)
@@ -249,40 +251,26 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def _finer(most: int):
-    """A mask -> masks with one of most + 1 equal parts of its left-out bits added: one of them must agree."""
-
-    def masks(mask: int) -> list[int]:
-        left = [b for b in range(64) if not mask >> b & 1]
-        parts = [left[k :: most + 1] for k in range(most + 1)]
-        return [_signed((mask & (2**64 - 1)) | sum(1 << b for b in part)) for part in parts if part]
-
-    return masks
-
-
 def links(classes: DataFrame, most: int = MOST, bucket: int = BUCKET, masks: list[int] | None = None) -> DataFrame:
     """(a, b): a spanning forest, for each key, of the pairs of distinct fingerprints within `most` bits."""
     masks = plan_masks(classes, most) if masks is None else masks
     choice = F.array(*[F.lit(_signed(m)).cast("long") for m in masks])
-    probes, found, rest = classes.select("fp", F.explode(choice).alias("mask")), [], None
-    while True:
-        keyed = probes.withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
-        done = cut_lineage(
-            keyed.repartition("mask", "key").sortWithinPartitions("mask", "key").mapInPandas(_verify(most, bucket), "a long, b long, mask long")
-        )
-        found.append(done.where("b is not null").select("a", "b"))
-        rest = done.where("b is null")
-        # the masks of too large keys: at most as many as there are masks
-        large = [r["mask"] for r in rest.select("mask").distinct().collect()]
-        if not large:
-            break
-        finer = _finer(most)
-        table_of = F.create_map(*[x for m in large for x in (F.lit(m).cast("long"), F.array(*[F.lit(k).cast("long") for k in finer(m)]))])
-        probes = rest.select(F.col("a").alias("fp"), F.explode(F.element_at(table_of, F.col("mask"))).alias("mask")).distinct()
-    out = found[0]
-    for x in found[1:]:
-        out = out.unionByName(x)
-    return out
+    probes = classes.select("fp", F.explode(choice).alias("mask")).withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
+    done = _verified(probes, most, bucket)
+    # keys with too many rows: blocks by a hash of the row, one group for each two blocks
+    large = done.where("b is null").select(F.col("a").alias("fp"), "mask", F.col("a").bitwiseAND(F.col("mask")).alias("key"))
+    sizes = large.groupBy("mask", "key").agg(F.ceil(F.count("*") / bucket).cast("long").alias("blocks"))
+    dealt = large.join(sizes, ["mask", "key"]).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")))
+    paired = dealt.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    pairs = paired.select("fp", low.alias("mask"), F.xxhash64("mask", "key", low, high).alias("key"))
+    found = done.where("b is not null").select("a", "b")
+    return found.unionByName(_verified(pairs, most, None).select("a", "b"))
+
+
+def _verified(probes: DataFrame, most: int, bucket: int | None) -> DataFrame:
+    in_order = probes.repartition("mask", "key").sortWithinPartitions("mask", "key")
+    return cut_lineage(in_order.mapInPandas(_verify(most, bucket), "a long, b long, mask long"))
 
 
 def classes_of(rows: DataFrame, most: int = MOST, bucket: int = BUCKET) -> DataFrame:

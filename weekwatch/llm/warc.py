@@ -122,6 +122,9 @@ def members(f, size: int) -> dict[str, tuple[int, int]]:
     tail_at = max(0, size - 22 - 65535 - 20)
     tail = _read(f, tail_at, size - tail_at)
     at = tail.rfind(_EOCD)
+    # the comment after the record may hold the same bytes, but then its length does not fit
+    while at >= 0 and at + 22 + int.from_bytes(tail[at + 20 : at + 22], "little") != len(tail):
+        at = tail.rfind(_EOCD, 0, at)
     if at < 0:
         raise ValueError("no end of central directory")
     n, length, start = struct.unpack("<10xH2I", tail[at : at + 20])
