@@ -114,7 +114,11 @@ def test_models_weights_calibration_importance_and_store(spark, tmp_path):
         assert cal.where("calibrated < 0 or calibrated > 1").count() == 0
     imp = {r["feature"]: r["importance_mean"] for r in L.permutation_importance(logit, full, ["x", "z"], ["id"], repeats=2).collect()}
     assert imp["x"] > 0.1 > abs(imp["z"])
-    assert L.shuffled(full, "x", ["id"], 1).agg(F.sum("x")).first()[0] == pytest.approx(full.agg(F.sum("x")).first()[0])
+    mixed = L.permuted(full, ["x", "z"], ["id"], 2, 1).where("feature = 'x'")
+    for sums in mixed.groupBy("repeat").agg(F.sum("x").alias("x"), F.sum("z").alias("z"), F.count("*").alias("n")).collect():
+        plain = full.agg(F.sum("x").alias("x"), F.sum("z").alias("z"), F.count("*").alias("n")).first()
+        assert (sums.x, sums.z, sums.n) == (pytest.approx(plain.x), pytest.approx(plain.z), plain.n)
+    assert mixed.where("repeat = 0").join(full.selectExpr("id", "x as own"), "id").where("x <> own").count() > 0
     wf = L.walk_forward_scores(full, ["x", "z"], range(2014, 2022), L.fit_logistic, max_iter=20)
     assert sorted(r[0] for r in wf.select("fold").distinct().collect()) == [2016, 2017, 2018, 2019, 2020]
     with pytest.raises(L.DifferentRows):

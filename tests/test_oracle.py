@@ -1,39 +1,25 @@
-"""Registered queries against their SQL at sf0.001; WEEKWATCH_ALL=1 runs every one."""
-
-import os
+"""Every registered query that has SQL against it, at sf0.001."""
 
 import oracle
 import pytest
 from conftest import SF
 
 import __spark_entry__ as entry
-
-SAMPLE = [
-    "top_places_latest_week", "dense_grid_whole_years", "rates_by_window", "total_of_kinds", "alert_thresholds", "momentum_features",
-    "episodes", "onset_targets", "alert_anticipation", "false_alert_runs", "priority_backtest", "best_rank_before_episode", "episode_master",
-    "observed_priority", "nearest_station", "station_weather_block", "cell_weather_block", "lag_correlations", "ranking_metrics",
-    "feature_drift", "population_series", "forecast_backtest", "year_projection", "place_measures", "gate_findings", "freshness",
-    "mask_sensitive_text", "notification_routing", "newest_success_per_resource", "streamed_daily_readings",
-]
-
+from weekwatch.plans.registry import ORACLES, QUERIES
 
 @pytest.fixture(scope="module")
 def con():
     return oracle.connect(SF)
 
 
-def names():
-    return sorted(entry.queries()) if os.environ.get("WEEKWATCH_ALL") else SAMPLE
-
-
-@pytest.mark.parametrize("name", names())
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_its_sql(spark, con, name):
-    problems, *_ = oracle.compare(spark, con, name, entry.queries()[name], entry.oracle_sql().get(name), SF)
+    problems, *_ = oracle.compare(spark, con, name, QUERIES[name], ORACLES[name], SF)
     assert not problems, problems
 
 
 def test_registry_is_consistent(spark):
     q, o = entry.queries(), entry.oracle_sql()
     assert set(o) <= set(q) and len(q) > 150
-    assert not any(n.startswith("op") and n[2:3].isdigit() or "pipeline" in n for n in q)
+    assert set(QUERIES) <= set(q)
     assert entry.entry(spark).count() >= 0

@@ -17,6 +17,9 @@ def cumulative_by_value(
     df: DataFrame, groups: list[str], value: str, sums: list[str], ranges: int = RANGES
 ) -> DataFrame:
     """One row per (groups, value) with `sums` added up and `cum_*` (ascending, inclusive) and `all_*`."""
+    if not groups:
+        # one constant group: the same plan for both, without a window over everything
+        return cumulative_by_value(df.withColumn("_one", F.lit(1)), ["_one"], value, sums, ranges).drop("_one")
     merged = (
         df.where(F.col(value).isNotNull())
         .groupBy(*groups, value)
@@ -24,15 +27,12 @@ def cumulative_by_value(
     )
     points = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
     cut = F.percentile_approx(value, points, F.lit(1000)).alias("_cuts")
-    # one row of at most `ranges` cut points per group; without groups a scalar, so no join
-    if groups:
-        with_cuts = merged.join(merged.groupBy(*groups).agg(cut), groups)
-    else:
-        with_cuts = merged.withColumn("_cuts", merged.agg(cut).select("_cuts").scalar())
+    # one row of at most `ranges` cut points per group
+    with_cuts = merged.join(merged.groupBy(*groups).agg(cut), groups)
     ranged = with_cuts.withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
     totals = ranged.groupBy(*groups, "_range").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
     # at most `ranges` rows per group
-    whole = W.partitionBy(*groups) if groups else W.partitionBy()
+    whole = W.partitionBy(*groups)
     earlier = whole.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select(
         *groups,

@@ -9,18 +9,20 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 BUCKETS = 64
 
 
-def dense_index(df: DataFrame, order: Sequence[Column], name: str = "index") -> DataFrame:
-    """0..n-1 by a total order of hash buckets and `order` inside them; no global window over rows.
+def dense_index(df: DataFrame, order: Sequence[Column], name: str = "index", groups: Sequence[str] = (), buckets: int = BUCKETS) -> DataFrame:
+    """0..n-1 (in each group) by a total order of hash buckets and `order` inside them; no global window over rows.
 
     Any fixed numbering serves a resampling, so rows are numbered inside hash buckets and the
-    bucket sizes (64 rows) are added up.
+    bucket sizes (`buckets` rows a group; raise it with the rows) are added up.
     """
-    b = df.withColumn("_b", F.pmod(F.xxhash64(*order), F.lit(BUCKETS)))
-    sizes = b.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
-    numbered = b.withColumn("_r", F.row_number().over(W.partitionBy("_b").orderBy(*order)) - 1)
-    return numbered.join(F.broadcast(offsets), "_b").withColumn(name, F.col("_r") + F.col("_o")).drop("_b", "_r", "_o")
+    b = df.withColumn("_b", F.pmod(F.xxhash64(*order), F.lit(buckets)))
+    sizes = b.groupBy(*groups, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    whole = W.partitionBy(*groups) if groups else W.partitionBy()
+    before = whole.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select(*groups, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
+    numbered = b.withColumn("_r", F.row_number().over(W.partitionBy(*groups, "_b").orderBy(*order)) - 1)
+    offsets = offsets if groups else F.broadcast(offsets)
+    return numbered.join(offsets, [*groups, "_b"]).withColumn(name, F.col("_r") + F.col("_o")).drop("_b", "_r", "_o")
 
 
 def resample(units: DataFrame, n: Column, draws: int = 2000, seed: int = 42) -> DataFrame:

@@ -57,13 +57,13 @@ def rule_forecasts(train: DataFrame, targets: DataFrame) -> DataFrame:
         F.avg(y).alias("_mean"), F.max("series_index").alias("_last"), F.max("epi_year").alias("_year"),
         F.regr_slope(y, x).alias("_slope"), F.regr_intercept(y, x).alias("_cut"),
     )
-    rows = train.join(F.broadcast(whole), Series)
+    rows = train.join(whole, Series)
     weekly = rows.groupBy(*Series, "epi_week").agg(
         F.max(F.when(F.col("epi_year") == F.col("_year"), y)).alias("_naive"),
         F.avg(y).alias("_week"),
         F.avg(y - (F.col("_slope") * x + F.col("_cut"))).alias("_resid"),
     )
-    t = targets.join(F.broadcast(whole), Series).join(weekly, [*Series, "epi_week"], "left")
+    t = targets.join(whole, Series).join(weekly, [*Series, "epi_week"], "left")
     trend = F.col("_slope") * (F.col("_last") + F.col("step")) + F.col("_cut") + F.coalesce("_resid", F.lit(0.0))
     values = {"seasonal_naive": F.coalesce("_naive", "_mean"), "week_mean": F.coalesce("_week", "_mean"), "trend_season": trend}
     return _long(t, values)
@@ -205,7 +205,7 @@ def empirical_bands(central: DataFrame, errors: DataFrame) -> DataFrame:
     """Central value plus the quantiles of past errors; with fewer than two errors the band is the value."""
     probs = [p for lohi in LEVELS.values() for p in lohi]
     q = errors.groupBy("kind", "method").agg(F.percentile("err", probs).alias("q"), F.count(F.lit(1)).alias("n_err"))
-    t = central.join(F.broadcast(q), ["kind", "method"], "left")
+    t = central.join(q, ["kind", "method"], "left")
     enough = F.coalesce("n_err", F.lit(0)) >= 2
     cols = {}
     for i, name in enumerate(LEVELS):
@@ -252,13 +252,13 @@ def projection(series: DataFrame, folds: Sequence[int], with_holt_winters: bool
     past = all_forecasts(series, folds, with_holt_winters)
     winner = choose_method(method_summary(backtest(past)))
     last = series.groupBy("kind").agg(F.max("epi_year").cast("int").alias("fold"))
-    train = series.join(F.broadcast(last), "kind")
+    train = series.join(last, "kind")
     targets = future_targets(series)
     future = rule_forecasts(train, targets)
     if with_holt_winters:
         future = future.unionByName(holt_winters_forecasts(train, targets))
-    chosen = future.join(F.broadcast(winner), ["kind", "method"], "left_semi")
-    errors = past.join(F.broadcast(winner), ["kind", "method"], "left_semi").select("kind", "method", (F.col("actual") - F.col("predicted")).alias("err"))
+    chosen = future.join(winner, ["kind", "method"], "left_semi")
+    errors = past.join(winner, ["kind", "method"], "left_semi").select("kind", "method", (F.col("actual") - F.col("predicted")).alias("err"))
     out = empirical_bands(chosen, errors)
     if with_holt_winters:
         sim = simulated_bands(holt_winters(train), 53).select(*Series, "step", *[F.col(c).alias(f"_{c}") for c in BANDS])

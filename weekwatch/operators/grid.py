@@ -103,18 +103,19 @@ def add_calendar(df: DataFrame, span: DataFrame) -> DataFrame:
     )
 
 
-def dense_grid(counts: DataFrame, places: DataFrame, kinds: Iterable[str], span: DataFrame) -> DataFrame:
+def dense_grid(counts: DataFrame, places: DataFrame, kinds: Iterable[str] | None, span: DataFrame) -> DataFrame:
     """Every place, kind and week of the span; absent counts are a real 0.
 
-    `counts` has (place, kind, week_start, cases). The frame is generated from the place
-    table by explode, so the grid costs no shuffle of its own.
+    `counts` has (place, kind, week_start, cases); without `kinds` those of the counts are taken. The frame is
+    generated from the place table by explode, so the grid costs no shuffle of its own. A count that has no
+    cell in the frame fails the job: no case is lost in silence.
     """
-    frame = add_calendar(
-        places.withColumn("kind", F.explode(F.array(*[F.lit(k) for k in kinds]))), span
-    )
-    return frame.join(counts, ["place", "kind", "week_start"], "left").withColumn(
-        "cases", F.coalesce("cases", F.lit(0)).cast("bigint")
-    )
+    known = counts.agg(F.sort_array(F.collect_set("kind")).alias("k")).select("k").scalar() if kinds is None else F.array(*[F.lit(k) for k in kinds])
+    frame = add_calendar(places.withColumn("_kinds", known).withColumn("kind", F.explode("_kinds")).drop("_kinds"), span)
+    joined = frame.withColumn("_cell", F.lit(True)).join(counts, ["place", "kind", "week_start"], "full")
+    lost = F.raise_error(F.concat_ws(" ", F.lit("a count has no cell in the grid:"), F.col("place").cast("string"), "kind", F.col("week_start").cast("string")))
+    cases = F.when(F.col("_cell").isNull(), lost.cast("bigint")).otherwise(F.coalesce("cases", F.lit(0)).cast("bigint"))
+    return joined.withColumn("cases", cases).drop("_cell")
 
 
 def conservation(before: DataFrame, after: DataFrame, value: str = "cases") -> DataFrame:

@@ -18,7 +18,6 @@ from weekwatch.session import cut_lineage
 
 SEED = 42
 TREES = {"maxIter": 200, "maxDepth": 6, "stepSize": 0.1}
-SIGMOID_BELOW = 5000
 
 
 def _labelled(df: DataFrame, target: str, names: Sequence[str], allow_nulls: bool) -> DataFrame:
@@ -78,12 +77,12 @@ def _doubles(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.withColumns({n: F.col(n).cast("double") for n in names})
 
 
-def fit_logistic(train: DataFrame, names: Sequence[str], max_iter: int = 200) -> PipelineModel:
-    """Standardised logistic regression with balanced classes."""
+def fit_logistic(train: DataFrame, names: Sequence[str], max_iter: int = 200, penalty: float = 0.0) -> PipelineModel:
+    """Standardised logistic regression with balanced classes and a ridge penalty."""
     stages = [
         VectorAssembler(inputCols=list(names), outputCol="raw", handleInvalid="error"),
         StandardScaler(inputCol="raw", outputCol="features", withMean=True),
-        LogisticRegression(weightCol="weight", maxIter=max_iter, probabilityCol="_p", rawPredictionCol="_r", predictionCol="_y"),
+        LogisticRegression(weightCol="weight", maxIter=max_iter, regParam=penalty, probabilityCol="_p", rawPredictionCol="_r", predictionCol="_y"),
     ]
     return Pipeline(stages=stages).fit(balanced(_doubles(train, names)))
 
@@ -114,10 +113,10 @@ def predict(model: PipelineModel, df: DataFrame, names: Sequence[str]) -> DataFr
     return out.withColumn("probability", vector_to_array("_p")[1]).select(*df.columns, "probability")
 
 
-def calibrate(validation: DataFrame, score: str = "probability", label: str = "label", method: str | None = None) -> Callable[[DataFrame], DataFrame]:
-    """Calibration curve fitted on validation rows only; returns df -> df with `calibrated`."""
-    if method is None:
-        method = "sigmoid" if validation.count() < SIGMOID_BELOW else "isotonic"
+def calibrate(validation: DataFrame, score: str = "probability", label: str = "label", *, method: str) -> Callable[[DataFrame], DataFrame]:
+    """Calibration curve (sigmoid or isotonic) fitted on validation rows only; returns df -> df with `calibrated`."""
+    if method not in ("sigmoid", "isotonic"):
+        raise ValueError(f"method {method} is neither sigmoid nor isotonic")
     rows = validation.select(F.col(score).alias("s"), F.col(label).cast("double").alias("label"))
     if method == "sigmoid":
         va = VectorAssembler(inputCols=["s"], outputCol="features")
@@ -136,18 +135,22 @@ def calibrate(validation: DataFrame, score: str = "probability", label: str = "l
     return apply_curve
 
 
+def years_of(df: DataFrame) -> list[int]:
+    """All years of the rows; the calendar bounds them."""
+    return sorted(df.agg(F.collect_set("epi_year")).first()[0])
+
+
 def folds_of(df: DataFrame, years: Sequence[int]) -> list[int]:
     """Test years that have rows both before and in them; read from the year counts."""
     return sorted(r["fold"] for r in V.fold_sizes(df, years).select("fold").collect())
 
 
 def walk_forward_scores(df: DataFrame, names: Sequence[str], years: Sequence[int], fit: Callable, **params) -> DataFrame:
-    """One fit per test year on all earlier years; test rows with fold and probability."""
-    data = cut_lineage(df)
+    """One fit per test year on all earlier years; test rows with fold and probability. Cut the rows' lineage before."""
     out = None
-    for year in folds_of(data, years):
-        model = fit(data.where(F.col("epi_year") < year), names, **params)
-        part = predict(model, data.where(F.col("epi_year") == year), names).withColumn("fold", F.lit(year))
+    for year in folds_of(df, years):
+        model = fit(df.where(F.col("epi_year") < year), names, **params)
+        part = predict(model, df.where(F.col("epi_year") == year), names).withColumn("fold", F.lit(year))
         out = part if out is None else out.unionByName(part)
     if out is None:
         raise ValueError("no fold has both training and test rows")
@@ -166,25 +169,29 @@ def fold_spread(table: DataFrame, metric: str = "average_precision") -> DataFram
     )
 
 
-def shuffled(df: DataFrame, column: str, key: Sequence[str], seed: int) -> DataFrame:
-    """The same rows with one column permuted: two numberings of the rows joined on their number."""
-    keys = [F.col(k) for k in key]
-    rows = dense_index(df.drop(column), keys, "_i")
-    other = df.select(*key, column)
-    mixed = dense_index(other.withColumn("_h", F.xxhash64(F.lit(seed), *keys)), [F.col("_h"), *keys], "_i").select("_i", column)
-    return rows.join(mixed, "_i").drop("_i")
+def permuted(df: DataFrame, names: Sequence[str], key: Sequence[str], repeats: int, seed: int) -> DataFrame:
+    """One long frame of (feature, repeat, row), the feature's column permuted over the rows.
 
+    Rows are numbered once; each permutation is a second numbering of the same rows by a hash, joined on the number.
+    """
+    data = dense_index(df, [F.col(k) for k in key], "_i")
+    jobs = F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.lit(r).alias("repeat")) for n in names for r in range(repeats)]))
+    long = data.withColumn("_job", jobs).select("*", "_job.*").drop("_job")
+    h = F.xxhash64(F.lit(seed), "feature", "repeat", *key)
+    held = F.coalesce(*[F.when(F.col("feature") == n, F.col(n).cast("double")) for n in names])
+    values = long.select("feature", "repeat", *key, held.alias("_value")).withColumn("_h", h)
+    values = dense_index(values, [F.col("_h"), *[F.col(k) for k in key]], "_i", ["feature", "repeat"])
+    mixed = long.join(values.select("feature", "repeat", "_i", "_value"), ["feature", "repeat", "_i"])
+    return mixed.withColumns({n: F.when(F.col("feature") == n, F.col("_value")).otherwise(F.col(n).cast("double")) for n in names}).drop("_i", "_value")
 
-def permutation_importance(model: PipelineModel, test: DataFrame, names: Sequence[str], key: Sequence[str], repeats: int = 3, seed: int = SEED) -> DataFrame:
-    """Loss of average precision when a feature is permuted: mean and spread over repeats."""
-    def tagged(df: DataFrame, feature: str, repeat: int) -> DataFrame:
-        return predict(model, df, names).select(F.lit(feature).alias("feature"), F.lit(repeat).alias("repeat"), "probability", "label")
 
+def permutation_importance(model: PipelineModel, test: DataFrame, names: Sequence[str], key: Sequence[str], repeats: int = 3, seed: int = SEED) -> DataFrame:
+    """Loss of average precision when a feature is permuted: mean and spread over repeats, all scored in one pass."""
     data = cut_lineage(test.select(*key, "label", *names))
-    runs = tagged(data, "", 0)
-    for i, n in enumerate(names):
-        for k in range(repeats):
-            runs = runs.unionByName(tagged(shuffled(data, n, key, seed + 1000 * i + k), n, k))
+    plain = data.withColumn("feature", F.lit("")).withColumn("repeat", F.lit(0))
+    cols = ["feature", "repeat", "label", *names]
+    every = plain.select(*cols).unionByName(permuted(data, names, key, repeats, seed).select(*cols))
+    runs = predict(model, every, names).select("feature", "repeat", "probability", "label")
     ap = V.ranking_metrics(V.merged_scores(runs, "probability", "label", ["feature", "repeat"]), ["feature", "repeat"])
     ap = cut_lineage(ap.select("feature", "repeat", "average_precision"))
     base = ap.where(F.col("feature") == "").select("average_precision").scalar()
@@ -201,9 +208,9 @@ def importance_stability(per_fold: DataFrame) -> DataFrame:
 
 def small_grid(df: DataFrame, names: Sequence[str], years: Sequence[int], grid: Sequence[dict], fit: Callable = fit_trees) -> DataFrame:
     """Median walk-forward average precision per parameter set; temporal folds, never shuffled ones."""
-    data, out = cut_lineage(df), None
+    out = None
     for i, params in enumerate(grid):
-        t = walk_forward_table(walk_forward_scores(data, names, years, fit, **params))
+        t = walk_forward_table(walk_forward_scores(df, names, years, fit, **params))
         row = fold_spread(t).select(F.lit(i).alias("setting"), F.lit(str(sorted(params.items()))).alias("params"), "median", "mean", "n_folds")
         out = row if out is None else out.unionByName(row)
     return out
@@ -211,10 +218,10 @@ def small_grid(df: DataFrame, names: Sequence[str], years: Sequence[int], grid:
 
 def group_ablation(df: DataFrame, years: Sequence[int], groups: dict[str, Sequence[str]], fit: Callable, **params) -> DataFrame:
     """Walk-forward average precision with each feature group left out, and with all."""
-    data, out = cut_lineage(df), None
+    out = None
     for label in ("", *groups):
         names = [n for g, cols in groups.items() if g != label for n in cols]
-        t = fold_spread(walk_forward_table(walk_forward_scores(data, names, years, fit, **params)))
+        t = fold_spread(walk_forward_table(walk_forward_scores(df, names, years, fit, **params)))
         row = t.select(F.lit(label or "(all)").alias("left_out"), "median", "mean", "n_folds")
         out = row if out is None else out.unionByName(row)
     return out
@@ -225,8 +232,8 @@ class DifferentRows(ValueError):
 
 
 def require_same_rows(a: DataFrame, b: DataFrame, key: Sequence[str]) -> None:
-    left, right = a.select(*key), b.select(*key)
-    if not left.exceptAll(right).isEmpty() or not right.exceptAll(left).isEmpty():
+    sides = a.select(*key, F.lit(1).alias("_n")).unionByName(b.select(*key, F.lit(-1).alias("_n")))
+    if not sides.groupBy(*key).agg(F.sum("_n").alias("_n")).where("_n <> 0").isEmpty():
         raise DifferentRows("the variants cover different rows")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from weekwatch.functions import geo
 from weekwatch.functions.numbers import round_even
+from weekwatch.operators.learning import years_of
 from weekwatch.operators import association as A, explore, rates, routing, stations as S, weather as Wx
 from weekwatch.plans import tables as T
 from weekwatch.plans.registry import query
@@ -296,7 +297,8 @@ def year_by_week_pivot(spark, sf):
 
 @query("region_by_year_pivot", sql("SELECT region, " + ", ".join(f"CAST(coalesce(sum(cases) FILTER (epi_year = {y}), 0) AS BIGINT) AS y{y}" for y in range(1995, 2002)) + " FROM grid GROUP BY 1"))
 def region_by_year_pivot(spark, sf):
-    return explore.region_by_year(T.grid(spark, sf), list(range(1995, 2002)))
+    g = T.grid(spark, sf)
+    return explore.region_by_year(g, years_of(g))
 
 
 @query("station_coverage", sql(f"""

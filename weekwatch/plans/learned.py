@@ -13,9 +13,6 @@ from weekwatch.streaming import readings as SR, weekly as SW
 
 KEY = ["place", "kind", "week_index"]
 NAMES = X.feature_names()
-FOLDS = (1999, 2000)
-# few rounds keep the registered runs short; the library default is TREES
-SHORT = {"maxIter": 5, "maxDepth": 3}
 
 
 def _nn(cols) -> str:
@@ -86,66 +83,69 @@ def split(df):
 @query("logistic_regression_scores")
 def logistic_regression_scores(spark, sf):
     train, _, test = split(small_set(spark, sf))
-    return L.predict(L.fit_logistic(train, NAMES, 50), test, NAMES).select(*KEY, "label", "probability")
+    return L.predict(L.fit_logistic(train, NAMES), test, NAMES).select(*KEY, "label", "probability")
 
 
 @query("boosted_tree_scores")
 def boosted_tree_scores(spark, sf):
     train, _, test = split(small_set(spark, sf))
-    return L.predict(L.fit_trees(train, NAMES, **SHORT), test, NAMES).select(*KEY, "label", "probability")
+    return L.predict(L.fit_trees(train, NAMES), test, NAMES).select(*KEY, "label", "probability")
 
 
 @query("calibrated_brier")
 def calibrated_brier(spark, sf):
     train, val, test = split(small_set(spark, sf))
-    model = L.fit_logistic(train, NAMES, 50)
+    model = L.fit_logistic(train, NAMES)
     scored = L.predict(model, test, NAMES)
-    fixed = L.calibrate(L.predict(model, val, NAMES))(scored)
+    fixed = L.calibrate(L.predict(model, val, NAMES), method="isotonic")(scored)
     before = V.brier(fixed, "probability", "label").withColumn("stage", F.lit("before"))
     return before.unionByName(V.brier(fixed, "calibrated", "label").withColumn("stage", F.lit("after")))
 
 
 @query("permutation_importance")
 def permutation_importance(spark, sf):
-    some = ["threshold_ratio", "growth", "mean_4w"]
     train, _, test = split(small_set(spark, sf))
-    model = L.fit_logistic(train, some, 30)
-    return L.permutation_importance(model, test, some, KEY, repeats=2)
+    return L.permutation_importance(L.fit_logistic(train, NAMES), test, NAMES, KEY)
 
 
 @query("walk_forward_onset")
 def walk_forward_onset(spark, sf):
-    return L.walk_forward_table(L.walk_forward_scores(small_set(spark, sf), NAMES, FOLDS, L.fit_trees, **SHORT))
+    data = small_set(spark, sf)
+    return L.walk_forward_table(L.walk_forward_scores(data, NAMES, L.years_of(data), L.fit_logistic))
 
 
 @query("walk_forward_recall")
 def walk_forward_recall(spark, sf):
-    s = L.walk_forward_scores(small_set(spark, sf), NAMES, FOLDS, L.fit_logistic, max_iter=30)
+    data = small_set(spark, sf)
+    s = L.walk_forward_scores(data, NAMES, L.years_of(data), L.fit_logistic)
     ranked = R.weekly_rank(s, "probability")
     return R.recall_at_k(ranked, "label", by=("kind", "week_index"))
 
 
 @query("hyper_parameter_grid")
 def hyper_parameter_grid(spark, sf):
-    return L.small_grid(small_set(spark, sf), NAMES, (2000,), [{"maxIter": 3, "maxDepth": 2}, {"maxIter": 3, "maxDepth": 3}])
+    data = small_set(spark, sf)
+    return L.small_grid(data, NAMES, L.years_of(data), [{"penalty": p} for p in (0.0, 0.001, 0.01, 0.1)], L.fit_logistic)
 
 
 @query("feature_group_ablation")
 def feature_group_ablation(spark, sf):
     groups = {"base": X.BASE, "momentum": X.MOMENTUM, "history": X.LOCAL_HISTORY}
-    return L.group_ablation(small_set(spark, sf), (2000,), groups, L.fit_logistic, max_iter=20)
+    data = small_set(spark, sf)
+    return L.group_ablation(data, L.years_of(data), groups, L.fit_logistic)
 
 
 @query("variant_decision")
 def variant_decision(spark, sf):
     data = small_set(spark, sf)
     lean = [n for n in NAMES if n not in X.MOMENTUM]
-    a = L.walk_forward_scores(data, NAMES, FOLDS, L.fit_logistic, max_iter=30)
-    b = L.walk_forward_scores(data, lean, FOLDS, L.fit_logistic, max_iter=30)
+    years = L.years_of(data)
+    a = L.walk_forward_scores(data, NAMES, years, L.fit_logistic)
+    b = L.walk_forward_scores(data, lean, years, L.fit_logistic)
     a, b = cut_lineage(a.select(*KEY, "fold", "label", "probability")), cut_lineage(b.select(*KEY, "fold", F.col("probability").alias("other")))
     L.require_same_rows(a, b, KEY)
     gain = a.join(b, [*KEY, "fold"]).withColumn("d", F.pow(F.col("other") - F.col("label"), 2.0) - F.pow(F.col("probability") - F.col("label"), 2.0))
-    interval = B.mean_interval(gain, F.col("d"), ["place", "fold"], draws=500)
+    interval = B.mean_interval(gain, F.col("d"), ["place", "fold"])
     return L.adopt_variant(interval, gain.groupBy("fold").agg(F.avg("d").alias("difference")))
 
 
@@ -154,7 +154,7 @@ def recall_interval(spark, sf):
     m = cut_lineage(master(spark, sf))
     out = None
     for label, unit in (("episode", ["place", "kind", "start_index"]), ("place", ["place"]), ("place_year", ["place", "start_year"])):
-        one = B.mean_interval(m, F.col("history_hit_10"), unit, draws=500).withColumn("unit", F.lit(label))
+        one = B.mean_interval(m, F.col("history_hit_10"), unit).withColumn("unit", F.lit(label))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -162,13 +162,13 @@ def recall_interval(spark, sf):
 @query("recall_difference_interval")
 def recall_difference_interval(spark, sf):
     m = cut_lineage(master(spark, sf))
-    return B.difference_interval(m, F.col("history_hit_10"), F.col("growth_hit_10"), ["place"], draws=500)
+    return B.difference_interval(m, F.col("history_hit_10"), F.col("growth_hit_10"), ["place"])
 
 
 @query("lead_median_interval")
 def lead_median_interval(spark, sf):
     m = cut_lineage(master(spark, sf))
-    return B.median_interval(m, F.col("history_lead_weeks"), ["place", "kind", "start_index"], draws=500)
+    return B.median_interval(m, F.col("history_lead_weeks"), ["place", "kind", "start_index"])
 
 
 # --- streams -----------------------------------------------------------------------------------
@@ -186,18 +186,16 @@ def event_stream(spark, sf):
 
 
 @query("streamed_daily_readings", sql(f"""
-SELECT user_id AS station, CAST(ts AS DATE) AS day, {r("sum(value) FILTER (event_type <> 'error')", 4)} AS rain_mm, count(value) FILTER (event_type <> 'error') AS valid_hours FROM events
-GROUP BY 1, 2 HAVING CAST(ts AS DATE) + 1 <= (SELECT max(ts) - INTERVAL 2 DAY FROM events)"""))
+SELECT user_id AS station, CAST(ts AS DATE) AS day, {r("sum(value) FILTER (event_type <> 'error')", 4)} AS rain_mm, count(value) FILTER (event_type <> 'error') AS valid_hours FROM events GROUP BY 1, 2"""))
 def streamed_daily_readings(spark, sf):
-    return rounded(SR.run_to_table(spark, SR.daily_readings(event_stream(spark, sf)), "daily"), rain_mm=4)
+    return rounded(SR.run_to_table(spark, SR.daily_readings(event_stream(spark, sf)), "daily", ["station", "day"]), rain_mm=4)
 
 
 @query("streamed_weekly_counts", sql(f"""
-SELECT * FROM (SELECT user_id % 25 AS place, event_type AS kind, {sunday('CAST(ts AS DATE)')} AS week_start, count(*) AS cases FROM events GROUP BY 1, 2, 3)
-WHERE week_start + 7 <= (SELECT max(ts) - INTERVAL 7 DAY FROM events)"""))
+SELECT user_id % 25 AS place, event_type AS kind, {sunday('CAST(ts AS DATE)')} AS week_start, count(*) AS cases FROM events GROUP BY 1, 2, 3"""))
 def streamed_weekly_counts(spark, sf):
     e = event_stream(spark, sf).select((F.col("station") % 25).alias("place"), F.col("event_type").alias("kind"), "ts")
-    return SR.run_to_table(spark, SW.weekly_counts(e), "weekly")
+    return SR.run_to_table(spark, SW.weekly_counts(e), "weekly", ["place", "kind", "week_start"])
 
 
 @query("streamed_first_readings", sql("SELECT DISTINCT user_id AS station, CAST(ts AS DATE) AS day, hour(ts) AS hour FROM events"))

@@ -4,32 +4,40 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from weekwatch.contracts import LAG_SENTENCE
 from weekwatch.operators import association, forecasting as M, gates, rates, routing, star
 from weekwatch.plans import climate, tables as T
 from weekwatch.plans.registry import query
 from weekwatch.plans.sqltext import r, rate, sql, week_one
 from weekwatch.plans.weekly import _BT, backtest, rounded, with_rates
 
-FOLDS = (1997, 1998, 1999)
+# the last complete year of the driver's tables, for the SQL; the Spark side reads it from the data
 LAST_YEAR = 2000
 
 
+def folds(spark, sf):
+    """Three backtest folds before the last complete year."""
+    last = T.last_complete_year(spark, sf)
+    return (last - 3, last - 2, last - 1)
+
+
 def series(spark, sf):
     """City series of the complete years; later weeks are not treated as observed."""
-    s = rates.city_series(T.grid(spark, sf)).where(F.col("epi_year") <= LAST_YEAR)
+    s = rates.city_series(T.grid(spark, sf)).where(F.col("epi_year") <= T.last_complete_year(spark, sf))
     return s.select("kind", "epi_year", "epi_week", "week_start", "series_index", "cases")
 
 
-def _fold_blocks(folds: str, targets: str) -> dict[str, str]:
+def _fold_blocks(folds: str, targets: str, p: str = "") -> dict[str, str]:
+    """The forecast blocks of some folds; `p` comes before the names of those that depend on them."""
     return {
         "ser": f"SELECT kind, epi_year, epi_week, week_start, series_index, cases FROM series WHERE epi_year <= {LAST_YEAR}",
-        "trn": f"SELECT s.*, f AS fold FROM ser s, (SELECT unnest({folds}) AS f) WHERE epi_year <= f",
-        "tgt": targets,
-        "whole": "SELECT kind, fold, avg(cases) AS mn, max(series_index) AS li, max(epi_year) AS ly, regr_slope(cases, series_index) AS sl, regr_intercept(cases, series_index) AS ic FROM trn GROUP BY ALL",
-        "weekly_": "SELECT t.kind, t.fold, t.epi_week, max(cases) FILTER (epi_year = ly) AS nv, avg(cases) AS wm, avg(cases - (sl * series_index + ic)) AS rs FROM trn t JOIN whole USING (kind, fold) GROUP BY ALL",
-        "fc0": "SELECT t.*, w.mn, w.li, w.sl, w.ic, k.nv, k.wm, k.rs FROM tgt t JOIN whole w USING (kind, fold) LEFT JOIN weekly_ k USING (kind, fold, epi_week)",
-        "fc": " UNION ALL ".join(
-            f"SELECT kind, fold, '{m}' AS method, epi_year, epi_week, week_start, step, actual, greatest({e}, 0e0) AS predicted FROM fc0"
+        f"{p}trn": f"SELECT s.*, f AS fold FROM ser s, (SELECT unnest({folds}) AS f) WHERE epi_year <= f",
+        f"{p}tgt": targets,
+        f"{p}whole": f"SELECT kind, fold, avg(cases) AS mn, max(series_index) AS li, max(epi_year) AS ly, regr_slope(cases, series_index) AS sl, regr_intercept(cases, series_index) AS ic FROM {p}trn GROUP BY ALL",
+        f"{p}weekly_": f"SELECT t.kind, t.fold, t.epi_week, max(cases) FILTER (epi_year = ly) AS nv, avg(cases) AS wm, avg(cases - (sl * series_index + ic)) AS rs FROM {p}trn t JOIN {p}whole USING (kind, fold) GROUP BY ALL",
+        f"{p}fc0": f"SELECT t.*, w.mn, w.li, w.sl, w.ic, k.nv, k.wm, k.rs FROM {p}tgt t JOIN {p}whole w USING (kind, fold) LEFT JOIN {p}weekly_ k USING (kind, fold, epi_week)",
+        f"{p}fc": " UNION ALL ".join(
+            f"SELECT kind, fold, '{m}' AS method, epi_year, epi_week, week_start, step, actual, greatest({e}, 0e0) AS predicted FROM {p}fc0"
             for m, e in (("seasonal_naive", "coalesce(CAST(nv AS DOUBLE), mn)"), ("week_mean", "coalesce(wm, mn)"), ("trend_season", "sl * (li + step) + ic + coalesce(rs, 0)"))
         ),
         "btab0": "SELECT kind, fold, method, count(*) AS n_weeks, avg(abs(actual - predicted)) AS mae, sqrt(avg((actual - predicted) * (actual - predicted))) AS rmse, arg_max({'st': step, 'w': epi_week, 'v': actual}, actual * 1e6 - step) AS o, arg_max({'st': step, 'w': epi_week, 'v': predicted}, round_even(predicted * 1e9, 0) * 1e3 - step) AS p FROM fc GROUP BY ALL",
@@ -48,26 +56,26 @@ _BACK = _fold_blocks(
 
 @query("rule_forecasts", sql(f"SELECT kind, CAST(fold AS BIGINT) AS fold, method, epi_year, epi_week, step, actual, {r('predicted', 5)} AS predicted FROM fc", _BACK))
 def rule_forecasts(spark, sf):
-    f = M.all_forecasts(series(spark, sf), FOLDS, with_holt_winters=False)
+    f = M.all_forecasts(series(spark, sf), folds(spark, sf), with_holt_winters=False)
     return rounded(f.select("kind", "fold", "method", "epi_year", "epi_week", "step", "actual", "predicted"), predicted=5)
 
 
 @query("holt_winters_forecasts")
 def holt_winters_forecasts(spark, sf):
     s = series(spark, sf)
-    return M.holt_winters_forecasts(M.in_folds(s, FOLDS), M.observed_targets(s, FOLDS))
+    return M.holt_winters_forecasts(M.in_folds(s, folds(spark, sf)), M.observed_targets(s, folds(spark, sf)))
 
 
 @query("forecast_backtest", sql(f"""
 SELECT kind, CAST(fold AS BIGINT) AS fold, method, CAST(target_year AS BIGINT) AS target_year, n_weeks, {r('mae', 5)} AS mae, {r('rmse', 5)} AS rmse, {r('mase', 5)} AS mase, peak_week, peak_week_predicted, peak_shift, {r('peak_size_error', 5)} AS peak_size_error FROM btab""", _BACK))
 def forecast_backtest(spark, sf):
-    b = M.backtest(M.all_forecasts(series(spark, sf), FOLDS, with_holt_winters=False))
+    b = M.backtest(M.all_forecasts(series(spark, sf), folds(spark, sf), with_holt_winters=False))
     return rounded(b, mae=5, rmse=5, mase=5, peak_size_error=5)
 
 
 @query("forecast_backtest_all_methods")
 def forecast_backtest_all_methods(spark, sf):
-    return M.backtest(M.all_forecasts(series(spark, sf), FOLDS))
+    return M.backtest(M.all_forecasts(series(spark, sf), folds(spark, sf)))
 
 
 _COV = {**_BACK, "errs": "SELECT kind, fold, method, actual - predicted AS err FROM fc",
@@ -77,34 +85,31 @@ _COV = {**_BACK, "errs": "SELECT kind, fold, method, actual - predicted AS err F
 @query("band_coverage_left_out", sql(f"""
 SELECT kind, CAST(fold AS BIGINT) AS fold, method, {r('avg(CAST(err BETWEEN l8 AND h8 AS INTEGER))', 4)} AS coverage_80, {r('avg(CAST(err BETWEEN l9 AND h9 AS INTEGER))', 4)} AS coverage_95 FROM errs JOIN bnd USING (kind, fold, method) GROUP BY ALL""", _COV))
 def band_coverage_left_out(spark, sf):
-    f = M.all_forecasts(series(spark, sf), FOLDS, with_holt_winters=False)
-    return rounded(M.coverage_left_out(f, FOLDS), coverage_80=4, coverage_95=4)
+    f = M.all_forecasts(series(spark, sf), folds(spark, sf), with_holt_winters=False)
+    return rounded(M.coverage_left_out(f, folds(spark, sf)), coverage_80=4, coverage_95=4)
 
 
 @query("forecast_method_summary", sql(f"SELECT kind, method, n_folds, {r('mase_median', 5)} AS mase_median, shift_median FROM msum", _BACK))
 def forecast_method_summary(spark, sf):
-    b = M.backtest(M.all_forecasts(series(spark, sf), FOLDS, with_holt_winters=False))
+    b = M.backtest(M.all_forecasts(series(spark, sf), folds(spark, sf), with_holt_winters=False))
     return rounded(M.method_summary(b), mase_median=5)
 
 
 @query("forecast_method_choice", sql("SELECT * FROM win", _BACK))
 def forecast_method_choice(spark, sf):
-    return M.choose_method(M.method_summary(M.backtest(M.all_forecasts(series(spark, sf), FOLDS, with_holt_winters=False))))
+    return M.choose_method(M.method_summary(M.backtest(M.all_forecasts(series(spark, sf), folds(spark, sf), with_holt_winters=False))))
 
 
 _NEXT = f"""SELECT kind, {LAST_YEAR} AS fold, {LAST_YEAR + 1} AS epi_year, w AS epi_week, CAST({week_one(str(LAST_YEAR + 1))} + CAST(7 * (w - 1) AS INTEGER) AS DATE) AS week_start, CAST(NULL AS DOUBLE) AS actual, w AS step
 FROM kinds, (SELECT unnest(generate_series(1, ({week_one(str(LAST_YEAR + 2))} - {week_one(str(LAST_YEAR + 1))}) // 7)) AS w)"""
-_FUT = {("f" + k if k != "ser" else k): v for k, v in _fold_blocks(f"[{LAST_YEAR}]", _NEXT).items() if k in ("ser", "trn", "tgt", "whole", "weekly_", "fc0", "fc")}
-for _k in list(_FUT):
-    for _n in ("trn", "tgt", "whole", "weekly_", "fc0"):
-        _FUT[_k] = __import__("re").sub(rf"\b{_n}\b", "f" + _n, _FUT[_k])
+_FUT = {k: v for k, v in _fold_blocks(f"[{LAST_YEAR}]", _NEXT, "f").items() if k in ("ser", "ftrn", "ftgt", "fwhole", "fweekly_", "ffc0", "ffc")}
 _PROJ = {**_BACK, **_FUT, "perr": "SELECT kind, quantile_cont(actual - predicted, 0.1) AS l8, quantile_cont(actual - predicted, 0.9) AS h8, quantile_cont(actual - predicted, 0.025) AS l9, quantile_cont(actual - predicted, 0.975) AS h9 FROM fc JOIN win USING (kind, method) GROUP BY kind",
 "prj": f"""SELECT kind, method, CAST(epi_year AS BIGINT) AS epi_year, epi_week, week_start, CAST(round_even(predicted, 0) AS BIGINT) AS cases, CAST(round_even(greatest(0, predicted + l8), 0) AS BIGINT) AS low_80, CAST(round_even(predicted + h8, 0) AS BIGINT) AS high_80,
  CAST(round_even(greatest(0, predicted + l9), 0) AS BIGINT) AS low_95, CAST(round_even(predicted + h9, 0) AS BIGINT) AS high_95 FROM ffc JOIN win USING (kind, method) JOIN perr USING (kind)"""}
 
 
 def projected(spark, sf):
-    return M.projection(series(spark, sf), FOLDS, with_holt_winters=False)
+    return M.projection(series(spark, sf), folds(spark, sf), with_holt_winters=False)
 
 
 @query("year_projection", sql("SELECT * FROM prj", _PROJ))
@@ -114,13 +119,13 @@ def year_projection(spark, sf):
 
 @query("year_projection_all_methods")
 def year_projection_all_methods(spark, sf):
-    return M.projection(series(spark, sf), FOLDS)
+    return M.projection(series(spark, sf), folds(spark, sf))
 
 
 @query("simulated_bands")
 def simulated_bands(spark, sf):
     s = series(spark, sf)
-    return M.simulated_bands(M.holt_winters(M.in_folds(s, (LAST_YEAR,))), 53, paths=500)
+    return M.simulated_bands(M.holt_winters(M.in_folds(s, (T.last_complete_year(spark, sf),))), 53, paths=1000)
 
 
 _ART = "SELECT kind, epi_year, epi_week, week_start, true AS is_observed, cases, CAST(NULL AS BIGINT) AS low_80, CAST(NULL AS BIGINT) AS high_80, CAST(NULL AS BIGINT) AS low_95, CAST(NULL AS BIGINT) AS high_95 FROM ser UNION ALL SELECT kind, epi_year, epi_week, week_start, false, cases, low_80, high_80, low_95, high_95 FROM prj"
@@ -210,8 +215,8 @@ def raw_against_adjusted_lags(spark, sf):
     return association.raw_against_adjusted(lag_table(spark, sf))
 
 
-@query("strongest_lag", sql("""
-SELECT kind, target, variable, lag, spearman, n, printf('A maior associação observada ocorreu com %d %s de defasagem (Spearman=%.2f, n=%d), mas isso representa associação histórica, não causalidade.', lag, CASE WHEN lag = 1 THEN 'semana' ELSE 'semanas' END, spearman, n) AS sentence
+@query("strongest_lag", sql(f"""
+SELECT kind, target, variable, lag, spearman, n, printf('{LAG_SENTENCE}', lag, CASE WHEN lag = 1 THEN 'semana' ELSE 'semanas' END, spearman, n) AS sentence
 FROM (SELECT *, row_number() OVER (PARTITION BY kind, target, variable ORDER BY abs(spearman) DESC, lag) AS rn FROM lagtab WHERE NOT adjusted AND reliable AND spearman IS NOT NULL) WHERE rn = 1""", climate._LAGS))
 def strongest_lag(spark, sf):
     return association.strongest_lag(association.lag_correlations(climate.lag_pairs(spark, sf)))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from weekwatch.functions import dates
 from weekwatch.operators import grid as G
 
+# the kinds that gates and filters expect; grids take theirs from the data
 KINDS = ("F", "O", "P")
 FIRST_YEAR = 1995
 
@@ -57,17 +58,16 @@ def case_counts(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def order_span(spark: SparkSession, sf: str, whole_years: bool = False) -> DataFrame:
-    return G.week_span(
-        read(spark, sf, "orders").select(F.col("o_orderdate").alias("day")), "day", whole_years
-    )
+def last_complete_year(spark: SparkSession, sf: str) -> int:
+    """The last epidemiological year whose last week has orders; one number, read from one column."""
+    newest = dates.sunday_of(F.max(F.col("o_orderdate").cast("date")))
+    return read(spark, sf, "orders").agg(newest.alias("w")).select(dates.epi_year(F.date_add("w", 7)) - 1).first()[0]
 
 
 def grid(spark: SparkSession, sf: str, whole_years: bool = False) -> DataFrame:
-    """Dense counts over the observed weeks (or the whole epidemiological years)."""
-    return G.dense_grid(
-        case_counts(spark, sf), places(spark, sf), KINDS, order_span(spark, sf, whole_years)
-    )
+    """Dense counts over the observed weeks (or the whole epidemiological years), kinds and span from the counts."""
+    counts = case_counts(spark, sf)
+    return G.dense_grid(counts, places(spark, sf), None, G.week_span(counts, "week_start", whole_years))
 
 
 def base_population(spark: SparkSession, sf: str) -> DataFrame:
@@ -79,11 +79,13 @@ def base_population(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def population(spark: SparkSession, sf: str) -> DataFrame:
-    """(place, epi_year, population, population_type): 2 % of the base per year, 1995..2002."""
+    """(place, epi_year, population, population_type): 2 % of the base per year, up to the year after the last order."""
     year = F.col("epi_year")
+    last = read(spark, sf, "orders").agg((dates.epi_year(F.max(F.col("o_orderdate").cast("date"))) + 1).alias("y")).select("y").scalar()
     return (
         base_population(spark, sf)
-        .withColumn("epi_year", F.explode(F.sequence(F.lit(FIRST_YEAR), F.lit(FIRST_YEAR + 7))))
+        .withColumn("_last", last)
+        .withColumn("epi_year", F.explode(F.sequence(F.lit(FIRST_YEAR), F.col("_last").cast("int"))))
         .select(
             "place",
             "epi_year",

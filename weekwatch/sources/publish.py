@@ -18,15 +18,22 @@ def write_rejected(df: DataFrame, path: str, run_id: str) -> None:
     ).option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
-def write_valid_with_manifest(routed: DataFrame, table: str, manifest: str, layer: str, run_id: str, refused: Sequence[str] = ()) -> dict:
-    """Writes the valid rows and appends one manifest row counted on the same pass."""
+def write_valid_with_manifest(
+    routed: DataFrame, table: str, manifest: str, layer: str, run_id: str, refused: Sequence[str] = (), source_rows: int | None = None
+) -> dict:
+    """Writes the valid rows and appends one manifest row counted on the same pass.
+
+    With `source_rows`, the count of the source taken on its own, a routing that lost or doubled rows writes no
+    manifest: the run is not published. The reasons of the rejected rows are a second, pruned pass.
+    """
     reason = F.col(routing.REASON)
     watched, watch = observed(
         routed, f"{layer}-{run_id}", linhas_lidas=F.count(F.lit(1)), linhas_validas=F.count_if(reason.isNull()), linhas_rejeitadas=F.count_if(reason.isNotNull())
     )
     routing.valid(watched).write.mode("overwrite").parquet(table)
     counts = watch.get
-    spark = routed.sparkSession
+    if source_rows is not None and counts["linhas_lidas"] != source_rows:
+        raise ValueError(f"{source_rows} rows in the source, {counts['linhas_lidas']} after routing")
     histogram = routing.reason_counts(routing.rejected(routed)).agg(
         F.map_from_entries(F.collect_list(F.struct(routing.REASON, "n_rows"))).alias("motivos")
     )
@@ -35,8 +42,6 @@ def write_valid_with_manifest(routed: DataFrame, table: str, manifest: str, laye
         *[F.lit(counts[k]).cast("bigint").alias(k) for k in ("linhas_lidas", "linhas_validas", "linhas_rejeitadas")],
         "motivos", F.array(*[F.lit(r) for r in refused]).cast("array<string>").alias("arquivos_recusados"),
     ).write.mode("append").json(manifest)
-    if spark is not None and counts["linhas_lidas"] != counts["linhas_validas"] + counts["linhas_rejeitadas"]:
-        raise ValueError("rows were lost between reading and routing")
     return counts
 
 

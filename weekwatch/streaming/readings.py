@@ -7,12 +7,16 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from weekwatch.operators.weather import keep_last
 from weekwatch.session import checkpoint_dir
 from weekwatch.sources.tables import delete_path, path_exists
 
 
+EPOCH = "batch_number"
+
+
 def daily_readings(readings: DataFrame, delay: str = "2 days", ts: str = "ts") -> DataFrame:
     """Tumbling day per station with the count of valid hours; a day closes when the watermark passes it."""
     return (
@@ -72,8 +76,35 @@ def run_available(df: DataFrame, table: str, checkpoint: str, mode: str = "appen
     q.awaitTermination()
 
 
-def run_to_table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Runs a stream into a fresh folder of the shared checkpoint directory and reads it back."""
+def upsert_available(df: DataFrame, table: str, checkpoint: str) -> None:
+    """Processes what is there in update mode: every batch writes the rows it changed under its own number.
+
+    Windows that the watermark has not closed are written as they stand, so nothing waits for later
+    events; a batch that runs twice replaces its own folder.
+    """
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{table}/{EPOCH}={epoch}")
+
+    q = df.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+
+
+def newest_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The last written row of each key of an upserted table."""
+    others = [c for c in df.columns if c not in (*keys, EPOCH)]
+    return df.groupBy(*keys).agg(F.max_by(F.struct(*others), EPOCH).alias("_r")).select(*keys, "_r.*")
+
+
+def run_to_table(spark: SparkSession, df: DataFrame, name: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Runs a stream into a fresh folder of the shared checkpoint directory and reads it back.
+
+    With `keys` the table holds the newest row of each key, open windows included; without, rows are appended.
+    """
     base = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    run_available(df, f"{base}/table", f"{base}/checkpoint")
-    return spark.read.schema(df.schema).parquet(f"{base}/table")
+    if not keys:
+        run_available(df, f"{base}/table", f"{base}/checkpoint")
+        return spark.read.schema(df.schema).parquet(f"{base}/table")
+    upsert_available(df, f"{base}/table", f"{base}/checkpoint")
+    written = spark.read.schema(StructType([*df.schema.fields, StructField(EPOCH, LongType())])).parquet(f"{base}/table")
+    return newest_rows(written, keys).select(*df.columns)
