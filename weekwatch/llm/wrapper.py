@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from weekwatch.llm.registry import query, table
 from weekwatch.llm.shared import store
@@ -328,8 +328,11 @@ def judge_slots(tree: Node) -> list[tuple[str, bool, bool]]:
 
 # --- pages -------------------------------------------------------------------------------------------
 
-BLOCK = "array<struct<node:int,hash:long,links:int,chars:int,text:string>>"
-READ = f"page_id long, url string, host string, tree string, main_hash long, blocks {BLOCK}"
+#: What is counted of the blocks stands apart from their texts, so that counting does not read these.
+READ = (
+    "page_id long, url string, host string, tree string, main_hash long, "
+    "blocks array<struct<node:int,hash:long,links:int,chars:int>>, texts array<string>"
+)
 
 
 def _deep(run):
@@ -358,10 +361,10 @@ def read_pages(pages: DataFrame) -> DataFrame:
                 url = url if isinstance(url, str) else None
                 root, blocks = parse(text if isinstance(text, str) else "")
                 place = {id(x): i for i, x in enumerate(preorder(root))}
-                out = [{"node": place[id(x)], "hash": _hash(t), "links": n, "chars": len(t), "text": t} for x, t, n in blocks]
-                longest = max(out, key=lambda b: b["chars"], default={"hash": 0})
-                rows.append((None if page_id is None else int(page_id), url, host_of(url), dump(root), longest["hash"], out))
-            yield pd.DataFrame(rows, columns=["page_id", "url", "host", "tree", "main_hash", "blocks"])
+                out = [(place[id(x)], _hash(t), n, len(t)) for x, t, n in blocks]
+                longest = max(out, key=lambda b: b[3], default=(0, 0))
+                rows.append((None if page_id is None else int(page_id), url, host_of(url), dump(root), longest[1], out, [t for _, t, _ in blocks]))
+            yield pd.DataFrame(rows, columns=["page_id", "url", "host", "tree", "main_hash", "blocks", "texts"])
 
     cols = [F.col("page_id").cast("string").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")]
     return pages.select(*cols).mapInPandas(run, READ)
@@ -410,10 +413,8 @@ def slots_of(trees: DataFrame, wrappers: DataFrame) -> DataFrame:
 
 def decisions(pages: DataFrame, slots: DataFrame, least: int = LEAST_PAGES, share: float = CONSTANT_SHARE) -> DataFrame:
     """(host, tree_id, keep, template): slots to keep, and (slot, text hash) pairs that are template."""
-    one_each = pages.select("host", "tree_id", "main_hash", "blocks").dropDuplicates(["host", "main_hash"])
-    blocks = one_each.select(
-        "host", "tree_id", F.explode(F.array_distinct(F.transform("blocks", lambda b: F.struct(b["node"], b["hash"], b["links"], b["chars"])))).alias("b")
-    ).select("host", "tree_id", "b.*")
+    one_each = store(pages.select("host", "tree_id", "main_hash", "blocks").dropDuplicates(["host", "main_hash"]))
+    blocks = one_each.select("host", "tree_id", F.explode(F.array_distinct("blocks")).alias("b")).select("host", "tree_id", "b.*")
     merged = blocks.groupBy("host", "tree_id", "node", "hash", "links", "chars").agg(F.count("*").alias("n"))
     texts = cut_lineage(merged.join(slots, ["host", "tree_id", "node"]).groupBy("host", "slot", "hash").agg(
         F.sum("n").alias("n"), F.sum(F.col("n") * F.col("links")).alias("links"), F.sum(F.col("n") * F.col("chars")).alias("chars")
@@ -443,12 +444,13 @@ def main_text(pages: DataFrame, least: int = LEAST_PAGES, share: float = CONSTAN
     # a row for each distinct tree of a host; beyond the bound the join is left to Catalyst
     verdicts = F.broadcast(verdicts) if size <= SMALL_TABLE else verdicts
     joined = read.join(verdicts.select(F.col("host").alias("v_host"), F.col("tree_id").alias("v_tree"), "keep", "template"), (F.col("host") == F.col("v_host")) & (F.col("tree_id") == F.col("v_tree")))
-    kept = F.filter(
-        "blocks",
-        lambda b: F.array_contains("keep", b["node"])
-        & ~F.coalesce(F.exists("template", lambda t: (t["node"] == b["node"]) & (t["hash"] == b["hash"])), F.lit(False)),
-    )
-    text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n\n")
+
+    def is_kept(b) -> Column:
+        in_template = F.exists("template", lambda t: (t["node"] == b["node"]) & (t["hash"] == b["hash"]))
+        return F.array_contains("keep", b["node"]) & ~F.coalesce(in_template, F.lit(False))
+
+    kept = F.filter("texts", lambda _, i: is_kept(F.get("blocks", i)))
+    text = F.array_join(kept, "\n\n")
     return joined.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
 
