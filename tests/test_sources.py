@@ -4,6 +4,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from weekwatch import contracts as C
 from weekwatch.operators import conform, gates, routing, weather
 from weekwatch.sources import json_sources as J, manifests, publish, tables, text_tables as X
 
@@ -23,6 +24,15 @@ def test_text_tables_sniff_encoding_separator_and_isolate_faults(spark, tmp_path
     assert rows(a.select("ID", "NOME", "VALOR"), "ID") == [("01", "São", "NA"), ("02", None, "nan"), ("04", "curto", None)]
     assert rows(table.where(F.col("_file").endswith("b.csv")).select("id", "nome")) == [("7", "a,b")]
     assert dict(rows(X.status_counts(checks))) == {"OK": 2, "ERRO": 2, "AVISO": 1}
+    rejects = X.read_text_tables_with_rejects(spark, str(tmp_path))[1]
+    assert [(r["line"], r["reason"]) for r in rejects.collect()] == [("03;x;1;extra", C.TOO_MANY_FIELDS)]
+
+
+def test_a_long_blank_start_hides_no_web_page(spark, tmp_path):
+    (tmp_path / "page.csv").write_text("\n" * 700 + " " * 600 + "<HTML><body>erro</body></html>\n")
+    (tmp_path / "data.csv").write_text("a;b\n1;<html>\n")
+    got = {r["path"].rsplit("/", 1)[1]: r["status"] for r in X.file_checks(spark, str(tmp_path)).collect()}
+    assert got == {"page.csv": "ERRO", "data.csv": "OK"}
 
 
 def test_station_file(spark, tmp_path):
@@ -31,6 +41,7 @@ def test_station_file(spark, tmp_path):
         f"Data;Hora UTC;{X.RAIN_TITLE};{X.TEMPERATURE_TITLE};{X.HUMIDITY_TITLE};",
     ]
     body = ["2024/01/01;0000 UTC;,4;25,5;80;", "2024/01/01;0100 UTC;;26,5;;", "2024/01/02;0000 UTC;;;;"]
+    body += ["", "note"] * 10 + ["ESTACAO:;Not the head"]
     (tmp_path / "s.csv").write_bytes("\r\n".join(head + body).encode("latin-1"))
     meta, hourly = X.read_station_files(spark, str(tmp_path))
     reg = X.station_register(meta).first()

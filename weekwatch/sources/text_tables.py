@@ -17,6 +17,7 @@ RAIN_TITLE = "PRECIPITAÇÃO TOTAL, HORÁRIO (mm)"
 TEMPERATURE_TITLE = "TEMPERATURA DO AR - BULBO SECO, HORARIA (°C)"
 HUMIDITY_TITLE = "UMIDADE RELATIVA DO AR, HORARIA (%)"
 CORRUPT = "_corrupt"
+HEAD_LINES = 20
 
 
 def _uri_key(c: Column) -> Column:
@@ -34,29 +35,24 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
 def file_checks(spark: SparkSession, path: str) -> DataFrame:
     """One row per file: encoding, separator, header, severity and problems.
 
-    A file is utf-8 when every line is valid utf-8, else latin-1, which never fails. Lines are
-    judged where they are read; per file only counts and the first 500 characters are kept.
+    A file is utf-8 when every line is valid utf-8, else latin-1, which never fails; it is a web page when its
+    first line that is not blank opens one. One scan: lines are judged where they are read, per file only counts
+    and two lines are kept.
     """
     files = list_files(spark, path).select("path", "length", _uri_key(F.col("uri")).alias("key"))
-    lines = _lines(spark, path)
-    whole = lines.groupBy("key").agg(
-        F.count(F.lit(1)).alias("n_lines"), F.bool_and(F.is_valid_utf8("value")).alias("utf8"),
-        F.min(F.when(F.col("block") == 0, F.col("id"))).alias("first_id"), F.min_by("value", F.struct("block", "id")).alias("first_raw"),
+    filled = F.length(F.regexp_replace(F.regexp_replace("value", r"^\x{FEFF}", ""), r"\s", "")) > 0
+    place = F.struct("block", "id")
+    whole = _lines(spark, path).groupBy("key").agg(
+        F.count(F.lit(1)).alias("n_lines"), F.bool_and(F.is_valid_utf8("value")).alias("utf8"), F.min_by("value", place).alias("first_raw"),
+        F.min_by(F.when(filled, F.col("value")), F.when(filled, place)).alias("first_filled"),
     )
-    # at most 500 lines of at most 500 characters make up the first 500 characters
-    head = (
-        lines.join(whole.select("key", "first_id"), "key")
-        .where((F.col("block") == 0) & (F.col("id") - F.col("first_id") < 500))
-        .groupBy("key")
-        .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", F.substring("value", 1, 500).alias("v")))), lambda x: x["v"]), "\n").alias("head"))
-    )
-    seen = files.join(whole, "key", "left").join(head, "key", "left")
+    seen = files.join(whole, "key", "left")
     first = F.when(F.col("utf8"), F.col("first_raw")).otherwise(F.decode(F.col("first_raw").cast("binary"), "ISO-8859-1"))
     seen = seen.withColumn("first_line", F.coalesce(F.regexp_replace(first, r"^\x{FEFF}", ""), F.lit("")))
-    lead = F.lower(F.trim(F.substring(F.coalesce("head", F.lit("")), 1, 500)))
+    lead = F.lower(F.regexp_replace(F.coalesce("first_filled", F.lit("")), r"^[\x{FEFF}\s]+", ""))
     semis, commas = F.regexp_count("first_line", F.lit(";")), F.regexp_count("first_line", F.lit(","))
     empty = F.col("length") == 0
-    html = ~empty & (lead.startswith("<!doctype") | lead.contains("<html"))
+    html = ~empty & (lead.startswith("<!doctype") | lead.startswith("<html") | lead.startswith("<?xml"))
     rest = ~empty & ~html
 
     def problem(when: Column, level: str, message: str) -> Column:
@@ -84,11 +80,17 @@ def status_counts(checks: DataFrame) -> DataFrame:
 
 
 def read_text_tables(spark: SparkSession, path: str) -> tuple[DataFrame | None, DataFrame]:
-    """(table, checks): every readable file under a path as one all-string table plus `_file`.
+    """(table, checks): every readable file under a path as one all-string table plus `_file`."""
+    table, _, checks = read_text_tables_with_rejects(spark, path)
+    return table, checks
+
+
+def read_text_tables_with_rejects(spark: SparkSession, path: str) -> tuple[DataFrame | None, DataFrame | None, DataFrame]:
+    """(table, rejects, checks): the table, the lines it does not hold with file and reason, and the file checks.
 
     Files are grouped by encoding, separator and header, one distributed CSV scan per group;
     the group list has one entry per layout, not per row. Unreadable files stay in the checks
-    with status ERRO and are skipped; the others go on. Lines with too many fields are dropped,
+    with status ERRO and are skipped; the others go on. Lines with too many fields are rejected,
     short ones are filled with nulls, an empty string is null, the texts NA and nan stay.
     """
     checks = file_checks(spark, path)
@@ -98,7 +100,7 @@ def read_text_tables(spark: SparkSession, path: str) -> tuple[DataFrame | None,
         .agg(F.collect_list("path").alias("paths"))
         .collect()
     )
-    out = None
+    out = rejects = None
     for g in layouts:
         cols = [c.strip().strip('"') for c in g["header"]]
         schema = ", ".join(f"`{c}` string" for c in cols) + f", {CORRUPT} string"
@@ -111,25 +113,32 @@ def read_text_tables(spark: SparkSession, path: str) -> tuple[DataFrame | None,
         fields = F.regexp_count(F.regexp_replace(CORRUPT, '"[^"]*"', ""), F.lit(g["separator"])) + 1
         # touching every column keeps the parser from pruning some, which would hide bad lines
         whole = F.length(F.concat_ws("", *[F.col(f"`{c}`") for c in cols])) >= 0
-        part = part.where(whole & (F.col(CORRUPT).isNull() | (fields <= len(cols)))).drop(CORRUPT)
+        fits = F.col(CORRUPT).isNull() | (fields <= len(cols))
+        bad = part.where(whole & ~fits).select("_file", F.col(CORRUPT).alias("line"), F.lit(C.TOO_MANY_FIELDS).alias("reason"))
+        part = part.where(whole & fits).drop(CORRUPT)
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    return out, checks
+        rejects = bad if rejects is None else rejects.unionByName(bad)
+    return out, rejects, checks
 
 
 def read_station_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(metadata, hourly): key:;value lines of the first 20 lines and the table that starts at Data;.
 
-    Line numbers inside a file are needed only for the small head, which is found by content;
+    Line numbers inside a file are needed only for the few lines that look like metadata;
     body lines start with a date and carry their file path.
     """
     # the text scan keeps raw bytes; these files are latin-1
     lines = spark.read.text(path).select(
-        F.decode(F.col("value").cast("binary"), "ISO-8859-1").alias("line"), F.col("_metadata.file_path").alias("file")
+        F.decode(F.col("value").cast("binary"), "ISO-8859-1").alias("line"), F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"),
     )
+    tops = lines.where("block = 0").groupBy("file").agg(F.min("id").alias("top"))
     key = F.upper(F.regexp_replace(F.trim(F.split("line", ";")[0]), ":$", ""))
     meta = (
         lines.withColumn("k", key)
-        .where(F.col("k").isin(*STATION_KEYS))
+        .where(F.col("k").isin(*STATION_KEYS) & (F.col("block") == 0))
+        .join(tops, "file")
+        .where(F.col("id") - F.col("top") < HEAD_LINES)
         .select("file", "k", F.trim(F.get(F.split("line", ";"), F.lit(1))).alias("v"))
         .groupBy("file")
         .pivot("k", list(STATION_KEYS))
