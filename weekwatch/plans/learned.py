@@ -202,3 +202,11 @@ def streamed_weekly_counts(spark, sf):
 def streamed_first_readings(spark, sf):
     e = event_stream(spark, sf).withColumn("day", F.col("ts").cast("date"))
     return SR.run_to_table(spark, SR.first_of_key(e, ["station", "day", "hour"], "40 days"), "first").select("station", "day", "hour")
+
+
+@query("streamed_latest_readings", sql("""
+SELECT user_id AS station, CAST(ts AS DATE) AS day, hour(ts) AS hour, event_id, event_type FROM events
+QUALIFY row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE), hour(ts) ORDER BY ts DESC, event_id DESC) = 1"""))
+def streamed_latest_readings(spark, sf):
+    e = event_stream(spark, sf).withColumn("day", F.col("ts").cast("date"))
+    return SR.merge_to_table(spark, e, "latest", ["station", "day", "hour"], ["ts", "event_id"], "day").select("station", "day", "hour", "event_id", "event_type")

@@ -108,3 +108,10 @@ def run_to_table(spark: SparkSession, df: DataFrame, name: str, keys: Sequence[s
     upsert_available(df, f"{base}/table", f"{base}/checkpoint")
     written = spark.read.schema(StructType([*df.schema.fields, StructField(EPOCH, LongType())])).parquet(f"{base}/table")
     return newest_rows(written, keys).select(*df.columns)
+
+
+def merge_to_table(spark: SparkSession, df: DataFrame, name: str, keys: Sequence[str], order: Sequence[str], partition: str) -> DataFrame:
+    """Merges what is there into a fresh table of the shared checkpoint directory, last row of a key, and reads it back."""
+    base = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    merge_latest(df, f"{base}/table", keys, order, partition, f"{base}/checkpoint").awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{base}/table")
