@@ -134,10 +134,16 @@ def add_station_weather(grid: DataFrame, place_station: DataFrame, daily: DataFr
 
 
 def dense_daily(daily: DataFrame, keys: Sequence[str] = ("station",)) -> DataFrame:
-    """Every day between a station's first and last reading, absent days as null."""
-    span = daily.groupBy(*keys).agg(F.min("day").alias("_lo"), F.max("day").alias("_hi"))
-    days = span.withColumn("day", F.explode(F.sequence("_lo", "_hi"))).drop("_lo", "_hi")
-    return days.join(daily, [*keys, "day"], "left")
+    """Every day between a station's first and last reading, absent days as null.
+
+    Each reading brings the days up to the next one, so the readings are scanned and shuffled once, for the same
+    windows that follow.
+    """
+    next_day = F.lead("day").over(W.partitionBy(*keys).orderBy("day"))
+    last = F.greatest("day", F.date_sub("_next", 1))
+    filled = daily.withColumn("_next", next_day).withColumn("_day", F.explode(F.sequence("day", last)))
+    others = [c for c in daily.columns if c not in (*keys, "day")]
+    return filled.select(*keys, F.col("_day").alias("day"), *[F.when(F.col("_day") == F.col("day"), F.col(c)).alias(c) for c in others])
 
 
 def trailing_daily(dense: DataFrame, keys: Sequence[str] = ("station",)) -> DataFrame:

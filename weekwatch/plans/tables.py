@@ -116,21 +116,26 @@ def daily_rain(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def cell_daily(spark: SparkSession, sf: str) -> DataFrame:
-    """Long gridded table: rain on 7 coarse cells (ERA5), temperature and humidity on 5 (ERA5-LAND)."""
-    items = read(spark, sf, "lineitem").select(
-        "l_suppkey", F.col("l_shipdate").cast("date").alias("day"), "l_quantity", "l_tax", "l_discount"
+    """Long gridded table: rain on 7 coarse cells (ERA5), temperature and humidity on 5 (ERA5-LAND), from one scan."""
+    key = F.col("l_suppkey")
+    cells = F.array(
+        F.struct(F.lit("ERA5").alias("layer"), F.concat(F.lit("R"), (key % 7).cast("string")).alias("cell")),
+        F.struct(F.lit("ERA5-LAND").alias("layer"), F.concat(F.lit("T"), (key % 5).cast("string")).alias("cell")),
+    )
+    items = read(spark, sf, "lineitem").select(F.explode(cells).alias("c"), F.col("l_shipdate").cast("date").alias("day"), "l_quantity", "l_tax", "l_discount")
+    days = items.groupBy("c.layer", "c.cell", "day").agg(
+        F.sum("l_quantity").alias("q"), F.count(F.lit(1)).alias("n"), F.min("l_tax").alias("t"), F.max("l_discount").alias("d")
+    )
+    rain = F.col("layer") == "ERA5"
+    mean = F.col("q") / F.col("n")
+    return days.select(
+        "layer", "cell", "day",
+        F.when(rain, F.col("q") / 10).alias("rain_mm"),
+        F.when(~rain, F.lit(20.0) + mean / 10).alias("temp_mean"),
+        F.when(~rain, F.lit(15.0) + F.col("t") * 100).alias("temp_min"),
+        F.when(~rain, F.lit(25.0) + F.col("d") * 100).alias("temp_max"),
+        F.when(~rain, F.lit(50.0) + mean).alias("humidity"),
     )
-    null = F.lit(None).cast("double")
-    rain = items.groupBy(F.concat(F.lit("R"), (F.col("l_suppkey") % 7).cast("string")).alias("cell"), "day").agg(
-        (F.sum("l_quantity") / 10).alias("rain_mm"),
-    ).select(F.lit("ERA5").alias("layer"), "cell", "day", "rain_mm", null.alias("temp_mean"), null.alias("temp_min"), null.alias("temp_max"), null.alias("humidity"))
-    temp = items.groupBy(F.concat(F.lit("T"), (F.col("l_suppkey") % 5).cast("string")).alias("cell"), "day").agg(
-        (F.lit(20.0) + F.sum("l_quantity") / F.count(F.lit(1)) / 10).alias("temp_mean"),
-        (F.lit(15.0) + F.min("l_tax") * 100).alias("temp_min"),
-        (F.lit(25.0) + F.max("l_discount") * 100).alias("temp_max"),
-        (F.lit(50.0) + F.sum("l_quantity") / F.count(F.lit(1))).alias("humidity"),
-    ).select(F.lit("ERA5-LAND").alias("layer"), "cell", "day", null.alias("rain_mm"), "temp_mean", "temp_min", "temp_max", "humidity")
-    return rain.unionByName(temp)
 
 
 def place_cells(spark: SparkSession, sf: str) -> DataFrame:
