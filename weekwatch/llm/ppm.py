@@ -12,7 +12,7 @@ Texts are dealt into blocks of about `block_bytes`. A block gives its distinct g
 words with their training counts, once. These rows, summed, are the trie and the unigram counts;
 joined back, they are what the block needs to be scored. So neither the model nor its counts are ever in
 one place, and what is gathered grows with the input. Tasks read a block's rows in sorted order and hold
-its distinct grams and words, never its texts together.
+its distinct grams and words, never its texts together. Texts travel to their blocks in compressed parcels.
 
 A document's training share is decided by crc32 of its id, so scores of the rest are held out. The base score
 is the add-one unigram model over words and one end token.
@@ -25,20 +25,23 @@ chances; an empty table gives no row. Only doc_id and text are read, so other co
 from __future__ import annotations
 
 import math
+import pickle
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from weekwatch.llm.registry import query, table
 from weekwatch.llm.shared import store
 from weekwatch.session import cut_lineage
 
-ORDER, BLOCK_BYTES, SLICE = 5, 64 << 20, 1 << 20
+ORDER, BLOCK_BYTES, SLICE = 5, 28 << 20, 1 << 19
 END, START, BITS, SYMBOLS = 256, 257, 9, 257  # START only pads contexts, it is never coded
 PARTS, HELD_OUT = 7, 2
+PARCEL, PARCELS = 1 << 19, 16 << 20  # bytes of text in a parcel, and in all parcels that a task fills
 
 
 def lowered(text) -> bytes:
@@ -100,10 +103,47 @@ def _by_block(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tupl
                 yield int(blocks[a]), {c: batch.column(c).slice(a, b - a) for c in columns}
 
 
+def _parcels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, parcel): lowered texts of one block with their ids, compressed together."""
+    held: dict[int, list] = {}
+    size: Counter = Counter()
+    pack = zstandard.ZstdCompressor(level=3)
+
+    def sent(blocks: list[int]) -> pa.RecordBatch:
+        out = [pack.compress(pickle.dumps(tuple(zip(*held.pop(b))), 5)) for b in blocks]
+        for b in blocks:
+            del size[b]
+        return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(out, pa.binary())], names=["block", "parcel"])
+
+    total = 0
+    for batch in batches:
+        columns = [batch.column(c).to_pylist() for c in ("block", "doc_id", "held_out", "text")]
+        for block, doc_id, held_out, text in zip(*columns):
+            text = lowered(text)
+            held.setdefault(block, []).append((doc_id, held_out, text))
+            size[block] += len(text)
+            total += len(text)
+            if size[block] >= PARCEL:
+                total -= size[block]
+                yield sent([block])
+            if total >= PARCELS:
+                yield sent(list(held))
+                total = 0
+    if held:
+        yield sent(list(held))
+
+
+def _opened(parcels: pa.Array, rows=None) -> Iterator[tuple[tuple, tuple, tuple]]:
+    """(ids, held out, texts) of each parcel; they were packed by this job's own tasks."""
+    unpack = zstandard.ZstdDecompressor()
+    for i in range(len(parcels)) if rows is None else rows.tolist():
+        yield pickle.loads(unpack.decompress(parcels[i].as_py()))
+
+
 # No column is null, as nulls would turn packed grams into rounded floats on their way.
 ASKED = "block int, gram long, word binary, n long"
 NO_GRAM, NO_WORD = -1, b""
-MERGE_AT, ROWS_OUT = 16, 1 << 18
+MERGE_AT, ROWS_OUT = 16, 1 << 17
 
 
 def _gather(order: int):
@@ -130,26 +170,26 @@ def _gather(order: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, pairs, words = None, [], Counter()
-        for block, columns in _by_block(batches, "text", "held_out"):
+        for block, columns in _by_block(batches, "parcel"):
             if block != now:
                 if now is not None:
                     yield from rows_of(now, pairs, words)
                 now, pairs, words = block, [], Counter()
-            texts = [lowered(t) for t in columns["text"].to_pylist()]
-            held_out = columns["held_out"].to_pylist()
-            for held in (False, True):
-                part = [t for t, h in zip(texts, held_out) if h == held]
-                for g, _, _ in gram_slices(part, order):
-                    unique, counts = np.unique(g, return_counts=True)
-                    pairs.append((unique, counts * (not held)))
-                    if len(pairs) >= MERGE_AT:
-                        pairs = [_merged(pairs)]
-                for t in part:
-                    if held:
-                        for w in t.split():
-                            words.setdefault(w, 0)
-                    else:
-                        words.update(t.split())
+                pa.default_memory_pool().release_unused()
+            for _, held_out, texts in _opened(columns["parcel"]):
+                for held in (False, True):
+                    part = [t for t, h in zip(texts, held_out) if h == held]
+                    for g, _, _ in gram_slices(part, order):
+                        unique, counts = np.unique(g, return_counts=True)
+                        pairs.append((unique, counts * (not held)))
+                        if len(pairs) >= MERGE_AT:
+                            pairs = [_merged(pairs)]
+                    for t in part:
+                        if held:
+                            for w in t.split():
+                                words.setdefault(w, 0)
+                        else:
+                            words.update(t.split())
         if now is not None:
             yield from rows_of(now, pairs, words)
 
@@ -205,12 +245,12 @@ def gram_scores(grams: DataFrame, order: int) -> DataFrame:
 
 
 class _Table:
-    """Values by packed gram: a table twice the size of the keys or more, open addressing in whole arrays."""
+    """Values by whole number: open addressing in whole arrays, at most seven tenths full."""
 
     FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        bits = max(1, int(len(keys)).bit_length() + 1)
+        bits = max(1, math.ceil(math.log2(len(keys) / 0.7 + 1)))
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
         self.keys, self.values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits)
         slot = self._home(keys)
@@ -231,7 +271,7 @@ class _Table:
         slot, keys = slot[left], keys[left]
         while len(left):
             if (self.keys[slot] == -1).any():
-                raise KeyError("a gram was not gathered")
+                raise KeyError("a key was not gathered")
             slot = (slot + 1) & self.mask
             hit = self.keys[slot] == keys
             out[left[hit]] = self.values[slot[hit]]
@@ -239,6 +279,24 @@ class _Table:
         return out
 
 
+class _Counts:
+    """Counts by word, held by the words' hashes where no two of the block's words share one."""
+
+    def __init__(self, hashes: list[np.ndarray], counts: list[np.ndarray], words: list[pa.Array]):
+        none = np.zeros(0, np.int64)
+        h, c = np.concatenate([none, *hashes]), np.concatenate([np.zeros(0), *counts])
+        self.plain = None
+        if len(np.unique(h)) == len(h):
+            self.table = _Table(h, c)
+        else:
+            self.plain = {w: n for part, n_part in zip(words, counts) for w, n in zip(part.to_pylist(), n_part.tolist())}
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        if self.plain is not None:
+            return np.array([self.plain[w] for w in words], np.float64)
+        return self.table.of(np.fromiter(map(hash, words), np.int64, len(words)))
+
+
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 GRAM, WORD, TEXT = 0, 1, 2
 
@@ -248,38 +306,38 @@ def _score(order: int, tokens: int, distinct: int, ends: int):
     schema = pa.schema(
         [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]
     )
-    log_all = math.log10(tokens + distinct + 1)
+    log_all, end = math.log10(tokens + distinct + 1), math.log10(ends + 1)
+
+    def scored(parcel: tuple[tuple, tuple, tuple], lps: _Table, counts: _Counts) -> pa.RecordBatch:
+        ids, held_out, texts = parcel
+        score, rows = np.zeros(len(texts)), []
+        for g, starts, owners in gram_slices(texts, order):
+            np.add.at(score, owners, np.add.reduceat(lps.of(g), starts))
+        for t in texts:
+            c = counts.of(t.split())
+            rows.append((len(c) + 1, int((c > 0).sum()) + (ends > 0), float(np.log10(c + 1).sum() + end - (len(c) + 1) * log_all)))
+        columns = [ids, held_out, *zip(*rows), score]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, grams, count, found = None, [], {}, None
-        for block, columns in _by_block(batches, "kind", "gram", "word", "value", "doc_id", "held_out", "text"):
+        now = None
+        for block, columns in _by_block(batches, "kind", "gram", "word", "value"):
             if block != now:
-                now, grams, count, found = block, [], {}, None
-            kind = columns["kind"].to_numpy()
-            is_gram, is_word = kind == GRAM, np.flatnonzero(kind == WORD)
-            value = columns["value"].to_numpy()
-            if is_gram.any():
-                grams.append((columns["gram"].to_numpy()[is_gram], value[is_gram]))
-            if len(is_word):
-                count.update(zip(columns["word"].take(pa.array(is_word)).to_pylist(), value[is_word].tolist()))
-            at = pa.array(np.flatnonzero(kind == TEXT))
-            if not len(at):
-                continue
-            if found is None:
-                found, grams = _Table(*map(np.concatenate, zip(*grams))), []
-            texts = [lowered(t) for t in columns["text"].take(at).to_pylist()]
-            score = np.zeros(len(texts))
-            for g, starts, owners in gram_slices(texts, order):
-                np.add.at(score, owners, np.add.reduceat(found.of(g), starts))
-            rows = []
-            for t in texts:
-                c = np.array([*map(count.__getitem__, t.split()), ends], np.float64)
-                rows.append((len(c), int((c > 0).sum()), float((np.log10(c + 1) - log_all).sum())))
-            n, known, base = zip(*rows)
-            yield pa.RecordBatch.from_arrays(
-                [columns["doc_id"].take(at), columns["held_out"].take(at), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score)],
-                schema=schema,
-            )
+                now, grams, words, lps, counts = block, [], [], None, None
+                pa.default_memory_pool().release_unused()
+            kind, value = columns["kind"].to_numpy(), columns["value"].to_numpy()
+            of_kind = [np.flatnonzero(kind == k) for k in (GRAM, WORD, TEXT)]
+            if len(of_kind[GRAM]):
+                grams.append((columns["gram"].to_numpy()[of_kind[GRAM]], value[of_kind[GRAM]]))
+            if len(of_kind[WORD]):
+                part = columns["word"].take(pa.array(of_kind[WORD]))
+                words.append((np.fromiter(map(hash, part.to_pylist()), np.int64, len(part)), value[of_kind[WORD]], part))
+            if len(of_kind[TEXT]):
+                if lps is None:
+                    lps, counts = _Table(*map(np.concatenate, zip(*grams))), _Counts(*(zip(*words) if words else ((), (), ())))
+                    grams, words = [], []
+                for parcel in _opened(columns["word"], of_kind[TEXT]):
+                    yield scored(parcel, lps, counts)
 
     return run
 
@@ -291,9 +349,9 @@ def language_scores(docs: DataFrame, order: int = ORDER, block_bytes: int = BLOC
     sizes = rows.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count(F.when(~F.col("held_out"), 1)).alias("ends")).first()
     blocks, ends = (sizes["bytes"] or 0) // block_bytes + 1, sizes["ends"]
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
-    # all rows of a block in one task, in order; a task streams them
-    by_block = dealt.repartition("block").sortWithinPartitions("block")
-    asked = store(by_block.select("block", "text", "held_out").mapInArrow(_gather(order), ASKED))
+    parcels = dealt.mapInArrow(_parcels, "block int, parcel binary")
+    # all parcels of a block in one task, in order; a task streams them
+    asked = store(parcels.repartition("block").sortWithinPartitions("block").mapInArrow(_gather(order), ASKED))
     grams = asked.where(F.col("gram") != NO_GRAM).select("block", "gram", "n")
     same_word = W.partitionBy("word")
     words = store(
@@ -304,16 +362,15 @@ def language_scores(docs: DataFrame, order: int = ORDER, block_bytes: int = BLOC
     seen = words.where("first and n > 0").agg(F.sum("n").alias("tokens"), F.count("*").alias("words")).first()
     tokens, distinct = (seen["tokens"] or 0) + ends, seen["words"] + (ends > 0)
     lps = gram_scores(grams.groupBy("gram").agg(F.sum("n").alias("n")), order)
-    gram, word = F.lit(NO_GRAM).cast("long").alias("gram"), F.lit(NO_WORD).alias("word")
-    blank = [F.lit(None).cast("long").alias("doc_id"), F.lit(False).alias("held_out"), F.lit("").alias("text")]
+    gram, none = F.lit(NO_GRAM).cast("long").alias("gram"), F.lit(NO_WORD).alias("word")
 
     def of_kind(kind: int) -> Column:
         return F.lit(kind).alias("kind")
 
-    found = grams.join(lps, "gram").select("block", of_kind(GRAM), "gram", word, F.col("lp").alias("value"), *blank)
-    counted = words.select("block", of_kind(WORD), gram, "word", F.col("n").cast("double").alias("value"), *blank)
-    scored_rows = dealt.select("block", of_kind(TEXT), gram, word, F.lit(0.0).alias("value"), "doc_id", "held_out", F.coalesce("text", F.lit("")).alias("text"))
-    in_order = found.unionByName(counted).unionByName(scored_rows).repartition("block").sortWithinPartitions("block", "kind")
+    found = grams.join(lps, "gram").select("block", of_kind(GRAM), "gram", none, F.col("lp").alias("value"))
+    counted = words.select("block", of_kind(WORD), gram, "word", F.col("n").cast("double").alias("value"))
+    texts = parcels.select("block", of_kind(TEXT), gram, F.col("parcel").alias("word"), F.lit(0.0).alias("value"))
+    in_order = found.unionByName(counted).unionByName(texts).repartition("block").sortWithinPartitions("block", "kind")
     scored = in_order.mapInArrow(_score(order, tokens, distinct, ends), SCORES)
     return scored.withColumn("train_tokens", F.lit(tokens).cast("long"))
 
