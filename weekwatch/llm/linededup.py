@@ -30,6 +30,7 @@ from weekwatch.llm.shared import store
 from weekwatch.session import cut_lineage
 
 DIVISOR, LONG_WORDS, LEAST_LINES, LEAST_WORDS = 3, 50, 2, 25
+SALTS = 32  # a passage that a third of all documents share is joined in so many parts
 BASE = np.uint64(0x9E3779B97F4A7C15)
 CHUNK = "doc_id long, text_hash long, chunk_no int, hash long, first_line int, lines int, words int"
 
@@ -74,15 +75,24 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
+def _salt() -> Column:
+    return F.pmod(F.xxhash64("doc_id", "text_hash", "chunk_no"), F.lit(SALTS))
+
+
+def _every_salt(groups: DataFrame) -> DataFrame:
+    """One row per group becomes one for each part that the group's rows are joined in."""
+    return groups.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+
+
 def remove_repeated(docs: DataFrame, carry: tuple[str, ...] = (), **limits) -> DataFrame:
     """One row per row of `docs`: doc_id, text, `carry`, lines_removed, words_removed, chunks_removed."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry)
     rows = rows.withColumn("text_hash", F.xxhash64("text"))
     # equal rows give equal chunk rows, which count once
     chunks = cut_lineage(store(chunks_of(rows, **limits)).distinct())
-    repeated = chunks.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select(F.col("hash").alias("r_hash"))
+    repeated = _every_salt(chunks.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select(F.col("hash").alias("r_hash")))
     spans = (
-        chunks.join(repeated, F.col("hash") == F.col("r_hash"), "left_semi")
+        chunks.join(repeated, (F.col("hash") == F.col("r_hash")) & (_salt() == F.col("salt")), "left_semi")
         .groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("chunk_no", "hash", "first_line", "lines", "words"))).alias("spans"))
     )
     found = store(_with(rows, spans, "spans"))
@@ -93,11 +103,14 @@ def remove_repeated(docs: DataFrame, carry: tuple[str, ...] = (), **limits) -> D
     cut = found.where("spans is not null").select("doc_id", "text_hash", F.explode(let(_lines(F.col("text")), bytes_of)).alias("c"))
     cut = cut.select("doc_id", "text_hash", "c.s.*", "c.bytes").distinct()
     place = F.struct("doc_id", "text_hash", "chunk_no")
-    # grouping by the bytes compares them; the first of equal chunks stays
-    firsts = cut.groupBy("hash", "bytes").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select(
-        F.col("hash").alias("f_hash"), F.col("bytes").alias("f_bytes"), "first"
+    # grouping by the bytes compares them; the first of equal chunks stays. Digests name the groups, so that the join back is lean
+    firsts = _every_salt(
+        cut.groupBy("hash", "bytes").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
+        .select(F.col("hash").alias("f_hash"), F.sha2("bytes", 256).alias("f_digest"), "first")
     )
-    gone = cut.join(firsts, (F.col("hash") == F.col("f_hash")) & (F.col("bytes") == F.col("f_bytes"))).where(~place.eqNullSafe(F.col("first")))
+    marked = cut.select("doc_id", "text_hash", "chunk_no", "hash", "first_line", "lines", "words", F.sha2("bytes", 256).alias("digest"))
+    same = (F.col("hash") == F.col("f_hash")) & (F.col("digest") == F.col("f_digest")) & (_salt() == F.col("salt"))
+    gone = marked.join(firsts, same).where(~place.eqNullSafe(F.col("first")))
     removed = gone.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("first_line", "lines", "words")).alias("removed"))
     out = _with(found.where("spans is not null"), removed, "removed").unionByName(found.where("spans is null").withColumn("removed", F.lit(None).cast("array<struct<first_line:int,lines:int,words:int>>")))
     left = F.filter(
