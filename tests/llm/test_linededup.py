@@ -62,3 +62,78 @@ def test_boundaries_come_back_after_an_insertion():
 
 def test_empty_table(spark):
     assert L.remove_repeated(empty(spark)).count() == 0
+
+
+def without_runs(rows):
+    """Texts by (doc_id, text) after the chunk rule and without every run of over 50 words that an earlier place has: all pairs of equal lines."""
+    texts = sorted({r for r in rows if r[1] is not None}, key=lambda r: (r[0] is not None, r[0] or 0, r[2]))
+    places, gone = collections.defaultdict(list), collections.defaultdict(set)
+    lines = [t.split("\n") for _, t, _ in texts]
+    for d, x in enumerate(lines):
+        for i, line in enumerate(x):
+            places[line].append((d, i))
+    for at in places.values():
+        for n, (d, i) in enumerate(at):
+            for e, j in at[:n]:
+                x, y = lines[d], lines[e]
+                if d == e or (i and j and x[i - 1] == y[j - 1]):
+                    continue
+                k = 0
+                while i + k < len(x) and j + k < len(y) and x[i + k] == y[j + k]:
+                    k += 1
+                if sum(len(w.encode().split()) for w in x[i : i + k]) > 50:
+                    gone[d] |= set(range(i, i + k))
+    for d, x in enumerate(lines):
+        words = [len(w.encode().split()) for w in x]
+        for i in range(len(x)):
+            for j in range(i):
+                k = 0
+                while k < i - j and i + k < len(x) and x[i + k] == x[j + k]:
+                    k += 1
+                if sum(words[i : i + k]) > 50:
+                    gone[d] |= set(range(i, i + k))
+    seen = collections.defaultdict(list)
+    for d, x in enumerate(lines):
+        starts, words = L.chunk_bounds([w.encode() for w in x])
+        for a, b in zip(starts, [*starts[1:], len(x)]):
+            if sum(words[a:b]) >= L.LONG_WORDS or (b - a >= L.LEAST_LINES and sum(words[a:b]) >= L.LEAST_WORDS):
+                seen["\n".join(x[a:b])].append((d, a, b))
+    for at in seen.values():
+        for d, a, b in at[1:]:
+            gone[d] |= set(range(a, b))
+    return {(t[0], t[1]): "\n".join(x for i, x in enumerate(lines[d]) if i not in gone[d]) for d, t in enumerate(texts)}
+
+
+def check_runs(docs):
+    from pyspark.sql import functions as F
+
+    rows = [(r.doc_id, r.text, r.h) for r in docs.withColumn("h", F.xxhash64("text")).select("doc_id", "text", "h").collect()]
+    want = without_runs(rows)
+    got = L.remove_repeated(docs, run_words=L.RUN_WORDS).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(((i, want.get((i, t), t)) for i, t, _ in rows), key=str)
+    return got
+
+
+def test_no_repeated_run_is_left(spark, sf):
+    check_runs(spark.read.parquet(f"{sf}/documents.parquet"))
+
+
+def test_runs_that_chunks_do_not_hold(spark):
+    import random
+
+    rnd, at = random.Random(3), iter(range(10**6))
+    line = lambda n: " ".join(f"u{next(at)}" for _ in range(n))
+    shared = [[line(n) for n in ns] for ns in ((25, 25, 3), (41, 43), (20, 0, 31), (51,), (10,) * 6, (25, 25), (3, 48, 1))]
+    rows = []
+    for d in range(60):
+        x = [line(rnd.randint(1, 40)) for _ in range(3)]
+        for s in rnd.sample(shared, 2):
+            x += [*s, line(rnd.randint(1, 60))]
+        rows.append((d, "\n".join(x), "en", "a", 0))
+    rows += [(900, "\n".join([*["again " * 20] * 9, line(5)]), "en", "a", 0), (None, "\n".join(shared[0]), "en", "a", 0)]
+    out = {r.doc_id: r for r in check_runs(spark.createDataFrame(rows, documents(spark).schema).repartition(5))}
+    kept = "\n".join(r.text for r in out.values())
+    # each passage stays once; one of 50 words is not over 50
+    assert all(kept.count("\n".join(s)) == 1 for s in shared if sum(len(x.split()) for x in s) > 50)
+    assert out[900].text.count("again") == 60 and out[None].lines_removed == 0
+    assert L.remove_repeated(empty(spark), run_words=L.RUN_WORDS).count() == 0

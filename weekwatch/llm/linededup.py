@@ -1,22 +1,32 @@
-"""Removal of repeated passages by content-defined chunks of lines.
+"""Removal of repeated passages: content-defined chunks of lines, and every run of whole lines over `run_words` words.
 
 The lines of a text are hashed; a rolling hash over the last two line hashes ends a chunk where it falls on one of
 `divisor` values, so boundaries hang on the lines around them and come back after an insertion.
 A line of at least `long_words` words is a chunk of its own. Chunks of at least two lines and `least_words` words, and
-long lines, are counted by hash over all texts. Chunks whose hash occurs again are cut out of their
-texts and grouped by their bytes; of equal chunks the first (by doc_id, then by text and place) stays and all others are
-removed with their lines.
+long lines, are counted by hash over all texts.
 
-Only chunk numbers and hashes of all texts are shuffled, and the bytes of repeated ones, merged before they
+With `run_words`, runs of byte-equal lines of any place and length are found as well. From each line the shortest
+window of lines down to over `run_words` words is taken, and up to each line the shortest such window before it. A
+repeated run of over `run_words` words is covered by its downward windows and, at its end, by its upward ones; all
+of these lie in it. Each window holds the downward window of its first line, and the line of most words in that one (by hash
+among equals) is the window's seed. Seeds are counted by hash over all texts like chunks; windows are made for repeated seeds only.
+
+Chunks and windows that occur again are grouped by their bytes (windows by a digest of 128 bits); of equal
+ones the first (by doc_id, then by text and place) stays and the lines of all others are removed, but for windows that overlap
+the first one in its own text. Each line that goes is in an earlier place, so of each passage one copy stays.
+
+Only numbers and hashes of all texts are shuffled, and the bytes of repeated chunks, merged before they
 are; a passage that a third of all documents share is one row per task from there on.
 
-Defined cases: a null text stays null, a text without a repeated chunk stays as it is; a text may become
+Defined cases: a null text stays null, a text without a repeated passage stays as it is; a text may become
 empty; null doc_ids come first. Rows with equal doc_id and text are one document to the count and are treated alike. An empty
 table gives no row. Only doc_id, text and the columns named in `carry` are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,9 +40,11 @@ from weekwatch.llm.shared import store
 from weekwatch.session import cut_lineage
 
 DIVISOR, LONG_WORDS, LEAST_LINES, LEAST_WORDS = 3, 50, 2, 25
+RUN_WORDS = 50  # runs of more words than this are found wherever they begin and end
 SALTS = 32  # a passage that a third of all documents share is joined in so many parts
 BASE = np.uint64(0x9E3779B97F4A7C15)
 CHUNK = "doc_id long, text_hash long, chunk_no int, hash long, first_line int, lines int, words int"
+WINDOW = "doc_id long, text_hash long, first_line int, lines int, digest binary"
 
 
 def chunk_bounds(lines: list[bytes], divisor: int = DIVISOR, long_words: int = LONG_WORDS) -> tuple[list[int], list[int]]:
@@ -50,8 +62,47 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def chunks_of(docs: DataFrame, divisor: int = DIVISOR, long_words: int = LONG_WORDS, least_lines: int = LEAST_LINES, least_words: int = LEAST_WORDS) -> DataFrame:
-    """One row per chunk that is large enough to be removed if it occurs elsewhere."""
+def windows_of(words: list[int], run_words: int = RUN_WORDS) -> list[tuple[int, int]]:
+    """Lines [a, b) of the shortest windows of over `run_words` words from each line down, and from each line up."""
+    total = np.r_[0, np.cumsum(np.array(words, np.int64))]
+    n, at = len(words), np.arange(len(words))
+    down = np.searchsorted(total, total[:-1] + run_words, "right")
+    up = np.searchsorted(total, total[1:] - run_words, "left") - 1
+    out = {(int(a), int(b)) for a, b in zip(at, down) if b <= n}
+    return sorted(out | {(int(a), int(e) + 1) for a, e in zip(up, at) if a >= 0})
+
+
+def seeds_of(h: np.ndarray, words: list[int], run_words: int = RUN_WORDS) -> dict[int, int]:
+    """First line of each downward window -> the window's line of most words, of the largest hash among equals."""
+    total = np.r_[0, np.cumsum(np.array(words, np.int64))]
+    down = np.searchsorted(total, total[:-1] + run_words, "right")
+    out: dict[int, int] = {}
+    queue: deque[int] = deque()  # lines of the window, best first
+    end = 0
+    for a in range(len(words)):
+        b = int(down[a])
+        if b > len(words):
+            break
+        for i in range(end, b):
+            while queue and (words[queue[-1]], h[queue[-1]]) <= (words[i], h[i]):
+                queue.pop()
+            queue.append(i)
+        end = b
+        while queue[0] < a:
+            queue.popleft()
+        out[a] = queue[0]
+    return out
+
+
+def _line_hashes(lines: list[bytes]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(x) for x in lines], np.uint64)
+
+
+def chunks_of(
+    docs: DataFrame, divisor: int = DIVISOR, long_words: int = LONG_WORDS, least_lines: int = LEAST_LINES, least_words: int = LEAST_WORDS,
+    run_words: int | None = None,
+) -> DataFrame:
+    """One row per chunk that is large enough to be removed if it occurs elsewhere, and per seed of windows (chunk_no < 0)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -63,6 +114,10 @@ def chunks_of(docs: DataFrame, divisor: int = DIVISOR, long_words: int = LONG_WO
                     n = sum(words[a:b])
                     if n >= long_words or (b - a >= least_lines and n >= least_words):
                         rows.append((doc_id, text_hash, no, _signed(xxhash.xxh64_intdigest(b"\n".join(lines[a:b]))), a, b - a, n))
+                if run_words is not None and sum(words) > run_words:
+                    h = _line_hashes(lines)
+                    for i in set(seeds_of(h, words, run_words).values()):
+                        rows.append((doc_id, text_hash, -1 - i, _signed(int(h[i] ^ BASE)), i, 0, 0))
             out = pd.DataFrame(rows, columns=["doc_id", "text_hash", "chunk_no", "hash", "first_line", "lines", "words"])
             yield out.astype({"text_hash": "int64", "hash": "int64"})
 
@@ -71,6 +126,62 @@ def chunks_of(docs: DataFrame, divisor: int = DIVISOR, long_words: int = LONG_WO
     return docs.where("text is not null").select(*cols).mapInPandas(run, CHUNK.replace("doc_id long", "doc_id string")).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
+def windows_at(found: DataFrame, run_words: int) -> DataFrame:
+    """One row per window over the seeds of each text (doc_id, text_hash, text, seeds), with a digest of its lines."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for doc_id, text_hash, text, at in zip(f["doc_id"], f["text_hash"], f["text"], f["seeds"]):
+                lines = text.encode("utf-8", "surrogatepass").split(b"\n")
+                words, at = [len(x.split()) for x in lines], set(at.tolist())
+                seeds = seeds_of(_line_hashes(lines), words, run_words)
+                for a, b in windows_of(words, run_words):
+                    if seeds[a] in at:
+                        rows.append((doc_id, text_hash, a, b - a, hashlib.blake2b(b"\n".join(lines[a:b]), digest_size=16).digest()))
+            yield pd.DataFrame(rows, columns=["doc_id", "text_hash", "first_line", "lines", "digest"]).astype({"text_hash": "int64"})
+
+    cols = [F.col("doc_id").cast("string").alias("doc_id"), "text_hash", "text", "seeds"]
+    return found.select(*cols).mapInPandas(run, WINDOW.replace("doc_id long", "doc_id string")).withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
+def repeated_windows(found: DataFrame, run_words: int) -> DataFrame:
+    """(doc_id, text_hash, first_line, lines): windows that an earlier place has."""
+    seeds = F.transform(F.filter("spans", lambda s: s["chunk_no"] < 0), lambda s: s["first_line"])
+    seeded = found.where("spans is not null").select("doc_id", "text_hash", "text", seeds.alias("seeds")).where(F.size("seeds") > 0)
+    windows = store(windows_at(seeded, run_words).distinct())
+    place = F.struct("doc_id", "text_hash", "first_line")
+    firsts = _every_salt(windows.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("f_digest"), "first"))
+    salt = F.pmod(F.xxhash64("doc_id", "text_hash", "first_line"), F.lit(SALTS))
+    later = windows.join(firsts, (F.col("digest") == F.col("f_digest")) & (salt == F.col("salt")))
+    same_text = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    return later.where(~(same_text & (F.col("first_line") < F.col("first.first_line") + F.col("lines")))).select("doc_id", "text_hash", "first_line", "lines")
+
+
+CUT = "text string, lines long, words long"
+
+
+def _without(text: Column, removed: Column) -> Column:
+    """The text without the removed spans of lines, which may overlap, and what they had."""
+
+    @F.pandas_udf(CUT)
+    def run(texts: pd.Series, removed: pd.Series) -> pd.DataFrame:
+        out = []
+        for text, spans in zip(texts, removed):
+            if spans is None:
+                out.append((text, 0, 0))
+                continue
+            lines = text.encode("utf-8", "surrogatepass").split(b"\n")
+            gone = np.zeros(len(lines), bool)
+            for s in spans:
+                gone[s["first_line"] : s["first_line"] + s["lines"]] = True
+            left = b"\n".join(x for x, g in zip(lines, gone) if not g)
+            out.append((left.decode("utf-8", "surrogatepass"), int(gone.sum()), sum(len(x.split()) for x, g in zip(lines, gone) if g)))
+        return pd.DataFrame(out, columns=["text", "lines", "words"])
+
+    return run(text, removed)
+
+
 def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
@@ -84,12 +195,15 @@ def _every_salt(groups: DataFrame) -> DataFrame:
     return groups.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
 
 
-def remove_repeated(docs: DataFrame, carry: tuple[str, ...] = (), **limits) -> DataFrame:
-    """One row per row of `docs`: doc_id, text, `carry`, lines_removed, words_removed, chunks_removed."""
+def remove_repeated(docs: DataFrame, carry: tuple[str, ...] = (), run_words: int | None = None, **limits) -> DataFrame:
+    """One row per row of `docs`: doc_id, text, `carry`, lines_removed, words_removed, chunks_removed.
+
+    Without `run_words` only chunks are looked for; chunks_removed counts these alone.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry)
     rows = rows.withColumn("text_hash", F.xxhash64("text"))
     # equal rows give equal chunk rows, which count once
-    chunks = cut_lineage(store(chunks_of(rows, **limits)).distinct())
+    chunks = cut_lineage(store(chunks_of(rows, run_words=run_words, **limits)).distinct())
     repeated = _every_salt(chunks.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select(F.col("hash").alias("r_hash")))
     spans = (
         chunks.join(repeated, (F.col("hash") == F.col("r_hash")) & (_salt() == F.col("salt")), "left_semi")
@@ -100,7 +214,8 @@ def remove_repeated(docs: DataFrame, carry: tuple[str, ...] = (), **limits) -> D
     def bytes_of(lines: Column) -> Column:
         return F.transform("spans", lambda s: F.struct(s.alias("s"), F.array_join(F.slice(lines, s["first_line"] + 1, s["lines"]), "\n").alias("bytes")))
 
-    cut = found.where("spans is not null").select("doc_id", "text_hash", F.explode(let(_lines(F.col("text")), bytes_of)).alias("c"))
+    chunked = F.filter("spans", lambda s: s["chunk_no"] >= 0)
+    cut = found.where("spans is not null").withColumn("spans", chunked).select("doc_id", "text_hash", F.explode(let(_lines(F.col("text")), bytes_of)).alias("c"))
     cut = cut.select("doc_id", "text_hash", "c.s.*", "c.bytes").distinct()
     place = F.struct("doc_id", "text_hash", "chunk_no")
     # grouping by the bytes compares them; the first of equal chunks stays. Digests name the groups, so that the join back is lean
@@ -111,20 +226,19 @@ def remove_repeated(docs: DataFrame, carry: tuple[str, ...] = (), **limits) -> D
     marked = cut.select("doc_id", "text_hash", "chunk_no", "hash", "first_line", "lines", "words", F.sha2("bytes", 256).alias("digest"))
     same = (F.col("hash") == F.col("f_hash")) & (F.col("digest") == F.col("f_digest")) & (_salt() == F.col("salt"))
     gone = marked.join(firsts, same).where(~place.eqNullSafe(F.col("first")))
-    removed = gone.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("first_line", "lines", "words")).alias("removed"))
-    out = _with(found.where("spans is not null"), removed, "removed").unionByName(found.where("spans is null").withColumn("removed", F.lit(None).cast("array<struct<first_line:int,lines:int,words:int>>")))
-    left = F.filter(
-        _lines(F.col("text")), lambda _, i: ~F.exists("removed", lambda r: (i >= r["first_line"]) & (i < r["first_line"] + r["lines"]))
-    )
-
-    def total(field: str) -> Column:
-        return F.coalesce(F.aggregate("removed", F.lit(0).cast("long"), lambda a, r: a + r[field]), F.lit(0).cast("long"))
-
-    return out.select(
-        "doc_id", F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")).alias("text"), *carry,
-        total("lines").alias("lines_removed"), total("words").alias("words_removed"),
-        F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("chunks_removed"),
+    spans = gone.select("doc_id", "text_hash", "first_line", "lines", F.lit(1).alias("chunk"))
+    if run_words is not None:
+        spans = spans.unionByName(repeated_windows(found, run_words).withColumn("chunk", F.lit(0)))
+    removed = spans.groupBy("doc_id", "text_hash").agg(
+        F.collect_list(F.struct("first_line", "lines")).alias("removed"), F.sum("chunk").alias("chunks_removed")
+    ).select("doc_id", "text_hash", F.struct("removed", "chunks_removed").alias("r"))
+    out = _with(found.where("spans is not null").drop("spans"), removed, "r")
+    out = out.withColumn("w", _without(F.col("text"), F.col("r.removed"))).select(
+        "doc_id", F.col("w.text").alias("text"), *carry, F.col("w.lines").alias("lines_removed"), F.col("w.words").alias("words_removed"),
+        F.coalesce("r.chunks_removed", F.lit(0)).cast("long").alias("chunks_removed"),
     )
+    none = [F.lit(0).cast("long").alias(f"{x}_removed") for x in ("lines", "words", "chunks")]
+    return out.unionByName(found.where("spans is null").select("doc_id", "text", *carry, *none))
 
 
 def _with(rows: DataFrame, more: DataFrame, name: str) -> DataFrame:
@@ -136,4 +250,4 @@ def _with(rows: DataFrame, more: DataFrame, name: str) -> DataFrame:
 @query("op6_line_dedup")
 def op6(spark, sf_dir):
     """All documents without passages that an earlier one has."""
-    return remove_repeated(table(spark, sf_dir, "documents"))
+    return remove_repeated(table(spark, sf_dir, "documents"), run_words=RUN_WORDS)
