@@ -106,3 +106,19 @@ def test_quantiles():
 def test_no_python_in_the_plan(spark):
     plan = entry.queries()["op7_quality_rules"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_one_extreme_statistic_rejects(spark):
+    fresh = iter(range(10**7))
+    w = lambda n: [f"w{next(fresh):06d}" for _ in range(n)]
+    clean = ["\n".join(" ".join(w(10)) for _ in range(12)) for _ in range(80)]
+    block = w(24)
+    lines = "\n".join(["w999999"] * 40 + [" ".join(w(100)) for _ in range(3)])  # 91 % of the lines, 12 % of the words
+    repeats = " ".join([*block, *w(50), *block])  # 49 % of the words, on one line
+    symbols = " ".join([x + "##" for x in w(60)])  # two a word
+    length = " ".join(x * 12 for x in w(100))
+    odd = [lines, repeats, symbols, length]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate([*clean, *odd])], documents(spark).schema)
+    rows = {r.doc_id: r for r in Q.judged(df).collect()}
+    assert not any(rows[80 + i].base_failed for i in range(4))
+    assert all(rows[i].kept for i in range(80)) and not any(rows[80 + i].kept for i in range(4))

@@ -32,8 +32,9 @@ from weekwatch.session import cut_lineage
 MIN_WORDS, MOST_REPEATED = 50, 50  # words; per cent of words
 SPACE, SYMBOLS = " \t\n\x0b\f\r", "#*$%&|<>"
 VECTOR = ("x_length", "x_symbols", "x_repeats", "x_lines")
-#: Least standard deviation of each statistic: differences below it are not held against a text.
-FLOORS = {"x_length": 0.05, "x_symbols": 0.08, "x_repeats": 0.20, "x_lines": 0.20}
+#: Least standard deviation of each statistic: differences below it are not held against a text. All are small enough
+#: for one statistic to reject a text by itself where the rest of its group has none.
+FLOORS = {"x_length": 0.05, "x_symbols": 0.08, "x_repeats": 0.12, "x_lines": 0.16}
 SHARE, TAIL, STEPS, LEAST, ACCURACY = 0.75, 1e-6, 3, 50, 10_000
 MOST_BROADCAST = 100_000  # rows of 16 numbers
 
