@@ -87,3 +87,14 @@ def test_each_stage_takes_awkward_rows(spark, sf):
         assert out.count() > 0 and none.count() == 0, name
 
 
+
+
+def test_exact_copies_end_as_one_document(spark, sf):
+    # lines too short for chunks and runs, a text of 50 words among them
+    text = lambda k, n, per: "\n".join(" ".join(f"k{k}n{i}x{j}" for j in range(per)) for i in range(n))
+    shapes = [(5, 10), (2, 24), (20, 7), (9, 23), (40, 1)]
+    rows = [(100 * k + c, text(k, *shape), "en", "s", 0) for k, shape in enumerate(shapes) for c in range(7)]
+    docs = spark.createDataFrame(rows, documents(spark).schema).repartition(5)
+    for f in (C.line_dedup, C.near_dedup):
+        docs = f(spark, docs, sf)
+    assert sorted(tuple(r) for r in docs.select("doc_id", "text").collect()) == [(100 * k, text(k, *shape)) for k, shape in enumerate(shapes)]

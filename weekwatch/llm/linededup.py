@@ -43,6 +43,7 @@ DIVISOR, LONG_WORDS, LEAST_LINES, LEAST_WORDS = 3, 50, 2, 25
 RUN_WORDS = 50  # runs of more words than this are found wherever they begin and end
 SALTS = 32  # a passage that a third of all documents share is joined in so many parts
 BASE = np.uint64(0x9E3779B97F4A7C15)
+WHOLE = 0x5851F42D4C957F2D  # keeps the hashes of whole texts apart from those of chunks
 CHUNK = "doc_id long, text_hash long, chunk_no int, hash long, first_line int, lines int, words int"
 WINDOW = "doc_id long, text_hash long, first_line int, lines int, digest binary"
 
@@ -100,7 +101,7 @@ def _line_hashes(lines: list[bytes]) -> np.ndarray:
 
 def chunks_of(
     docs: DataFrame, divisor: int = DIVISOR, long_words: int = LONG_WORDS, least_lines: int = LEAST_LINES, least_words: int = LEAST_WORDS,
-    run_words: int | None = None,
+    run_words: int | None = None, whole_texts: bool = False,
 ) -> DataFrame:
     """One row per chunk that is large enough to be removed if it occurs elsewhere, and per seed of windows (chunk_no < 0)."""
 
@@ -114,6 +115,8 @@ def chunks_of(
                     n = sum(words[a:b])
                     if n >= long_words or (b - a >= least_lines and n >= least_words):
                         rows.append((doc_id, text_hash, no, _signed(xxhash.xxh64_intdigest(b"\n".join(lines[a:b]))), a, b - a, n))
+                if whole_texts and 0 < sum(words) <= (run_words or sum(words)):
+                    rows.append((doc_id, text_hash, len(starts), _signed(xxhash.xxh64_intdigest(b"\n".join(lines)) ^ WHOLE), 0, len(lines), sum(words)))
                 if run_words is not None and sum(words) > run_words:
                     h = _line_hashes(lines)
                     for i in set(seeds_of(h, words, run_words).values()):
@@ -198,7 +201,8 @@ def _every_salt(groups: DataFrame) -> DataFrame:
 def remove_repeated(docs: DataFrame, carry: tuple[str, ...] = (), run_words: int | None = None, **limits) -> DataFrame:
     """One row per row of `docs`: doc_id, text, `carry`, lines_removed, words_removed, chunks_removed.
 
-    Without `run_words` only chunks are looked for; chunks_removed counts these alone.
+    Without `run_words` only chunks are looked for; chunks_removed counts these alone. With `whole_texts`, texts of at most
+    `run_words` words count as one chunk each as well, so that an exact copy goes wholly; longer copies go as runs.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry)
     rows = rows.withColumn("text_hash", F.xxhash64("text"))
