@@ -100,3 +100,13 @@ def test_a_host_is_merged_in_groups(spark):
     assert set(out) == {"h", "g"}
     labels = [x.label for x in X.preorder(out["h"])]
     assert {f"b{i}" for i in range(50)} <= set(labels) and labels.count("a") == 1
+
+
+def test_a_notice_longer_than_the_article_is_template(spark):
+    notice = "All stories of this site may be copied by anyone who names the site and the day. " * 5
+    page = lambda i: (f"http://n.example/{i}", f"<html><body><div class='c'><p>Story {i} begins.</p><p>It ends {i * 7}.</p></div><div class='q'><p>{notice}</p></div></body></html>")
+    want = [f"Story {i} begins.\n\nIt ends {i * 7}." for i in range(14)]
+    assert text_of(spark, [page(i) for i in range(14)]) == want
+    # copies of one page are one page: ten rows of two pages are no host of ten
+    few = text_of(spark, [page(i % 2) for i in range(12)])
+    assert all(notice.strip() in t for t in few)

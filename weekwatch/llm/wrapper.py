@@ -12,8 +12,8 @@ A host is merged in bounded groups of distinct trees, again until one is left, s
 all pages is spread like any other; texts are counted, never gathered.
 
 Defined cases: a null html is empty and gives an empty text; pages with a null url form a host; hosts with fewer
-than `least` pages of different text have no template texts, their labels decide alone; equal pages count once
-for the template. An empty table gives no row. Only page_id, url and html are read, so other columns cannot
+than `least` pages of different text have no template texts, their labels decide alone; pages with the same tree
+and the same texts in all its slots count once for the template. An empty table gives no row. Only page_id, url and html are read, so other columns cannot
 clash.
 """
 
@@ -330,7 +330,7 @@ def judge_slots(tree: Node) -> list[tuple[str, bool, bool]]:
 
 #: What is counted of the blocks stands apart from their texts, so that counting does not read these.
 READ = (
-    "page_id long, url string, host string, tree string, main_hash long, "
+    "page_id long, url string, host string, tree string, "
     "blocks array<struct<node:int,hash:long,links:int,chars:int>>, texts array<string>"
 )
 
@@ -351,7 +351,7 @@ def _hash(text: str) -> int:
 
 
 def read_pages(pages: DataFrame) -> DataFrame:
-    """page_id, url, host, folded tree, hash of the longest block, and all blocks with their slots."""
+    """page_id, url, host, folded tree, and all blocks with their slots."""
 
     @_deep
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -362,9 +362,8 @@ def read_pages(pages: DataFrame) -> DataFrame:
                 root, blocks = parse(text if isinstance(text, str) else "")
                 place = {id(x): i for i, x in enumerate(preorder(root))}
                 out = [(place[id(x)], _hash(t), n, len(t)) for x, t, n in blocks]
-                longest = max(out, key=lambda b: b[3], default=(0, 0))
-                rows.append((None if page_id is None else int(page_id), url, host_of(url), dump(root), longest[1], out, [t for _, t, _ in blocks]))
-            yield pd.DataFrame(rows, columns=["page_id", "url", "host", "tree", "main_hash", "blocks", "texts"])
+                rows.append((None if page_id is None else int(page_id), url, host_of(url), dump(root), out, [t for _, t, _ in blocks]))
+            yield pd.DataFrame(rows, columns=["page_id", "url", "host", "tree", "blocks", "texts"])
 
     cols = [F.col("page_id").cast("string").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")]
     return pages.select(*cols).mapInPandas(run, READ)
@@ -413,7 +412,9 @@ def slots_of(trees: DataFrame, wrappers: DataFrame) -> DataFrame:
 
 def decisions(pages: DataFrame, slots: DataFrame, least: int = LEAST_PAGES, share: float = CONSTANT_SHARE) -> DataFrame:
     """(host, tree_id, keep, template): slots to keep, and (slot, text hash) pairs that are template."""
-    one_each = store(pages.select("host", "tree_id", "main_hash", "blocks").dropDuplicates(["host", "main_hash"]))
+    # pages of one tree and the same text in every slot count once; rows of one key are equal, so it does not matter which one stays
+    keyed = pages.select("host", "tree_id", "blocks", F.xxhash64("tree_id", "blocks").alias("page_hash"))
+    one_each = store(keyed.dropDuplicates(["host", "page_hash"]))
     blocks = one_each.select("host", "tree_id", F.explode(F.array_distinct("blocks")).alias("b")).select("host", "tree_id", "b.*")
     merged = blocks.groupBy("host", "tree_id", "node", "hash", "links", "chars").agg(F.count("*").alias("n"))
     texts = cut_lineage(merged.join(slots, ["host", "tree_id", "node"]).groupBy("host", "slot", "hash").agg(
