@@ -64,8 +64,10 @@ def test_empty_table(spark):
     assert L.remove_repeated(empty(spark)).count() == 0
 
 
-def without_runs(rows):
-    """Texts by (doc_id, text) after the chunk rule and without every run of over 50 words that an earlier place has: all pairs of equal lines."""
+def without_runs(rows, whole_texts=False):
+    """Texts by (doc_id, text) after the chunk rule and without every run of over 50 words that an earlier place has: all pairs of equal lines.
+
+    With `whole_texts`, a text of 1 to 50 words that an earlier place has goes as well."""
     texts = sorted({r for r in rows if r[1] is not None}, key=lambda r: (r[0] is not None, r[0] or 0, r[2]))
     places, gone = collections.defaultdict(list), collections.defaultdict(set)
     lines = [t.split("\n") for _, t, _ in texts]
@@ -101,6 +103,11 @@ def without_runs(rows):
     for at in seen.values():
         for d, a, b in at[1:]:
             gone[d] |= set(range(a, b))
+    if whole_texts:
+        first = {}
+        for d, (_, text, _) in enumerate(texts):
+            if first.setdefault(text, d) < d and 0 < len(text.encode().split()) <= L.RUN_WORDS:
+                gone[d] |= set(range(len(lines[d])))
     return {(t[0], t[1]): "\n".join(x for i, x in enumerate(lines[d]) if i not in gone[d]) for d, t in enumerate(texts)}
 
 

@@ -73,3 +73,13 @@ def test_mixed_documents_are_the_mix(spark, sf):
     got = X.mixed_documents(docs).groupBy("source").agg(F.sum(X.n_words(F.col("text"))).alias("n")).collect()
     targets = {r.source: r.target for r in X.source_targets(docs.select("source", X.n_words(F.col("text")).alias("size"))).collect()}
     assert all(abs(r.n - targets[r.source]) <= 20_000 for r in got) and len(got) == len(targets)
+
+
+def test_sources_of_any_name(spark):
+    names = [None, "null", "", "a", "a/b", '"', "{}", "\\N"]
+    rows = [(i, "five words of one text", "en", s, 0) for i in (None, 1, 1, 2) for s in names for _ in range(2)]
+    docs = spark.createDataFrame(rows, documents(spark).schema)
+    got = check(docs)
+    assert len(got) == len(rows) and len({r.source for r in got}) == len(names)
+    counts = {(r.doc_id, r.source): r["count"] for r in X.mixed_documents(docs).groupBy("doc_id", "source").count().collect()}
+    assert all(n <= (8 if i == 1 else 4) for (i, _), n in counts.items())

@@ -3,7 +3,7 @@ import collections
 import __spark_entry__ as entry
 import pytest
 from helpers import documents, empty
-from test_linededup import expected as without_passages
+from test_linededup import without_runs
 from test_quality import verdicts
 from test_simhash import plain_components, plain_fingerprint
 
@@ -31,8 +31,8 @@ def test_line_stage_against_brute_force(stages):
     from pyspark.sql import functions as F
 
     rows = stages[1].withColumn("h", F.xxhash64("text")).collect()
-    changed = without_passages([(r.doc_id, r.text, r.h) for r in rows])
-    want = [(r.doc_id, t, r.lang, r.source, len(t)) for r in rows if (t := changed.get((r.doc_id, r.text), r.text)).strip()]
+    left = without_runs([(r.doc_id, r.text, r.h) for r in rows], whole_texts=True)
+    want = [(r.doc_id, t, r.lang, r.source, len(t)) for r in rows if (t := left[r.doc_id, r.text]).encode().split()]
     assert sorted(map(tuple, stages[2].collect())) == sorted(want)
 
 

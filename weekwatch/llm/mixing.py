@@ -11,7 +11,7 @@ goes up a reduction tree until one row of each source is left.
 Defined cases: a null text has size 0 and takes 0; a null source is a source of its own,
 last in the order; a source without words has target 0. Repeated rows are rows of their
 own: they are numbered apart, meet in an order that ties cannot change, and
-equal rows are interchangeable. A table without words takes nothing. Only doc_id, text
+equal rows are interchangeable. A source may have any name: one called "null" is not the null source. A table without words takes nothing. Only doc_id, text
 and source are read, so other columns cannot clash.
 """
 
@@ -160,10 +160,11 @@ def mix_rows(rows: DataFrame, seed: int = 17, **shares) -> DataFrame:
 
 def row_ids(rows: DataFrame, *same: str) -> DataFrame:
     """A row_id for rows of (doc_id, size) and the columns of `same`; equal rows are numbered apart."""
-    key = F.concat_ws("/", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in ("doc_id", "size", *same)])
+    # JSON leaves nulls out and escapes the rest, so a null differs from any text
+    key = F.to_json(F.struct("doc_id", "size", *same))
     number = F.row_number().over(W.partitionBy("doc_id", "size", *same).orderBy(F.lit(0)))
     # the hash comes first, so that rows meet in an order that has nothing to do with their ids
-    return rows.withColumn("copy_no", number).withColumn("row_id", F.concat_ws("/", F.hex(F.xxhash64(key, "copy_no")), key, "copy_no")).drop("copy_no")
+    return rows.withColumn("copy_no", number).withColumn("row_id", F.concat_ws("/", F.hex(F.xxhash64(key, "copy_no")), "copy_no", key)).drop("copy_no")
 
 
 def mix(docs: DataFrame, seed: int = 17, **shares) -> DataFrame:
