@@ -1,3 +0,0 @@
-"""Imports every operator module, which registers its query."""
-
-from weekwatch.llm import chat, linededup, mixing, packing, ppm, quality, simhash, topk, warc, wrapper  # noqa: F401
