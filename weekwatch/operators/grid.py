@@ -69,53 +69,49 @@ def count_cases(events: DataFrame, keys: Iterable[str] = ("place", "kind", "epi_
     return events.groupBy(*keys).agg(F.count(F.lit(1)).alias("cases"))
 
 
-def week_span(events: DataFrame, day: str = "day", whole_years: bool = True) -> DataFrame:
-    """One row: first and last week start of the calendar to fill."""
-    lo, hi = F.min(day), F.max(day)
+def calendar_row(counts: DataFrame, places: DataFrame, kinds: Iterable[str] | None = None, whole_years: bool = False) -> DataFrame:
+    """One row with one struct: first and last week, kinds, and the first count that no place, kind or week start knows.
+
+    `counts` has (place, kind, week_start, cases) and is read once for all of them.
+    """
+    lo, hi = F.min("week_start"), F.max("week_start")
     if whole_years:
-        first = dates.week_one_start(dates.epi_year(F.col("lo")))
-        last = F.date_sub(dates.week_one_start(dates.epi_year(F.col("hi")) + 1), 7)
-    else:
-        first, last = dates.sunday_of(F.col("lo")), dates.sunday_of(F.col("hi"))
-    return events.agg(lo.cast("date").alias("lo"), hi.cast("date").alias("hi")).select(
-        first.alias("first_week"), last.alias("last_week")
-    )
+        lo, hi = dates.week_one_start(dates.epi_year(lo)), F.date_sub(dates.week_one_start(dates.epi_year(hi) + 1), 7)
+    kind = F.sort_array(F.collect_set("kind")) if kinds is None else F.array(*[F.lit(k) for k in kinds])
+    stray = F.col("_known").isNull() | F.col("kind").isNull() | (F.col("week_start") != dates.sunday_of(F.col("week_start"))) | F.col("week_start").isNull()
+    if kinds is not None:
+        stray = stray | ~F.col("kind").isin(*kinds)
+    cell = F.concat_ws(" ", F.lit("a count has no cell in the grid:"), F.col("place").cast("string"), "kind", F.col("week_start").cast("string"))
+    known = counts.join(places.select("place", F.lit(True).alias("_known")).distinct(), "place", "left")
+    return known.agg(F.struct(lo.alias("first"), hi.alias("last"), kind.alias("kinds"), F.min(F.when(stray, cell)).alias("lost")).alias("c"))
 
 
-def add_calendar(df: DataFrame, span: DataFrame) -> DataFrame:
-    """One row per input row and week of the span, with the week's names and index.
+def dense_grid(counts: DataFrame, places: DataFrame, kinds: Iterable[str] | None = None, whole_years: bool = False) -> DataFrame:
+    """Every place, kind and week between the first and the last count (or of their whole epidemiological years); absent counts are a real 0.
 
-    The span is a scalar subquery, so no join is planned.
+    `counts` has (place, kind, week_start, cases); without `kinds` those of the counts are taken. The frame is
+    generated from the place table by explode, so the grid costs no shuffle of its own. A count that has no
+    cell in the frame fails the job before the frame is made: no case is lost in silence.
     """
-    first, last = span.select("first_week").scalar(), span.select("last_week").scalar()
-    return (
-        df.withColumn("_first", first)
-        .withColumn("week_start", F.explode(F.sequence("_first", last, F.expr("interval 7 days"))))
+    row = calendar_row(counts, places, kinds, whole_years).select("c").scalar()
+    # a generator keeps the subquery from being copied into every use of its fields
+    frame = places.withColumn("_c", F.explode(F.array(row)))
+    checked = F.when(F.col("_c.lost").isNull(), F.col("_c.kinds")).otherwise(F.raise_error(F.col("_c.lost")).cast("array<string>"))
+    frame = frame.withColumn("kind", F.explode(checked))
+    frame = (
+        frame.withColumn("week_start", F.explode(F.sequence("_c.first", "_c.last", F.expr("interval 7 days"))))
         .withColumns(
             {
                 "week_end": F.date_add("week_start", 6),
                 "epi_year": dates.epi_year(F.col("week_start")),
                 "epi_week": dates.epi_week(F.col("week_start")),
-                "week_index": (F.datediff("week_start", "_first") / 7).cast("int"),
+                "week_index": (F.datediff("week_start", "_c.first") / 7).cast("int"),
             }
         )
-        .drop("_first")
+        .drop("_c")
     )
-
-
-def dense_grid(counts: DataFrame, places: DataFrame, kinds: Iterable[str] | None, span: DataFrame) -> DataFrame:
-    """Every place, kind and week of the span; absent counts are a real 0.
-
-    `counts` has (place, kind, week_start, cases); without `kinds` those of the counts are taken. The frame is
-    generated from the place table by explode, so the grid costs no shuffle of its own. A count that has no
-    cell in the frame fails the job: no case is lost in silence.
-    """
-    known = counts.agg(F.sort_array(F.collect_set("kind")).alias("k")).select("k").scalar() if kinds is None else F.array(*[F.lit(k) for k in kinds])
-    frame = add_calendar(places.withColumn("_kinds", known).withColumn("kind", F.explode("_kinds")).drop("_kinds"), span)
-    joined = frame.withColumn("_cell", F.lit(True)).join(counts, ["place", "kind", "week_start"], "full")
-    lost = F.raise_error(F.concat_ws(" ", F.lit("a count has no cell in the grid:"), F.col("place").cast("string"), "kind", F.col("week_start").cast("string")))
-    cases = F.when(F.col("_cell").isNull(), lost.cast("bigint")).otherwise(F.coalesce("cases", F.lit(0)).cast("bigint"))
-    return joined.withColumn("cases", cases).drop("_cell")
+    joined = frame.join(counts, ["place", "kind", "week_start"], "left")
+    return joined.withColumn("cases", F.coalesce("cases", F.lit(0)).cast("bigint"))
 
 
 def conservation(before: DataFrame, after: DataFrame, value: str = "cases") -> DataFrame:

@@ -66,8 +66,7 @@ def last_complete_year(spark: SparkSession, sf: str) -> int:
 
 def grid(spark: SparkSession, sf: str, whole_years: bool = False) -> DataFrame:
     """Dense counts over the observed weeks (or the whole epidemiological years), kinds and span from the counts."""
-    counts = case_counts(spark, sf)
-    return G.dense_grid(counts, places(spark, sf), None, G.week_span(counts, "week_start", whole_years))
+    return G.dense_grid(case_counts(spark, sf), places(spark, sf), whole_years=whole_years)
 
 
 def base_population(spark: SparkSession, sf: str) -> DataFrame:
