@@ -46,8 +46,7 @@ class Byte:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self._encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.tokens = {i: t for t, i in ranks.items()}
-        self.names, self.lengths = _by_id(self.tokens)
+        self.tokens, self.names, self.lengths = _by_id({i: t for t, i in ranks.items()})
 
     def encode(self, text: str) -> list[int]:
         return self._encoding.encode_ordinary(" " + text)
@@ -61,21 +60,17 @@ class Piece:
 
         self._model = sentencepiece.SentencePieceProcessor(model_file=path)
         m = self._model
-        self.tokens = {}
-        for i in range(m.vocab_size()):
-            piece = m.id_to_piece(i)
-            self.tokens[i] = bytes([int(piece[3:5], 16)]) if m.is_byte(i) else piece.replace("\u2581", " ").encode()
-        self.names, self.lengths = _by_id(self.tokens)
+        pieces = ((i, m.id_to_piece(i)) for i in range(m.vocab_size()))
+        self.tokens, self.names, self.lengths = _by_id({i: bytes([int(p[3:5], 16)]) if m.is_byte(i) else p.replace("\u2581", " ").encode() for i, p in pieces})
 
     def encode(self, text: str) -> list[int]:
         return self._model.encode(text, num_threads=1)
 
 
-def _by_id(tokens: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
-    n = max(tokens) + 1
-    lengths = np.zeros(n, np.int64)
-    lengths[list(tokens)] = [len(t) for t in tokens.values()]
-    return np.array([str(i) for i in range(n)], object), lengths
+def _by_id(tokens: dict[int, bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Bytes, decimal names and lengths, by id."""
+    every = [tokens.get(i, b"") for i in range(max(tokens) + 1)]
+    return every, np.array([str(i) for i in range(len(every))], object), np.array([len(t) for t in every], np.int64)
 
 
 @lru_cache(maxsize=2)
@@ -83,27 +78,27 @@ def tokenizers(a_path: str, b_path: str) -> tuple[Byte, Piece]:
     return Byte(a_path), Piece(b_path)
 
 
-def align(text: str | None, a: Byte, b: Piece) -> tuple[np.ndarray, np.ndarray, list[int], list[int], list[int], list[int]] | None:
+def align(text: str | None, a: Byte, b: Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[int], list[int]] | None:
     """Ids, ends in bytes and cuts of A and of B: group g has the ids from cut g to cut g + 1. None if there are no tokens."""
     if not text:
         return None
     want = b" " + text.encode("utf-8", "surrogatepass")
     ids_a, ids_b = a.encode(text), b.encode(text)
     for side, ids in ((a, ids_a), (b, ids_b)):
-        if b"".join([side.tokens[i] for i in ids]) != want:
+        if b"".join(map(side.tokens.__getitem__, ids)) != want:
             return None
     ids_a, ids_b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
-    index_a = dict(zip(np.cumsum(a.lengths[ids_a]).tolist(), range(1, len(ids_a) + 1)))
-    index_b = dict(zip(np.cumsum(b.lengths[ids_b]).tolist(), range(1, len(ids_b) + 1)))
+    ends_a, ends_b = np.cumsum(a.lengths[ids_a]), np.cumsum(b.lengths[ids_b])
+    index_a, index_b = dict(zip(ends_a.tolist(), range(1, len(ids_a) + 1))), dict(zip(ends_b.tolist(), range(1, len(ids_b) + 1)))
     common = sorted(index_a.keys() & index_b.keys())
-    return ids_a, ids_b, list(index_a), list(index_b), [0, *map(index_a.__getitem__, common)], [0, *map(index_b.__getitem__, common)]
+    return ids_a, ids_b, ends_a, ends_b, [0, *map(index_a.__getitem__, common)], [0, *map(index_b.__getitem__, common)]
 
 
-def links_of(ids_a: np.ndarray, ids_b: np.ndarray, ends_a: list[int], ends_b: list[int]) -> np.ndarray:
-    """The linked id pairs of all slices, in order: each stretch between two ends of either side lies in one token of each."""
-    ends_a, ends_b = np.array(ends_a), np.array(ends_b)
-    stretches = np.union1d(ends_a, ends_b)
-    return ids_a[np.searchsorted(ends_a, stretches)] << SHIFT | ids_b[np.searchsorted(ends_b, stretches)]
+def links_of(ids_a: np.ndarray, ids_b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray) -> np.ndarray:
+    """The linked id pairs of all slices: the stretch up to each end of either side lies in one token of A and one of B."""
+    in_b, in_a = np.searchsorted(ends_b, ends_a), np.searchsorted(ends_a, ends_b)
+    alone = ends_a[in_a] != ends_b  # a common end closes one stretch, not two
+    return np.concatenate([ids_a << SHIFT | ids_b[in_b], ids_a[in_a[alone]] << SHIFT | ids_b[alone]])
 
 
 def groups_text(ids_a: np.ndarray, ids_b: np.ndarray, cuts_a: list[int], cuts_b: list[int], names_a: np.ndarray, names_b: np.ndarray) -> str:
