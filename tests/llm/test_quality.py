@@ -1,4 +1,6 @@
 import collections
+import hashlib
+import itertools
 import math
 import re
 
@@ -20,6 +22,7 @@ def statistics(text):
         if windows[w[i], w[i + 1], w[i + 2]] > 1:
             covered |= {i, i + 1, i + 2}
     lines = [x for x in t.split("\n") if re.search("[^\\x20\\x09-\\x0D]", x)]
+    # n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered), len(lines)
 
 
@@ -32,16 +35,34 @@ def rank(x, q):
     return np.sort(x)[max(math.ceil(q * len(x)) - 1, 0)]
 
 
-def estimate(x):
-    """Mean and covariance by the same steps with whole matrices."""
-    floor = np.array([Q.FLOORS[v] for v in Q.VECTOR])
+def log_det(v):
+    return np.linalg.slogdet(v)[1]
+
+
+def concentrated(x, m, v):
+    floor = np.array([Q.FLOORS[c] for c in Q.VECTOR])
+    d = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(v), x - m)
+    near = x[d <= rank(d, Q.SHARE) * (1 + 1e-12)]
+    return near.mean(0), np.atleast_2d(np.cov(near.T, bias=True)) * Q.CONSISTENCY + np.diag(floor**2)
+
+
+def estimate(x, lots):
+    """Mean and inverse covariance of the least determinant, by the same starts and steps with whole matrices."""
+    floor = np.array([Q.FLOORS[c] for c in Q.VECTOR])
     m = np.array([rank(c, 0.5) for c in x.T])
-    v = np.diag(np.maximum(1.4826 * np.array([rank(np.abs(c - a), 0.5) for c, a in zip(x.T, m)]), floor) ** 2)
-    for _ in range(Q.STEPS):
-        d = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(v), x - m)
-        near = x[d <= rank(d, Q.SHARE) * (1 + 1e-12)]
-        m, v = near.mean(0), np.atleast_2d(np.cov(near.T, bias=True)) * Q.CONSISTENCY + np.diag(floor**2)
-    return m, np.linalg.inv(v)
+    found = [(m, np.diag(np.maximum(1.4826 * np.array([rank(np.abs(c - a), 0.5) for c, a in zip(x.T, m)]), floor) ** 2))]
+    for s in range(1, Q.STARTS):
+        part = x[[int(lot[8 * s - 8 : 8 * s], 16) % max(1, len(x) // Q.SUBSET) == 0 for lot in lots]]
+        if len(part):
+            found.append((part.mean(0), np.atleast_2d(np.cov(part.T, bias=True)) + np.diag(floor**2)))
+    for _ in range(Q.FIRST_STEPS):
+        found = [concentrated(x, *f) for f in found]
+    m, v = min(found, key=lambda f: log_det(f[1]))
+    while True:
+        m2, v2 = concentrated(x, m, v)
+        if log_det(v2) >= log_det(v) - Q.SETTLED:
+            return m, np.linalg.inv(v)
+        m, v = m2, v2
 
 
 def verdicts(rows, least=Q.LEAST):
@@ -52,8 +73,8 @@ def verdicts(rows, least=Q.LEAST):
     for (lang, source, _), s, f in zip(rows, stats, failed):
         if not f:
             for key in ((0, lang, source), (1, lang, None), (2, None, None)):
-                groups[key].append(vector(s))
-    fits = {k: estimate(np.array(v)) for k, v in groups.items() if len(v) >= least}
+                groups[key].append((vector(s), hashlib.md5(",".join(map(str, s)).encode()).hexdigest()))
+    fits = {k: estimate(np.array([x for x, _ in v]), [lot for _, lot in v]) for k, v in groups.items() if len(v) >= least}
     out = []
     for (lang, source, _), s, f in zip(rows, stats, failed):
         fit = next((fits[k] for k in ((0, lang, source), (1, lang, None), (2, None, None)) if k in fits), None)
@@ -99,6 +120,19 @@ def test_repeated_windows(spark):
     check(df)
 
 
+def test_least_determinant_of_all_subsets(spark):
+    rng, rows, want = np.random.default_rng(8), [], {}
+    for g in range(4):
+        x = rng.normal(size=(14, 4)) * [0.2, 0.3, 0.2, 0.3]
+        x[:3] += rng.normal(size=(3, 4)) + 3
+        rows += [(str(g), "s", *map(float, v), hashlib.md5(str(v).encode()).hexdigest()) for v in x]
+        floor, h = np.array([Q.FLOORS[c] for c in Q.VECTOR]), math.ceil(Q.SHARE * 14)
+        want[str(g)] = min(log_det(np.cov(x[list(c)].T, bias=True) * Q.CONSISTENCY + np.diag(floor**2)) for c in itertools.combinations(range(14), h))
+    df = spark.createDataFrame(rows, ["lang", "source", *Q.VECTOR, "lot"])
+    got = {r.g_lang: r.det for r in Q.fit(df).where("level = 0").collect()}
+    assert all(want[g] - 1e-9 <= got[g] <= want[g] + 0.3 for g in want) and sum(abs(got[g] - want[g]) < 1e-6 for g in want) >= 2
+
+
 def test_quantiles():
     assert abs(Q.chi2_quantile(0.95, 4) - 9.4877) < 1e-3 and abs(Q.chi2_below(9.4877, 4) - 0.95) < 1e-4
 

@@ -38,6 +38,7 @@ def test_all_queries_against_all_rows(spark, query_block, row_block):
     rows = [(int(i), [float(c) for c in x]) for i, x in enumerate(v)]
     rows += [(1000 + i, [float(c) for c in rng.normal(size=5)]) for i in range(30)]  # other lengths
     rows += [(2000, None), (2001, [1.0, None] * 12), (2002, [float("nan")] * 24), (2003, [float("inf")] * 24), (None, rows[0][1]), (20, rows[21][1]), (3000, []), (3010, []), (3001, [])]
+    rows += [(4000, [2e5, -1.5] * 12), (4010, [-2e5] * 24), (4001, [3e5, 0.25] * 12), (4002, [1e-30, 7e4] * 12)]
     df = spark.createDataFrame([(*r, 0) for r in rows], SCHEMA).withColumnRenamed("label", "rank").repartition(6)
     vectors = K.integer_vectors(df)
     got = K.top_k(vectors, vectors.where("vec_id % 10 = 0"), query_block=query_block, row_block=row_block).collect()
@@ -53,6 +54,12 @@ def test_bounds_hold():
         assert ((qm * n) @ rm.T + qd @ rd.T >= exact - 1e-3).all()
 
 
+def test_a_score_beyond_64_bits_is_an_error(spark):
+    vectors = K.integer_vectors(spark.createDataFrame([(0, [1e30], 0), (1, [1e30], 0)], SCHEMA))
+    with pytest.raises(Exception, match="leaves 64 bits"):
+        K.top_k(vectors, vectors).collect()
+
+
 def test_empty_table(spark):
     vectors = K.integer_vectors(spark.createDataFrame([], SCHEMA))
     assert K.top_k(vectors, vectors).count() == 0

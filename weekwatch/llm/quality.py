@@ -3,8 +3,9 @@
 Statistics of each text are turned into a vector of four: log mean word length, and the square roots of
 symbols per word, of the share of repeated words and of the share of repeated lines. For every
 (language, source), every language and the whole table a minimum-covariance-determinant estimate is
-found: from a start at medians and median deviations, concentration steps keep the `share` of vectors
-nearest by Mahalanobis distance and take mean and covariance of those. The covariance is made consistent
+found: from several starts, medians with median deviations and subsets of about SUBSET vectors drawn by hash, concentration steps keep the
+`share` of vectors nearest by Mahalanobis distance and take mean and covariance of those. After FIRST_STEPS the start of
+least determinant goes on alone, until the determinant of the group no longer falls. The covariance is made consistent
 for normal data and gets a floor for each statistic, as in clean text most of these rates are exactly zero.
 A document is rejected if its distance by the narrowest group of at least `least` documents is beyond the
 cutoff. Base rules come first; documents that fail them take no part in the estimates.
@@ -15,7 +16,7 @@ groups of up to ACCURACY documents and within 1 / ACCURACY of the rank beyond.
 
 Defined cases: a null text has no words and fails the base rules; null languages and sources are groups
 of their own; a document without any group of `least` documents is judged by the base rules alone. Equal
-rows get equal verdicts. Only doc_id, text, lang and source are read, so other columns cannot clash.
+rows get equal verdicts, an empty table gives no row, and texts of any length are counted whole. Only doc_id, text, lang and source are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -31,11 +32,13 @@ from weekwatch.session import cut_lineage
 
 MIN_WORDS, MOST_REPEATED = 50, 50  # words; per cent of words
 SPACE, SYMBOLS = " \t\n\x0b\f\r", "#*$%&|<>"
+STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 VECTOR = ("x_length", "x_symbols", "x_repeats", "x_lines")
 #: Least standard deviation of each statistic: differences below it are not held against a text. All are small enough
 #: for one statistic to reject a text by itself where the rest of its group has none.
 FLOORS = {"x_length": 0.05, "x_symbols": 0.08, "x_repeats": 0.12, "x_lines": 0.16}
-SHARE, TAIL, STEPS, LEAST, ACCURACY = 0.75, 1e-6, 3, 50, 10_000
+SHARE, TAIL, LEAST, ACCURACY = 0.75, 1e-6, 50, 10_000
+STARTS, SUBSET, FIRST_STEPS, SETTLED = 4, 10, 2, 1e-9  # at most five starts: one md5 sum draws four subsets
 MOST_BROADCAST = 100_000  # rows of 16 numbers
 
 
@@ -126,6 +129,7 @@ def vector(s) -> list[Column]:
 
 
 KEY = ("level", "g_lang", "g_source")
+ROUND = (*KEY, "start")
 
 
 def _keyed(vectors: DataFrame) -> DataFrame:
@@ -135,7 +139,7 @@ def _keyed(vectors: DataFrame) -> DataFrame:
         F.struct(F.lit(1).alias("level"), F.col("lang").alias("g_lang"), F.lit(None).cast("string").alias("g_source")),
         F.struct(F.lit(2).alias("level"), F.lit(None).cast("string").alias("g_lang"), F.lit(None).cast("string").alias("g_source")),
     )
-    return vectors.select(*VECTOR, F.explode(levels).alias("k")).select("k.*", *VECTOR)
+    return vectors.select(*VECTOR, "lot", F.explode(levels).alias("k")).select("k.*", *VECTOR, "lot")
 
 
 def _cholesky() -> list[Column]:
@@ -162,46 +166,74 @@ def distance(x: list[Column]) -> Column:
     return sum((c * c for c in y[1:]), y[0] * y[0])
 
 
-def _join(rows: DataFrame, estimates: DataFrame) -> DataFrame:
-    """One row per group is joined; Catalyst broadcasts it while it is small, else AQE splits large groups."""
-    e = estimates.select(*[F.col(c).alias(f"e_{c}") for c in KEY], *[c for c in estimates.columns if c not in KEY])
-    same = [F.col(c).eqNullSafe(F.col(f"e_{c}")) for c in KEY]
-    return rows.join(e, same[0] & same[1] & same[2]).drop(*[f"e_{c}" for c in KEY])
+def _join(rows: DataFrame, estimates: DataFrame, on: tuple[str, ...] = KEY) -> DataFrame:
+    """Few rows per group are joined; Catalyst broadcasts them while they are small, else AQE splits large groups."""
+    e = estimates.select(*[F.col(c).alias(f"e_{c}") for c in on], *[c for c in estimates.columns if c not in on and c not in rows.columns])
+    same = F.lit(True)
+    for c in on:
+        same = same & F.col(c).eqNullSafe(F.col(f"e_{c}"))
+    return rows.join(e, same).drop(*[f"e_{c}" for c in on])
 
 
-def fit(vectors: DataFrame, share: float = SHARE, steps: int = STEPS) -> DataFrame:
-    """(level, g_lang, g_source, n, m_i, l_i_j) from vectors with lang and source."""
+def _quantile(c: Column, q: float) -> Column:
+    return F.percentile_approx(c, F.lit(q), F.lit(ACCURACY))
+
+
+def _estimates(near: DataFrame, consistency: float = CONSISTENCY) -> DataFrame:
+    """Mean, triangle and log determinant of each group and start from the vectors chosen for it."""
     p = len(VECTOR)
-    rows = cut_lineage(_keyed(vectors))
+    sums = near.groupBy(*ROUND, "n").agg(
+        *[F.avg(x).alias(f"m_{i}") for i, x in enumerate(VECTOR)],
+        *[F.covar_pop(VECTOR[i], VECTOR[j]).alias(f"c_{i}_{j}") for j in range(p) for i in range(j, p)],
+    )
+    floor = [F.lit(FLOORS[x] ** 2) for x in VECTOR]
+    v = [(F.col(f"c_{i}_{j}") * consistency + (floor[i] if i == j else F.lit(0.0))).alias(f"v_{i}_{j}") for j in range(p) for i in range(j, p)]
+    m = [f"m_{i}" for i in range(p)]
+    return _with_determinant(sums.select(*ROUND, "n", *m, *v).select(*ROUND, "n", *m, *_cholesky()))
+
+
+def _with_determinant(estimates: DataFrame) -> DataFrame:
+    return estimates.withColumn("det", sum((2 * F.log(f"l_{i}_{i}") for i in range(1, len(VECTOR))), 2 * F.log("l_0_0")))
+
 
-    def quantile(c: Column, q: float) -> Column:
-        return F.percentile_approx(c, F.lit(q), F.lit(ACCURACY))
+def _concentrated(rows: DataFrame, estimates: DataFrame, share: float) -> DataFrame:
+    """One step: the `share` of each group's vectors nearest by each of its estimates gives a new one, of no larger determinant."""
+    d = distance([F.col(x) for x in VECTOR])
+    near = _join(rows, estimates)
+    limits = cut_lineage(near.groupBy(*ROUND).agg(_quantile(d, share).alias("limit")))
+    return cut_lineage(_estimates(_join(near, limits, ROUND).where(d <= F.col("limit"))))
 
-    middle = cut_lineage(rows.groupBy(*KEY).agg(F.count("*").alias("n"), *[quantile(F.col(x), 0.5).alias(f"m_{i}") for i, x in enumerate(VECTOR)]))
+
+def fit(vectors: DataFrame, share: float = SHARE, starts: int = STARTS, first_steps: int = FIRST_STEPS) -> DataFrame:
+    """(level, g_lang, g_source, n, m_i, l_i_j, det) from vectors with lang, source and lot: the least determinant found for each group."""
+    p = len(VECTOR)
+    rows = cut_lineage(_keyed(vectors))
+    middle = cut_lineage(rows.groupBy(*KEY).agg(F.count("*").alias("n"), *[_quantile(F.col(x), 0.5).alias(f"m_{i}") for i, x in enumerate(VECTOR)]))
     spread = _join(rows, middle).groupBy(*KEY, "n", *[f"m_{i}" for i in range(p)]).agg(
-        *[quantile(F.abs(F.col(x) - F.col(f"m_{i}")), 0.5).alias(f"s_{i}") for i, x in enumerate(VECTOR)]
+        *[_quantile(F.abs(F.col(x) - F.col(f"m_{i}")), 0.5).alias(f"s_{i}") for i, x in enumerate(VECTOR)]
     )
-    start = [
+    diagonal = [
         (F.greatest(1.4826 * F.col(f"s_{i}"), F.lit(FLOORS[VECTOR[i]])) if i == j else F.lit(0.0)).alias(f"l_{i}_{j}") for j in range(p) for i in range(j, p)
     ]
-    estimates = cut_lineage(spread.select(*KEY, "n", *[f"m_{i}" for i in range(p)], *start))
-    for _ in range(steps):
-        limits = cut_lineage(
-            _join(rows, estimates).groupBy(*KEY).agg(quantile(distance([F.col(x) for x in VECTOR]), share).alias("limit"))
-        )
-        near = _join(_join(rows, estimates), limits).where(distance([F.col(x) for x in VECTOR]) <= F.col("limit"))
-        sums = near.groupBy(*KEY, "n").agg(
-            *[F.avg(x).alias(f"m_{i}") for i, x in enumerate(VECTOR)],
-            *[F.covar_pop(VECTOR[i], VECTOR[j]).alias(f"c_{i}_{j}") for j in range(p) for i in range(j, p)],
-        )
-        floor = [F.lit(FLOORS[x] ** 2) for x in VECTOR]
-        consistent = [
-            (F.col(f"c_{i}_{j}") * CONSISTENCY + (floor[i] if i == j else F.lit(0.0))).alias(f"v_{i}_{j}") for j in range(p) for i in range(j, p)
-        ]
-        estimates = cut_lineage(
-            sums.select(*KEY, "n", *[f"m_{i}" for i in range(p)], *consistent).select(*KEY, "n", *[f"m_{i}" for i in range(p)], *_cholesky())
-        )
-    return estimates
+    medians = _with_determinant(spread.select(*KEY, F.lit(0).alias("start"), "n", *[f"m_{i}" for i in range(p)], *diagonal))
+    # about SUBSET vectors for each of the other starts, by eight digits of the row's md5 sum
+    lots = _join(rows, middle.select(*KEY, "n")).withColumn("start", F.explode(F.sequence(F.lit(1), F.lit(starts - 1))))
+    number = F.conv(F.substr("lot", F.col("start") * 8 - 7, F.lit(8)), 16, 10).cast("bigint")
+    drawn = lots.where(F.pmod(number, F.greatest(F.lit(1), F.floor(F.col("n") / SUBSET))) == 0)
+    estimates = cut_lineage(medians.unionByName(_estimates(drawn, 1.0)))
+    for _ in range(first_steps):
+        estimates = _concentrated(rows, estimates, share)
+    found = [c for c in estimates.columns if c not in KEY]
+    best = estimates.groupBy(*KEY).agg(F.min_by(F.struct(*found), F.struct("det", "start")).alias("b"))
+    active, done = cut_lineage(best.select(*KEY, "b.*")), None
+    while not active.isEmpty():
+        after = _concentrated(rows, active, share)
+        both = _join(active.withColumnRenamed("det", "det_before"), after.select(*KEY, F.struct(*found).alias("after")))
+        falls = F.col("after.det") < F.col("det_before") - SETTLED
+        still = both.where(~falls).withColumnRenamed("det_before", "det").select(*KEY, *found)
+        done = still if done is None else done.unionByName(still)
+        active = cut_lineage(both.where(falls).select(*KEY, "after.*"))
+    return cut_lineage((active if done is None else done).drop("start"))
 
 
 def verdict(rows: DataFrame, estimates: DataFrame, least: int = LEAST, cutoff: float = CUTOFF) -> DataFrame:
@@ -239,7 +271,8 @@ def judged(docs: DataFrame, *carry: Column, cut=cut_lineage, **limits) -> DataFr
         text_statistics(F.col("text")).alias("s"),
     )
     rows = cut(s.select(*[c for c in s.columns if c != "s"], "s.*", base_failed(F.col("s")).alias("base_failed"), *vector(F.col("s"))))
-    estimates = fit(rows.where(~F.col("base_failed")).select("lang", "source", *VECTOR))
+    lot = F.md5(F.concat_ws(",", *[F.col(c).cast("string") for c in STATISTICS])).alias("lot")
+    estimates = fit(rows.where(~F.col("base_failed")).select("lang", "source", *VECTOR, lot))
     return verdict(rows, estimates, **limits)
 
 
