@@ -12,15 +12,17 @@ Queries are cut into blocks of `query_block` vectors, and rows are dealt at rand
 pair of blocks is one task's group, so a task holds two bounded blocks however large the tables are.
 The k best of each block are ranked again over all blocks.
 
-Defined cases: vectors that are null, or hold null or non-finite components, take no part, nor do components
-so large that sums of products leave 64-bit integers (|floor| of 2**26 or more); empty vectors score 0; vectors
-meet only vectors of their own length. Rows that repeat a vec_id are candidates each, but a query's own id
+Defined cases: vectors that are null, or hold null or non-finite components, take no part. Vectors with a component of
+2**26 or more are scored in whole numbers of any size, without bounds; a score among the best that leaves 64 bits
+ends the job with an error. Empty vectors score 0; vectors meet only vectors of their own length. Rows that repeat a vec_id are candidates each, but a query's own id
 is never its candidate; a repeated query id is answered once, by the least of its vectors. An empty table
 gives no row. Only vec_id and embedding are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
 
+import operator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
@@ -37,10 +39,10 @@ LARGEST = 1 << 26
 def integer_vectors(rows: DataFrame, scale: int = SCALE) -> DataFrame:
     """(vec_id, v, dim) of the rows that take part."""
     x = F.col("embedding").cast("array<double>")
-    ok = F.col("vec_id").isNotNull() & x.isNotNull() & F.forall(
-        x, lambda c: F.coalesce(~F.isnan(c) & (F.abs(c * float(scale)) < float(LARGEST)), F.lit(False))
-    )
-    v = F.transform(x, lambda c: F.floor(c * float(scale)).cast("long"))
+    ok = F.col("vec_id").isNotNull() & x.isNotNull() & F.forall(x, lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) != float("inf")), F.lit(False)))
+    # doubles hold these whole numbers exactly; from 2**53 on every double is one
+    whole = lambda c: F.when(F.abs(c) < float(1 << 53), F.floor(c).cast("double")).otherwise(c)
+    v = F.transform(x, lambda c: whole(c * float(scale)))
     return rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(ok, v).alias("v")).where("v is not null").withColumn("dim", F.size("v"))
 
 
@@ -98,12 +100,29 @@ def block_top_k(q_ids: np.ndarray, q: np.ndarray, r_ids: np.ndarray, r: np.ndarr
     return out
 
 
+def large_top_k(q_ids: np.ndarray, q: np.ndarray, r_ids: np.ndarray, r: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+    """The same in whole numbers of any size, every query against every row."""
+    out: list[tuple[int, int, int]] = []
+    rows = [[int(c) for c in x] for x in r.tolist()]
+    for qid, x in zip(q_ids.tolist(), q.tolist()):
+        x = [int(c) for c in x]
+        scores = sorted((-sum(map(operator.mul, x, y)), i) for i, y in zip(r_ids.tolist(), rows) if i != qid)[:k]
+        if scores and (scores[0][0] <= -(2**63) or scores[-1][0] > 2**63):
+            raise OverflowError(f"a score of query {qid} leaves 64 bits")
+        out += [(qid, i, -s) for s, i in scores]
+    return out
+
+
 def _block_join(k: int):
     def run(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple[int, int, int]] = []
         if len(queries) and len(rows):
-            q, r = np.stack(queries["v"].to_list()).astype(np.int64), np.stack(rows["v"].to_list()).astype(np.int64)
-            found = block_top_k(queries["vec_id"].to_numpy(np.int64), q, rows["vec_id"].to_numpy(np.int64), r, k)
+            q, r = (np.stack(f["v"].to_list()).astype(np.float64) for f in (queries, rows))
+            q_ids, r_ids = queries["vec_id"].to_numpy(np.int64), rows["vec_id"].to_numpy(np.int64)
+            q_large, r_large = ((np.abs(x) >= LARGEST).any(axis=1) for x in (q, r))
+            found = block_top_k(q_ids[~q_large], q[~q_large].astype(np.int64), r_ids[~r_large], r[~r_large].astype(np.int64), k)
+            found += large_top_k(q_ids[q_large], q[q_large], r_ids, r, k)
+            found += large_top_k(q_ids[~q_large], q[~q_large], r_ids[r_large], r[r_large], k)
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype("int64")
 
     return run
