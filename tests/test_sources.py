@@ -105,6 +105,10 @@ def test_rejected_rows_manifest_and_newest_entry(spark, tmp_path):
     df = routing.first_failing(spark.createDataFrame([(1,), (None,), (None,)], "v int"), [(F.col("v").isNull(), "v ausente")])
     counts = publish.write_valid_with_manifest(df, str(tmp_path / "ok"), str(tmp_path / "manifest"), "silver", "r1", ["x.csv"])
     assert counts == {"linhas_lidas": 3, "linhas_validas": 1, "linhas_rejeitadas": 2}
+    assert publish.read_published(spark, str(tmp_path / "ok")).count() == 1
+    with pytest.raises(ValueError, match="4 rows in the source"):
+        publish.write_valid_with_manifest(df, str(tmp_path / "ok"), str(tmp_path / "manifest"), "silver", "r0", source_rows=4)
+    assert publish.read_published(spark, str(tmp_path / "ok")).count() == 1 and spark.read.json(str(tmp_path / "manifest")).count() == 1
     doc = spark.read.json(str(tmp_path / "manifest")).first()
     assert doc["motivos"]["v ausente"] == 2 and doc["arquivos_recusados"] == ["x.csv"]
     publish.write_rejected(df, str(tmp_path / "bad"), "r1")
@@ -129,8 +133,16 @@ def test_publish_keeps_the_old_table_when_a_gate_fails(spark, tmp_path):
     with pytest.raises(gates.QualityGateError):
         publish.publish(spark.range(9).toDF("id"), target, gate)
     assert publish.read_published(spark, target).count() == 3
+    # a run that ends between its two steps leaves the old version
+    left = publish.write_version(spark.range(7).toDF("id"), target)
+    assert publish.read_published(spark, target).count() == 3
     publish.publish(spark.range(5).toDF("id"), target, lambda d: None)
     assert publish.read_published(spark, target).count() == 5
+    publish.drop_other_versions(spark, target, keep=[left])
+    assert publish.read_published(spark, target).count() == 5 and publish.read_version(spark, target, left).count() == 7
+    assert len(list((tmp_path / "gold").glob("v-*"))) == 2
+    with pytest.raises(FileNotFoundError):
+        publish.read_published(spark, str(tmp_path / "none"))
 
 
 def test_report_twins(spark, tmp_path):

@@ -8,7 +8,9 @@ the totals of the earlier ranges are added. The result does not depend on the sp
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
+
+from weekwatch.session import cut_lineage
 
 RANGES = 64
 
@@ -69,3 +71,25 @@ def exact_percentiles(
         )
     agg = cum.groupBy(*groups).agg(*aggs) if groups else cum.agg(*aggs)
     return agg.select(*groups, "n", *final)
+
+
+def row_numbers(df: DataFrame, order: list, name: str) -> DataFrame:
+    """1..n by a total order. Ranges of the order are sorted on their own and the sizes of the earlier ones are added.
+
+    The ranges are checkpointed, as a second sampling could draw other ones.
+    """
+    in_order = cut_lineage(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()))
+    part = F.shiftright("_id", 33)
+    # one row per range
+    sizes = in_order.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    earlier = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_o"))
+    number = F.col("_id") - F.shiftleft("_part", 33) + F.col("_o") + 1
+    return in_order.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn(name, number).drop("_id", "_part", "_o")
+
+
+def dense_ranks(df: DataFrame, value: Column, name: str, descending: bool = True) -> DataFrame:
+    """Dense rank by a value, nulls last: the distinct values are numbered, so a frequent value is one row until the join."""
+    keyed = df.withColumn("_v", value)
+    ranks = row_numbers(keyed.select("_v").distinct(), [F.desc_nulls_last("_v") if descending else F.asc_nulls_last("_v")], name)
+    return keyed.join(ranks.withColumnRenamed("_v", "_w"), F.col("_v").eqNullSafe(F.col("_w"))).drop("_v", "_w")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -25,18 +26,36 @@ def dense_index(df: DataFrame, order: Sequence[Column], name: str = "index", gro
     return numbered.join(offsets, [*groups, "_b"]).withColumn(name, F.col("_r") + F.col("_o")).drop("_b", "_r", "_o")
 
 
-def resample(units: DataFrame, n: Column, draws: int = 2000, seed: int = 42) -> DataFrame:
-    """(draw, index, weight): n indices drawn with replacement per draw, equal draws merged."""
-    spark = units.sparkSession
-    slots = spark.range(draws).withColumnRenamed("id", "draw").withColumn("_s", F.explode(F.when(n > 0, F.sequence(F.lit(0).cast("bigint"), n.cast("bigint") - 1))))
-    at = F.pmod(F.xxhash64(F.lit(seed), "draw", "_s"), F.nullif(n, F.lit(0)))
-    return slots.groupBy("draw", at.alias("index")).agg(F.count(F.lit(1)).alias("weight"))
+def poisson_steps(rate: float = 1.0, most: int = 13) -> list[int]:
+    """The Poisson distribution function at 0, 1, 2 ... on the scale of 32 bits: a number has as many counts as steps it reaches."""
+    term, total, out = math.exp(-rate), 0.0, []
+    for k in range(most):
+        total += term
+        out.append(math.floor(total * 2**32))
+        term *= rate / (k + 1)
+    return out
 
 
-def _units(df: DataFrame, unit: Sequence[str], sums: dict[str, Column]) -> tuple[DataFrame, Column]:
-    grouped = df.groupBy(*unit).agg(F.count(F.lit(1)).alias("size"), *[F.sum(c).alias(k) for k, c in sums.items()])
-    indexed = dense_index(grouped, [F.col(c) for c in unit])
-    return indexed, indexed.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
+def draw_key(unit: Sequence[str], seed: int) -> Column:
+    return F.concat_ws("|", F.lit(str(seed)), F.col("draw").cast("string"), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in unit])
+
+
+def resampled(units: DataFrame, unit: Sequence[str], draws: int = 2000, seed: int = 42) -> DataFrame:
+    """Each row once for every draw its unit is in, with `draw` and `weight`: how often the unit was drawn.
+
+    The Poisson bootstrap: a unit's count in a draw is Poisson with mean 1, read from the md5 sum of seed, draw and unit. Counts are made
+    where the rows are and do not depend on the number of units, so nothing is numbered or joined, and the
+    sums by draw that follow are made in each task first.
+    """
+    number = F.conv(F.substring(F.md5(draw_key(unit, seed)), 1, 8), 16, 10).cast("bigint")
+    first, *more = poisson_steps()
+    weight = F.lit(1)
+    for step in more:
+        weight = weight + (F.col("_u") >= step).cast("int")
+    # a few units become many rows: they are spread over as many tasks as a shuffle has
+    spread = units.repartition(int(units.sparkSession.conf.get("spark.sql.shuffle.partitions")), *unit)
+    drawn = spread.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("_u", number)
+    return drawn.where(F.col("_u") >= first).withColumn("weight", weight).drop("_u")
 
 
 def _interval(samples: DataFrame, observed: DataFrame, alpha: float) -> DataFrame:
@@ -51,8 +70,8 @@ def mean_interval(df: DataFrame, value: Column, unit: Sequence[str], draws: int
 
     A drawn cluster brings all its members. No rows give nulls.
     """
-    units, n = _units(df, unit, {"total": value.cast("double")})
-    w = resample(units, n, draws, seed).join(units, "index")
+    units = df.groupBy(*unit).agg(F.count(F.lit(1)).alias("size"), F.sum(value.cast("double")).alias("total"))
+    w = resampled(units, unit, draws, seed)
     per = w.groupBy("draw").agg((F.sum(F.col("weight") * F.col("total")) / F.sum(F.col("weight") * F.col("size"))).alias("v"))
     return _interval(per, df.agg(F.avg(value.cast("double")).alias("v")), alpha)
 
@@ -65,9 +84,8 @@ def difference_interval(df: DataFrame, a: Column, b: Column, unit: Sequence[str]
 def median_interval(df: DataFrame, value: Column, unit: Sequence[str], draws: int = 2000, seed: int = 42, alpha: float = 0.05) -> DataFrame:
     """Interval of a median; a drawn unit counts as often as it was drawn."""
     rows = df.withColumn("_v", value.cast("double")).where(F.col("_v").isNotNull())
-    units, n = _units(rows, unit, {})
-    members = rows.select(*unit, "_v").join(units.select(*unit, "index"), list(unit))
-    merged = members.groupBy("index", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    w = resample(units, n, draws, seed).join(merged, "index")
-    per = w.groupBy("draw").agg(F.percentile("_v", 0.5, F.col("weight") * F.col("_c")).alias("v"))
+    merged = rows.groupBy(*unit, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    # equal values of a draw are one row from here on
+    counts = resampled(merged, unit, draws, seed).groupBy("draw", "_v").agg(F.sum(F.col("weight") * F.col("_c")).alias("_n"))
+    per = counts.groupBy("draw").agg(F.percentile("_v", 0.5, F.col("_n")).alias("v"))
     return _interval(per, rows.agg(F.percentile("_v", 0.5).alias("v")), alpha)

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from weekwatch.contracts import ALERT_WINDOW, ONSET_HORIZONS
+from weekwatch.functions.ordered import row_numbers
 
 BY = ("place", "kind")
 
@@ -178,14 +178,11 @@ def false_runs(false: DataFrame, by: Sequence[str] = BY) -> DataFrame:
 
 
 def largest_episodes(judged: DataFrame, share: float = 0.10) -> DataFrame:
-    """The ceil(share * n) largest episodes, at least one; ties by place, kind and start.
-
-    Episodes are few per place and year; only the number of rows to keep is read as a scalar,
-    and TakeOrdered does the rest.
-    """
-    n = judged.count()
-    keep = max(1, math.ceil(n * share))
-    return judged.orderBy(F.desc("total_cases"), "place", "kind", "start_index").limit(keep)
+    """The ceil(share * n) largest episodes, at least one; ties by place, kind and start."""
+    order = [F.desc("total_cases"), F.asc("place"), F.asc("kind"), F.asc("start_index")]
+    ranked = row_numbers(judged, order, "_at")
+    keep = ranked.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) * share)).alias("k")).select("k").scalar()
+    return ranked.where(F.col("_at") <= keep).drop("_at")
 
 
 def episode_overlap(a: DataFrame, b: DataFrame, by: Sequence[str] = BY) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from weekwatch.functions.numbers import pct, rate_100k, round_even
+from weekwatch.functions.ordered import row_numbers
 from weekwatch.operators.weather import real_cell_rows, real_station_rows
 
 WEEK = ["epi_year", "epi_week"]
@@ -188,15 +189,15 @@ def cell_seasonality(grid: DataFrame) -> DataFrame:
 
 
 def rank_places(grid: DataFrame, top_n: int | None = 10, ascending: bool = False) -> DataFrame:
-    """Places by total cases with their position; TakeOrdered when a limit is given."""
+    """Places by total cases with their position; TakeOrdered when a limit is given, ranges of the order otherwise."""
     from pyspark.sql import Window as W
 
     totals = grid.groupBy("place", "place_name").agg(F.sum("cases").alias("cases"))
     order = [F.asc("cases") if ascending else F.desc("cases"), F.asc("place")]
-    if top_n is not None:
-        totals = totals.orderBy(*order).limit(top_n)
-    # at most top_n rows, else one row per place
-    return totals.withColumn("position", F.row_number().over(W.orderBy(*order)))
+    if top_n is None:
+        return row_numbers(totals, order, "position")
+    # at most top_n rows
+    return totals.orderBy(*order).limit(top_n).withColumn("position", F.row_number().over(W.orderBy(*order)))
 
 
 def yearly_cases(grid: DataFrame, factor: float = 1.5) -> DataFrame:

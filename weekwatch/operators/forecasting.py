@@ -120,19 +120,30 @@ def holt_winters_forecasts(train: DataFrame, targets: DataFrame, grid: Sequence[
 
 
 def custom_forecasts(train: DataFrame, targets: DataFrame, name: str, model: Callable) -> DataFrame:
-    """A user's model(train_frame, target_frame) -> values, one series and fold at a time in its own task."""
+    """A user's model(train_frame, target_frame) -> values, one series and fold at a time in its own task.
+
+    A model that raises, or that gives another number of values than there are weeks, costs its own fold only: one row of
+    nulls with the `reason`.
+    """
     import pandas as pd
 
-    columns = ["kind", "fold", "method", "epi_year", "epi_week", "week_start", "step", "actual", "predicted"]
-    schema = "kind string, fold int, method string, epi_year int, epi_week int, week_start date, step int, actual double, predicted double"
+    columns = ["kind", "fold", "method", "epi_year", "epi_week", "week_start", "step", "actual", "predicted", "reason"]
+    schema = "kind string, fold int, method string, epi_year int, epi_week int, week_start date, step int, actual double, predicted double, reason string"
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         left, right = rows[rows["_train"]], rows[~rows["_train"]]
         if left.empty or right.empty:
             return pd.DataFrame(columns=columns)
         right = right.sort_values("epi_week")
-        values = [max(0.0, float(v)) for v in model(left.sort_values("series_index"), right)]
-        return right.assign(method=name, predicted=values)[columns]
+        try:
+            values = [max(0.0, float(v)) for v in model(left.sort_values("series_index"), right)]
+            if len(values) != len(right):
+                raise ValueError(f"{len(values)} values for {len(right)} weeks")
+        except Exception as error:  # noqa: BLE001 - whatever the user's code raises is what is reported
+            first = right.iloc[0]
+            known = {"kind": first["kind"], "fold": int(first["fold"]), "method": name, "reason": f"{type(error).__name__}: {error}"}
+            return pd.DataFrame([[known.get(c) for c in columns]], columns=columns, dtype=object)
+        return right.assign(method=name, predicted=values, reason=None)[columns]
 
     both = train.withColumn("_train", F.lit(True)).unionByName(targets.withColumn("_train", F.lit(False)), allowMissingColumns=True)
     return both.groupBy(*Series).applyInPandas(run, schema)
@@ -144,6 +155,11 @@ def all_forecasts(series: DataFrame, folds: Sequence[int], with_holt_winters: bo
     return out.unionByName(holt_winters_forecasts(train, targets)) if with_holt_winters else out
 
 
+def failed_folds(forecasts: DataFrame) -> DataFrame:
+    """(kind, fold, method, target_year, reason) of the folds that a user's model left without values."""
+    return forecasts.where(F.col("reason").isNotNull()).select(*Series, "method", (F.col("fold") + 1).alias("target_year"), "reason")
+
+
 def backtest(forecasts: DataFrame) -> DataFrame:
     """Per series, fold and method: MAE, RMSE, MASE against the naive rule, peak week and size errors.
 

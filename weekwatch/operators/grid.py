@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from weekwatch.functions import dates
+from weekwatch.functions.numbers import round_even
 from weekwatch.functions.text import clean_text
 
 
@@ -168,6 +169,17 @@ def reconcile_keys(left: DataFrame, right: DataFrame, key: str, name: str) -> Da
     return both.unionByName(named.select(*cols, "same_name_key"))
 
 
+def match_summary(reconciled: DataFrame) -> DataFrame:
+    """One row of a reconciliation: keys by side, and the share of the right side's keys that the left one has, 0 without any."""
+    side = lambda s: F.count_if(F.col("side") == s)
+    known = side("both") + side("only_right")
+    return reconciled.agg(
+        side("both").alias("n_both"), side("only_left").alias("n_only_left"), side("only_right").alias("n_only_right"),
+        F.count_if(F.col("same_name_key").isNotNull()).alias("n_same_name"),
+        round_even(F.coalesce(F.try_divide(100.0 * side("both"), known), F.lit(0.0)), 2).alias("match_pct"),
+    )
+
+
 def orphans(fact: DataFrame, dim: DataFrame, key: str) -> DataFrame:
     """Distinct fact keys without a dimension row."""
     return fact.select(key).distinct().join(dim.select(key), key, "left_anti")

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from weekwatch.functions.numbers import pct, round_even
+from weekwatch.functions.ordered import row_numbers
 
 SMALL_PLACE = 1000
 HIGH_GROWTH_PCT = 50.0
@@ -155,15 +156,18 @@ def signed_errors(held: DataFrame) -> DataFrame:
 def perturbed(population: DataFrame, errors: DataFrame, replicas: int = 20, seed: int = 42, types: Sequence[str] = ("estimativa", "projecao")) -> DataFrame:
     """Every replica of the population table with drawn errors on the estimated rows.
 
-    The draw indexes the sorted error sample by a hash of (seed, replica, place, year): the same
-    for any partitioning. The sample holds one value per place.
+    The sorted error sample is a table of ranks. A row draws a rank by the md5 sum of (seed, replica, place, year), the same
+    for any partitioning, and joins it; ranks are drawn alike, so no rank is hot. Rows without an error to draw stay as they are.
     """
-    sample = errors.agg(F.array_sort(F.collect_list("error_pct")).alias("e")).select("e").scalar()
-    copies = population.withColumn("replica", F.explode(F.sequence(F.lit(0), F.lit(replicas - 1)))).withColumn("_e", sample)
-    index = F.pmod(F.xxhash64(F.lit(seed), "replica", "place", "epi_year"), F.nullif(F.size("_e"), F.lit(0))).cast("int") + 1
-    drawn = F.element_at("_e", index)
-    value = F.when(F.col("population_type").isin(*types), F.greatest(F.lit(1.0), F.rint(F.col("population") * (1 + drawn / 100)))).otherwise(F.col("population"))
-    return copies.withColumn("population", value.cast("bigint")).drop("_e")
+    sample = row_numbers(errors.select("error_pct"), [F.asc("error_pct")], "_rank")
+    n = sample.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
+    copies = population.withColumn("replica", F.explode(F.sequence(F.lit(0), F.lit(replicas - 1))))
+    key = F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in ("replica", "place", "epi_year")])
+    number = F.conv(F.substring(F.md5(key), 1, 12), 16, 10).cast("bigint")
+    hit = F.when(F.col("population_type").isin(*types), F.pmod(number, F.nullif(n, F.lit(0))) + 1)
+    drawn = copies.withColumn("_hit", hit).join(sample, F.col("_hit") == F.col("_rank"), "left")
+    changed = F.when(F.col("error_pct").isNotNull(), F.greatest(F.lit(1.0), F.rint(F.col("population") * (1 + F.col("error_pct") / 100))))
+    return drawn.withColumn("population", F.coalesce(changed, F.col("population")).cast("bigint")).drop("_hit", "_rank", "error_pct")
 
 
 def replica_rates(grid: DataFrame, perturbed_population: DataFrame) -> DataFrame:

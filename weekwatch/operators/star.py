@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from weekwatch.contracts import GRIDDED_BLOCK, RATE_BLOCK, STATION_BLOCK
 from weekwatch.functions.dates import week_key
 from weekwatch.functions.numbers import rate_100k, round_even
+from weekwatch.functions.ordered import dense_ranks
 from weekwatch.operators.grid import orphans
+from weekwatch.session import cut_lineage
 
 
 def _key() :
@@ -135,10 +137,5 @@ def place_measures(fact: DataFrame, weeks: DataFrame) -> DataFrame:
     out = out.withColumns(
         {"rate": rate_100k(F.col("cases"), F.col("population")), "rate_4w": rate_100k(F.col("cases_4w"), F.col("population"))}
     )
-    # one row per place; rates that differ only in their last bits share a rank
-    return out.withColumns(
-        {
-            "rank_cases": F.dense_rank().over(W.orderBy(F.desc("cases"))),
-            "rank_rate": F.dense_rank().over(W.orderBy(round_even(F.col("rate"), 9).desc())),
-        }
-    )
+    # rates that differ only in their last bits share a rank
+    return dense_ranks(dense_ranks(cut_lineage(out), F.col("cases"), "rank_cases"), round_even(F.col("rate"), 9), "rank_rate")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from weekwatch.functions import dates, numbers, text
@@ -10,7 +12,8 @@ from weekwatch.operators import conform, grid as G, routing
 from weekwatch.plans import tables as T
 from weekwatch.plans.registry import query
 from weekwatch.plans.sqltext import r, sql, week_one
-from weekwatch.sources import manifests
+from weekwatch.session import checkpoint_dir, cut_lineage
+from weekwatch.sources import manifests, publish
 
 _WS = "'^\\s+|\\s+$'"
 
@@ -246,10 +249,12 @@ def exact_duplicates_removed(spark, sf):
     return G.exact_duplicates_removed(T.read(spark, sf, "lineitem").select("l_partkey", "l_quantity", "l_returnflag"))
 
 
-@query("station_rules", sql("""
+_STATIONS = {"strules": """
 SELECT station, source, CASE WHEN station IS NULL THEN 'codigo_estacao ausente' WHEN abs(lat) > 90 OR abs(lon) > 180 THEN 'latitude/longitude fora do intervalo valido' WHEN dup THEN 'codigo_estacao duplicado (mesma fonte)' END AS reject_reason FROM (
- SELECT CASE WHEN station % 10 = 0 THEN NULL ELSE station % 50 END AS station, source, CASE WHEN station % 8 = 0 THEN lat * 20 ELSE lat END AS lat, lon, station % 10 <> 0 AND row_number() OVER (PARTITION BY source, CASE WHEN station % 10 = 0 THEN NULL ELSE station % 50 END ORDER BY station) > 1 AS dup FROM stations)"""))
-def station_rules(spark, sf):
+ SELECT CASE WHEN station % 10 = 0 THEN NULL ELSE station % 50 END AS station, source, CASE WHEN station % 8 = 0 THEN lat * 20 ELSE lat END AS lat, lon, station % 10 <> 0 AND row_number() OVER (PARTITION BY source, CASE WHEN station % 10 = 0 THEN NULL ELSE station % 50 END ORDER BY station) > 1 AS dup FROM stations)"""}
+
+
+def routed_stations(spark, sf):
     s = T.stations(spark, sf)
     k = F.col("station")
     code = F.when(k % 10 == 0, F.lit(None)).otherwise(k % 50)
@@ -258,7 +263,48 @@ def station_rules(spark, sf):
     first = bad.where(F.col("station").isNotNull()).groupBy("source", "station").agg(F.min("row_id").alias("first_id"))
     tagged = bad.join(first, ["source", "station"], "left")
     dup = F.coalesce(F.col("row_id") != F.col("first_id"), F.lit(False))
-    return routing.first_failing(tagged, routing.station_rules(dup)).select("station", "source", "reject_reason")
+    return routing.first_failing(tagged, routing.station_rules(dup))
+
+
+@query("station_rules", sql("SELECT * FROM strules", _STATIONS))
+def station_rules(spark, sf):
+    return routed_stations(spark, sf).select("station", "source", "reject_reason")
+
+
+@query("published_stations", sql("""
+SELECT 'published' AS part, NULL AS reason, count(*) AS n FROM strules WHERE reject_reason IS NULL
+UNION ALL SELECT 'rejected', reject_reason, count(*) FROM strules WHERE reject_reason IS NOT NULL GROUP BY ALL
+UNION ALL SELECT 'manifest', reject_reason, count(*) FROM strules WHERE reject_reason IS NOT NULL GROUP BY ALL
+UNION ALL SELECT 'twin', NULL, count(*) FROM strules WHERE reject_reason IS NULL""", _STATIONS))
+def published_stations(spark, sf):
+    """Stations written with their rejects, manifest and report twins and read back; a later version that its gate refuses changes nothing."""
+    base = f"{checkpoint_dir(spark)}/stations-{uuid.uuid4().hex}"
+    rows = cut_lineage(routed_stations(spark, sf).select("station", "source", "reject_reason"))
+    publish.write_valid_with_manifest(rows, f"{base}/valid", f"{base}/manifest", "silver", "r1", source_rows=rows.count())
+    publish.write_rejected(rows, f"{base}/rejected", "r1")
+
+    def refuse(df):
+        raise ValueError("a gate that nothing passes")
+
+    try:
+        publish.publish(rows.limit(1), f"{base}/valid", refuse)
+    except ValueError:
+        pass
+    valid = publish.read_published(spark, f"{base}/valid")
+    publish.write_twins({"stations": valid}, f"{base}/report")
+    n, none = F.count(F.lit(1)).alias("n"), F.lit(None).cast("string").alias("reason")
+    parts = [
+        valid.agg(n).select(F.lit("published").alias("part"), none, "n"),
+        spark.read.parquet(f"{base}/rejected").groupBy(F.col("_motivo_rejeicao").alias("reason")).agg(n).select(F.lit("rejected").alias("part"), "reason", "n"),
+        # reasons and counts are fields of one struct in the written document
+        spark.read.schema("motivos map<string, bigint>").json(f"{base}/manifest").select(F.lit("manifest").alias("part"), F.explode("motivos").alias("reason", "n")),
+        spark.read.option("header", True).csv(f"{base}/report/stations/csv").agg(n).select(F.lit("twin").alias("part"), none, "n"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
 
 
 @query("filtered_grid", sql("SELECT place, kind, week_index, cases FROM grid WHERE kind = 'O' AND epi_year BETWEEN 1997 AND 1999 AND region = 2"))
@@ -299,10 +345,13 @@ def unknown_requests(spark, sf):
     return routing.check_requests(asked, T.grid(spark, sf), ["place", "epi_year"])
 
 
-@query("key_reconciliation", sql("""
+_REC = {"rec": """
 SELECT coalesce(a.k, b.k) AS place, a.n AS left_name, b.n AS right_name, CASE WHEN a.k IS NULL THEN 'only_right' WHEN b.k IS NULL THEN 'only_left' ELSE 'both' END AS side,
  CASE WHEN a.k IS NULL THEN (SELECT min(x.k) FROM rla x WHERE x.n = upper(b.n) AND x.k NOT IN (SELECT k FROM rlb)) WHEN b.k IS NULL THEN (SELECT min(y.k) FROM rlb y WHERE upper(y.n) = a.n AND y.k NOT IN (SELECT k FROM rla)) END AS same_name_key
-FROM rla a FULL JOIN rlb b ON a.k = b.k""", {"rla": "SELECT place AS k, place_name AS n FROM places", "rlb": "SELECT place + CASE WHEN place >= 15 THEN 100 ELSE 0 END AS k, lower(place_name) AS n FROM places"}))
+FROM rla a FULL JOIN rlb b ON a.k = b.k""", "rla": "SELECT place AS k, place_name AS n FROM places", "rlb": "SELECT place + CASE WHEN place >= 15 THEN 100 ELSE 0 END AS k, lower(place_name) AS n FROM places"}
+
+
+@query("key_reconciliation", sql("SELECT * FROM rec", _REC))
 def key_reconciliation(spark, sf):
     p = T.places(spark, sf)
     a = p.select("place", "place_name")
@@ -312,6 +361,13 @@ def key_reconciliation(spark, sf):
     return G.reconcile_keys(a, b, "place", "place_name")
 
 
+@query("key_match_percentage", sql(f"""
+SELECT count(*) FILTER (side = 'both') AS n_both, count(*) FILTER (side = 'only_left') AS n_only_left, count(*) FILTER (side = 'only_right') AS n_only_right, count(same_name_key) AS n_same_name,
+ {r("100e0 * count(*) FILTER (side = 'both') / count(*) FILTER (side <> 'only_left')", 2)} AS match_pct FROM rec""", _REC))
+def key_match_percentage(spark, sf):
+    return G.match_summary(key_reconciliation(spark, sf))
+
+
 @query("dimension_by_position", sql("""
 SELECT codigo_bairro, nome_bairro, nome_municipio FROM (SELECT CAST(s_nationkey AS VARCHAR) AS codigo_bairro, upper(s_name) AS nome_bairro, 'CITY' AS nome_municipio, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS rn FROM supplier WHERE s_suppkey % 9 <> 0) WHERE rn = 1"""))
 def dimension_by_position(spark, sf):

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from weekwatch.operators import bootstrap as B, episodes as E, evaluation as V, features as X, learning as L, ranking as R
 from weekwatch.plans.registry import query
-from weekwatch.plans.sqltext import onset_block, r, sql, sunday
-from weekwatch.plans.weekly import _RATE_STATES, master, rounded, with_features, with_rates, with_states
-from weekwatch.session import cut_lineage
+from weekwatch.plans.sqltext import interval_of_mean, interval_of_median, onset_block, r, sql, sunday
+from weekwatch.plans.weekly import _MASTER, _RATE_STATES, master, rounded, with_features, with_rates, with_states
+from weekwatch.session import checkpoint_dir, cut_lineage
 from weekwatch.streaming import readings as SR, weekly as SW
 
 KEY = ["place", "kind", "week_index"]
@@ -149,26 +152,30 @@ def variant_decision(spark, sf):
     return L.adopt_variant(interval, gain.groupBy("fold").agg(F.avg("d").alias("difference")))
 
 
-@query("recall_interval")
+_UNITS = (("episode", ["place", "kind", "start_index"]), ("place", ["place"]), ("place_year", ["place", "start_year"]))
+_ENDS = {"observed": 6, "low": 6, "high": 6}
+
+
+@query("recall_interval", sql(" UNION ALL ".join(f"SELECT *, '{label}' AS unit FROM ({interval_of_mean('master', 'history_hit_10', unit)})" for label, unit in _UNITS), _MASTER))
 def recall_interval(spark, sf):
     m = cut_lineage(master(spark, sf))
     out = None
-    for label, unit in (("episode", ["place", "kind", "start_index"]), ("place", ["place"]), ("place_year", ["place", "start_year"])):
+    for label, unit in _UNITS:
         one = B.mean_interval(m, F.col("history_hit_10"), unit).withColumn("unit", F.lit(label))
         out = one if out is None else out.unionByName(one)
-    return out
+    return rounded(out, **_ENDS)
 
 
-@query("recall_difference_interval")
+@query("recall_difference_interval", sql(interval_of_mean("master", "(history_hit_10 - growth_hit_10)", ["place"]), _MASTER))
 def recall_difference_interval(spark, sf):
     m = cut_lineage(master(spark, sf))
-    return B.difference_interval(m, F.col("history_hit_10"), F.col("growth_hit_10"), ["place"])
+    return rounded(B.difference_interval(m, F.col("history_hit_10"), F.col("growth_hit_10"), ["place"]), **_ENDS)
 
 
-@query("lead_median_interval")
+@query("lead_median_interval", sql(interval_of_median("master", "history_lead_weeks", ["place", "kind", "start_index"]), _MASTER))
 def lead_median_interval(spark, sf):
     m = cut_lineage(master(spark, sf))
-    return B.median_interval(m, F.col("history_lead_weeks"), ["place", "kind", "start_index"])
+    return rounded(B.median_interval(m, F.col("history_lead_weeks"), ["place", "kind", "start_index"]), **_ENDS)
 
 
 # --- streams -----------------------------------------------------------------------------------
@@ -198,6 +205,25 @@ def streamed_weekly_counts(spark, sf):
     return SR.run_to_table(spark, SW.weekly_counts(e), "weekly", ["place", "kind", "week_start"])
 
 
+@query("streamed_episodes", sql("""
+SELECT e.place, e.kind, e.start_index, e.end_index, e.start_year, e.start_week, e.weeks, e.total_cases, e.peak_cases, e.end_index = l.last AS open
+FROM eps e JOIN (SELECT place, kind, max(week_index) AS last FROM states WHERE state IS NOT NULL GROUP BY 1, 2) l USING (place, kind)"""))
+def streamed_episodes(spark, sf):
+    """Weeks with their states, read as a stream that stops after the first half of the years and starts again."""
+    columns = ["place", "kind", F.col("week_start").cast("timestamp").alias("week_start"), "week_index", "epi_year", "epi_week", "cases", "state"]
+    weeks = cut_lineage(with_states(spark, sf).select(*columns))
+    base = f"{checkpoint_dir(spark)}/episodes-{uuid.uuid4().hex}"
+    years, out = L.years_of(weeks), None
+    for half in (years[: len(years) // 2], years[len(years) // 2 :]):
+        weeks.where(F.col("epi_year").isin(half)).write.mode("append").parquet(f"{base}/weeks")
+        stream = SW.episodes_so_far(spark.readStream.schema(weeks.schema).parquet(f"{base}/weeks"))
+        with SW.rocksdb_states(spark):
+            SR.upsert_available(stream, f"{base}/table", f"{base}/checkpoint")
+        out = stream.schema
+    written = spark.read.schema(StructType([*out.fields, StructField(SR.EPOCH, LongType())])).parquet(f"{base}/table")
+    return SR.newest_rows(written, ["place", "kind", "start_index"]).select(*out.names)
+
+
 @query("streamed_first_readings", sql("SELECT DISTINCT user_id AS station, CAST(ts AS DATE) AS day, hour(ts) AS hour FROM events"))
 def streamed_first_readings(spark, sf):
     e = event_stream(spark, sf).withColumn("day", F.col("ts").cast("date"))

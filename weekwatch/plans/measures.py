@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from weekwatch.operators import episodes as E, evaluation as V, population as Pop, profile, rates, threshold
 from weekwatch.plans import climate, tables as T
 from weekwatch.plans.registry import query
-from weekwatch.plans.sqltext import r, sql
+from weekwatch.plans.sqltext import r, rate, sql
 from weekwatch.plans.weekly import rounded, with_features, with_rate_features, with_states
 
 A, B, C = ("p95", 1995), ("p98", 1998), ("p00", 2000)
@@ -123,11 +123,25 @@ def missing_population(spark, sf):
     return rates.missing_population(T.grid(spark, sf), some)
 
 
-@query("population_sensitivity")
+_SENS = {
+    **_POP,
+    "errs": "SELECT row_number() OVER (ORDER BY e) AS rank, e, count(*) OVER () AS n FROM (SELECT 100e0 * bias / real AS e FROM held WHERE real <> 0)",
+    "reps": """SELECT place, epi_year, replica, population, population_type, CAST('0x' || substr(md5('42|' || CAST(replica AS VARCHAR) || '|' || CAST(place AS VARCHAR) || '|' || CAST(epi_year AS VARCHAR)), 1, 12) AS BIGINT) % (SELECT max(n) FROM errs) + 1 AS hit
+ FROM pop, (SELECT unnest(range(20)) AS replica)""",
+    "pert": """SELECT place, epi_year, replica, CASE WHEN population_type IN ('estimativa', 'projecao') THEN CAST(greatest(1e0, round_even(population * (1 + e / 100), 0)) AS BIGINT) ELSE population END AS population
+ FROM reps JOIN errs ON rank = hit""",
+    "srate": f"""SELECT replica, kind, epi_year, {rate('sum(cases) OVER (PARTITION BY replica, place, kind ORDER BY week_index ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)', 'population')} AS rate_4w
+ FROM (SELECT place, kind, epi_year, week_index, cases FROM grid) JOIN pert USING (place, epi_year)""",
+}
+
+
+@query("population_sensitivity", sql(f"""
+SELECT kind, epi_year, count(*) AS n_replicas, {r('avg(m)', 5)} AS mean, {r('quantile_cont(m, 0.025)', 5)} AS low, {r('quantile_cont(m, 0.975)', 5)} AS high
+FROM (SELECT replica, kind, epi_year, avg(rate_4w) AS m FROM srate GROUP BY ALL) GROUP BY ALL""", _SENS))
 def population_sensitivity(spark, sf):
     held = Pop.hold_out(checkpoints(spark, sf), A, B, C, totals(spark, sf))
     p = Pop.perturbed(T.population(spark, sf), Pop.signed_errors(held), replicas=20)
-    return Pop.sensitivity(Pop.replica_rates(T.grid(spark, sf), p))
+    return rounded(Pop.sensitivity(Pop.replica_rates(T.grid(spark, sf), p)), mean=5, low=5, high=5)
 
 
 # --- scores of labelled documents --------------------------------------------------------------

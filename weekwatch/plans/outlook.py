@@ -10,6 +10,7 @@ from weekwatch.plans import climate, tables as T
 from weekwatch.plans.registry import query
 from weekwatch.plans.sqltext import r, rate, sql, week_one
 from weekwatch.plans.weekly import _BT, backtest, rounded, with_rates
+from weekwatch.session import cut_lineage
 
 # the last complete year of the driver's tables, for the SQL; the Spark side reads it from the data
 LAST_YEAR = 2000
@@ -24,7 +25,8 @@ def folds(spark, sf):
 def series(spark, sf):
     """City series of the complete years; later weeks are not treated as observed."""
     s = rates.city_series(T.grid(spark, sf)).where(F.col("epi_year") <= T.last_complete_year(spark, sf))
-    return s.select("kind", "epi_year", "epi_week", "week_start", "series_index", "cases")
+    # one row per kind and week of the calendar; every method and fold reads it
+    return cut_lineage(s.select("kind", "epi_year", "epi_week", "week_start", "series_index", "cases"))
 
 
 def _fold_blocks(folds: str, targets: str, p: str = "") -> dict[str, str]:
@@ -73,6 +75,25 @@ def forecast_backtest(spark, sf):
     return rounded(b, mae=5, rmse=5, mase=5, peak_size_error=5)
 
 
+def series_mean(train, target):
+    """A user's model: the mean of the training weeks, of which it asks for 200."""
+    if len(train) < 200:
+        raise ValueError(f"{len(train)} weeks are too few")
+    return [train["cases"].mean()] * len(target)
+
+
+@query("backtest_of_a_failing_model", sql(f"""
+SELECT kind, CAST(fold AS BIGINT) AS fold, 'series_mean' AS method, CAST(fold + 1 AS BIGINT) AS target_year, CASE WHEN n >= 200 THEN n_weeks END AS n_weeks, CASE WHEN n >= 200 THEN {r('mae', 5)} END AS mae,
+ CASE WHEN n < 200 THEN 'ValueError: ' || CAST(n AS VARCHAR) || ' weeks are too few' END AS reason
+FROM (SELECT t.kind, t.fold, count(*) AS n_weeks, avg(abs(t.actual - w.mn)) AS mae FROM tgt t JOIN whole w USING (kind, fold) GROUP BY ALL) JOIN (SELECT kind, fold, count(*) AS n FROM trn GROUP BY ALL) USING (kind, fold)""", _BACK))
+def backtest_of_a_failing_model(spark, sf):
+    """A model that fails in the first folds leaves the figures of the others."""
+    s, f = series(spark, sf), folds(spark, sf)
+    out = cut_lineage(M.custom_forecasts(M.in_folds(s, f), M.observed_targets(s, f), "series_mean", series_mean))
+    done = M.backtest(out).select("kind", "fold", "method", "target_year", "n_weeks", "mae")
+    return rounded(done.unionByName(M.failed_folds(out), allowMissingColumns=True), mae=5)
+
+
 @query("forecast_backtest_all_methods")
 def forecast_backtest_all_methods(spark, sf):
     return M.backtest(M.all_forecasts(series(spark, sf), folds(spark, sf)))

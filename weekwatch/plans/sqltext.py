@@ -273,3 +273,33 @@ def sql(body: str, extra: dict[str, str] | None = None) -> str:
     shared = _SHARED | set(extra or {})
     parts = [f"{n} AS {'MATERIALIZED ' if n in shared else ''}({blocks[n].strip()})" for n in needed]
     return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + body.strip()
+
+
+# --- resampling -------------------------------------------------------------------------------
+
+
+def drawn(source: str, unit: list[str], measures: str, draws: int = 2000, seed: int = 42) -> str:
+    """Rows of (draw, weight, unit, measures): the units of a table with their Poisson counts from md5 sums."""
+    from weekwatch.operators.bootstrap import poisson_steps
+
+    key = " || '|' || ".join([f"'{seed}'", "CAST(draw AS VARCHAR)", *[f"coalesce(CAST({c} AS VARCHAR), '')" for c in unit]])
+    return (
+        f"SELECT * FROM (SELECT *, len(list_filter({poisson_steps()}, lambda t: t <= CAST('0x' || substr(md5({key}), 1, 8) AS BIGINT))) AS weight "
+        f"FROM (SELECT {', '.join(unit)}, {measures} FROM {source} GROUP BY ALL) u, (SELECT unnest(range({draws})) AS draw) d) WHERE weight > 0"
+    )
+
+
+def interval_of_mean(source: str, value: str, unit: list[str]) -> str:
+    per = f"SELECT draw, sum(weight * total) / sum(weight * size) AS v FROM ({drawn(source, unit, f'count(*) AS size, CAST(sum({value}) AS DOUBLE) AS total')}) GROUP BY draw"
+    return (
+        f"SELECT (SELECT {r(f'avg({value})')} FROM {source}) AS observed, {r('quantile_cont(v, 0.025)')} AS low, {r('quantile_cont(v, 0.975)')} AS high, count(v) AS n_draws FROM ({per})"
+    )
+
+
+def interval_of_median(source: str, value: str, unit: list[str]) -> str:
+    counts = f"SELECT draw, v, CAST(sum(weight * c) AS BIGINT) AS n FROM ({drawn(f'(SELECT * FROM {source} WHERE {value} IS NOT NULL)', unit, f'CAST({value} AS DOUBLE) AS v, count(*) AS c')}) GROUP BY draw, v"
+    cum = f"SELECT *, sum(n) OVER (PARTITION BY draw ORDER BY v) AS upto, sum(n) OVER (PARTITION BY draw) AS total FROM ({counts})"
+    per = f"SELECT draw, (min(v) FILTER (upto > (total - 1) // 2) + min(v) FILTER (upto > total // 2)) / 2 AS v FROM ({cum}) GROUP BY draw"
+    return (
+        f"SELECT (SELECT CAST(median({value}) AS DOUBLE) FROM {source}) AS observed, {r('quantile_cont(v, 0.025)')} AS low, {r('quantile_cont(v, 0.975)')} AS high, count(v) AS n_draws FROM ({per})"
+    )

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from weekwatch.functions.numbers import round_even
-from weekwatch.operators import episodes as E, explore, features as X, grid as G, priority as P, ranking as R, rates, threshold
+from weekwatch.operators import bootstrap as B, episodes as E, explore, features as X, grid as G, priority as P, ranking as R, rates, threshold
 from weekwatch.plans import tables as T
 from weekwatch.plans.registry import query
-from weekwatch.plans.sqltext import pct_change, r, rate, sql, state_block, episode_block, onset_block, trend, week_one
+from weekwatch.plans.sqltext import episode_block, interval_of_mean, onset_block, pct_change, r, rate, sql, state_block, trend, week_one
+from weekwatch.session import cut_lineage
 
 SCORES = {"history": "threshold_ratio", "growth": "growth", "recent": "recent_ratio"}
 
@@ -542,22 +543,58 @@ def critical_places(spark, sf):
     return R.critical_places(master(spark, sf), "history_hit_10")
 
 
+def _evidence_sql() -> str:
+    ks = (5, 10, 15, 20)
+    hits = [f"avg(history_hit_{k}) AS history_hit_{k}" for k in ks]
+    long = lambda section, key, src, cols: " UNION ALL ".join(
+        f"SELECT 'weekwatch_v1' AS candidate, '{section}' AS section, CAST({key} AS VARCHAR) AS key, '{c}' AS metric, {r(f'CAST({c} AS DOUBLE)')} AS value FROM ({src})" for c in cols
+    )
+    hit_names = [f"history_hit_{k}" for k in ks]
+    parts = [long(f"by_{n}", c, f"SELECT {c}, {', '.join(hits)} FROM master GROUP BY 1", hit_names) for n, c in (("year", "start_year"), ("region", "region"), ("place", "place"))]
+    ends = ["observed", "low", "high"]
+    parts.append(long("intervals", "k", " UNION ALL ".join(f"SELECT {k} AS k, * FROM ({interval_of_mean('master', f'history_hit_{k}', ['place'])})" for k in ks), ends))
+    parts.append(long("differences", "k", " UNION ALL ".join(f"SELECT {k} AS k, * FROM ({interval_of_mean('master', f'(history_hit_{k} - growth_hit_{k})', ['place'])})" for k in ks), ends))
+    parts.append(long("leave_one_year_out", "y", "SELECT y, avg(history_hit_10) AS recall_model, avg(growth_hit_10) AS recall_baseline FROM (SELECT DISTINCT start_year AS y FROM master) JOIN master ON start_year <> y GROUP BY y", ["recall_model", "recall_baseline"]))
+    return " UNION ALL ".join(parts)
+
+
+def evidence(spark, sf) -> dict:
+    """The sections of the bundle that come from the episode master."""
+    m = cut_lineage(master(spark, sf))
+    ks = (5, 10, 15, 20)
+    hits, ends = [f"history_hit_{k}" for k in ks], ["observed", "low", "high"]
+
+    def each(interval):
+        out = None
+        for k in ks:
+            one = interval(k).withColumn("k", F.lit(k))
+            out = one if out is None else out.unionByName(one)
+        return out
+
+    return {
+        "by_year": (R.recall_by_group(m, "start_year", hits), "start_year", hits),
+        "by_region": (R.recall_by_group(m, "region", hits), "region", hits),
+        "by_place": (R.recall_by_group(m, "place", hits), "place", hits),
+        "intervals": (each(lambda k: B.mean_interval(m, F.col(f"history_hit_{k}"), ["place"])), "k", ends),
+        "differences": (each(lambda k: B.difference_interval(m, F.col(f"history_hit_{k}"), F.col(f"growth_hit_{k}"), ["place"])), "k", ends),
+        "leave_one_year_out": (R.leave_one_out(m, "start_year", "history_hit_10", "growth_hit_10"), "left_out", ["recall_model", "recall_baseline"]),
+    }
+
+
 @query("evidence_bundle")
 def evidence_bundle(spark, sf):
-    m = master(spark, sf)
     x = ranked(spark, sf)
-    hits = [f"history_hit_{k}" for k in (5, 10, 15, 20)]
-    return R.evidence_bundle(
-        {
-            "recall": (R.recall_at_k(x, "onset_h3"), "k", ["recall_micro", "recall_macro"]),
-            "by_year": (R.recall_by_group(m, "start_year", hits), "start_year", hits),
-            "by_region": (R.recall_by_group(m, "region", hits), "region", hits),
-            "by_place": (R.recall_by_group(m, "place", hits), "place", hits),
-            "load": (R.operating_load(x), "k", ["n_listed", "pct_without_episode"]),
-            "intervals": (None, "", []),
-        },
-        "weekwatch_v1",
-    )
+    more = {
+        "recall": (R.recall_at_k(x, "onset_h3"), "k", ["recall_micro", "recall_macro"]),
+        "load": (R.operating_load(x), "k", ["n_listed", "pct_without_episode"]),
+    }
+    return rounded(R.evidence_bundle(more | evidence(spark, sf), "weekwatch_v1"), value=6)
+
+
+@query("evidence_of_episodes", sql(_evidence_sql(), _MASTER))
+def evidence_of_episodes(spark, sf):
+    """The bundle's sections from the episode master: groups, intervals, paired differences, years left out."""
+    return rounded(R.evidence_bundle(evidence(spark, sf), "weekwatch_v1"), value=6)
 
 
 # --- observed priority ------------------------------------------------------------------------
