@@ -192,3 +192,34 @@ def test_weekly_windows_start_on_sundays_and_episodes_stay_open(spark, tmp_path)
     SR.run_available(SW.weekly_counts(spark.readStream.schema("place bigint, kind string, ts timestamp").parquet(ev)), str(tmp_path / "wc"), str(tmp_path / "ck3"))
     weeks = rows(spark.read.parquet(str(tmp_path / "wc")).select("week_start", "cases"), "week_start")
     assert weeks[0] == (dt.date(2023, 12, 31), 6) and weeks[1] == (sunday, 7) and all(w[0].isoweekday() == 7 for w in weeks)
+
+
+def test_open_episode_is_closed_by_a_week_a_gap_or_a_timer(spark, tmp_path):
+    import datetime
+
+    from pyspark.sql.types import LongType, StructField, StructType
+
+    schema = "place bigint, kind string, week_start timestamp, week_index int, epi_year int, epi_week int, cases bigint, state int"
+
+    def rows(place, states, first=0):
+        start = datetime.datetime(2020, 1, 5)
+        return [(place, "F", start + datetime.timedelta(days=7 * (first + i)), first + i, 2020, first + i + 2, 3, s) for i, s in enumerate(states) if s != "gap"]
+
+    src, out, ck = (str(tmp_path / x) for x in ("weeks", "table", "checkpoint"))
+    batches = [
+        rows(1, [0, 1, 1]) + rows(2, [1, 1, 0]) + rows(3, [1, "gap", 1]) + rows(4, [1, None, 1]),
+        # place 1 reports no more, so its episode ends by time; the first row of place 2 was counted before
+        rows(2, [1, 1, 0, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1]),
+    ]
+    for batch in batches:
+        spark.createDataFrame(batch, schema).write.mode("append").parquet(src)
+        stream = SW.episodes_so_far(spark.readStream.schema(schema).parquet(src))
+        with SW.rocksdb_states(spark):
+            SR.upsert_available(stream, out, ck)
+    written = spark.read.schema(StructType([*stream.schema.fields, StructField(SR.EPOCH, LongType())])).parquet(out)
+    got = {(r.place, r.start_index): (r.end_index, r.weeks, r.total_cases, r.open) for r in SR.newest_rows(written, ["place", "kind", "start_index"]).collect()}
+    assert got == {
+        (1, 1): (2, 2, 6.0, False), (2, 0): (1, 2, 6.0, False), (2, 3): (14, 12, 36.0, True), (3, 0): (0, 1, 3.0, False), (3, 2): (2, 1, 3.0, False),
+        (4, 0): (0, 1, 3.0, False), (4, 2): (2, 1, 3.0, False),
+    }
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("HDFSBackedStateStoreProvider")
