@@ -144,3 +144,24 @@ def test_runs_that_chunks_do_not_hold(spark):
     assert all(kept.count("\n".join(s)) == 1 for s in shared if sum(len(x.split()) for x in s) > 50)
     assert out[900].text.count("again") == 60 and out[None].lines_removed == 0
     assert L.remove_repeated(empty(spark), run_words=L.RUN_WORDS).count() == 0
+
+
+def test_windows_are_compared_by_bytes(spark):
+    from pyspark.sql import functions as F
+
+    passage = [" ".join(f"p{i}q{j}" for j in range(18)) for i in range(5)]
+    rows = [(d, "\n".join([f"own {d}", *passage[d % 2 :], f"end {d}"])) for d in range(12)]
+    found = spark.createDataFrame(rows, "doc_id long, text string").withColumn("text_hash", F.xxhash64("text"))
+    span = F.struct(F.lit(-1).alias("chunk_no"), F.lit(0).cast("long").alias("hash"), F.lit(0).alias("first_line"))
+    found = found.withColumn("spans", F.transform(F.sequence(F.lit(1), F.lit(5)), lambda i: span.withField("first_line", i.cast("int"))))
+    sides = [sorted(map(tuple, L.repeated_windows(found, L.RUN_WORDS, by).collect())) for by in (None, False, True)]
+    assert sides[0] == sides[1] == sides[2] and {r[0] for r in sides[0]} == set(range(1, 12))
+    lines = spark.createDataFrame([(1, b"a"), (1, b"a"), (2, b"b"), (2, b"c"), (3, b"d")], L.LINE)
+    assert [r.hash for r in L.shared_hashes(lines).collect()] == [2]
+
+
+def test_parts_are_those_that_rows_have(spark):
+    rows = spark.createDataFrame([(1, d, 5 * d, d % 3) for d in range(400)] + [(2, 7, 7, 7), (2, 8, 8, 8)], "g int, doc_id long, text_hash long, chunk_no int")
+    at = L._every_part(rows.groupBy("g").agg(L._parts(L._salt()))).select("g", "part")
+    assert sorted(map(tuple, at.collect())) == sorted(map(tuple, rows.select("g", L._salt().alias("part")).distinct().collect()))
+    assert at.where("g = 1").count() > 60 and at.where("g = 2").count() <= 2

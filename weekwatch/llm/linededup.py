@@ -11,8 +11,9 @@ repeated run of over `run_words` words is covered by its downward windows and, a
 of these lie in it. Each window holds the downward window of its first line, and the line of most words in that one (by hash
 among equals) is the window's seed. Seeds are counted by hash over all texts like chunks; windows are made for repeated seeds only.
 
-Chunks and windows that occur again are grouped by their bytes (windows by a digest of 128 bits); of equal
-ones the first (by doc_id, then by text and place) stays and the lines of all others are removed, but for windows that overlap
+Chunks that occur again are grouped by their bytes. Windows are grouped by the sequence of their lines' hashes, and the lines of
+all candidate windows are compared by bytes once, as a dictionary of distinct lines: where no two lines share a hash, equal
+sequences are equal bytes; where some do, windows are grouped by their bytes instead. Of equal ones the first (by doc_id, then by text and place) stays and the lines of all others are removed, but for windows that overlap
 the first one in its own text. Each line that goes is in an earlier place, so of each passage one copy stays.
 
 Only numbers and hashes of all texts are shuffled, and the bytes of repeated chunks, merged before they
@@ -25,7 +26,6 @@ table gives no row. Only doc_id, text and the columns named in `carry` are read,
 
 from __future__ import annotations
 
-import hashlib
 from collections import deque
 from collections.abc import Iterator
 
@@ -41,11 +41,12 @@ from weekwatch.session import cut_lineage
 
 DIVISOR, LONG_WORDS, LEAST_LINES, LEAST_WORDS = 3, 50, 2, 25
 RUN_WORDS = 50  # runs of more words than this are found wherever they begin and end
-SALTS = 32  # a passage that a third of all documents share is joined in so many parts
+SALTS = 64  # a passage that a third of all documents share is joined in so many parts, one of two copies in two; a bit each
 BASE = np.uint64(0x9E3779B97F4A7C15)
 WHOLE = 0x5851F42D4C957F2D  # keeps the hashes of whole texts apart from those of chunks
 CHUNK = "doc_id long, text_hash long, chunk_no int, hash long, first_line int, lines int, words int"
-WINDOW = "doc_id long, text_hash long, first_line int, lines int, digest binary"
+WINDOW = "doc_id long, text_hash long, first_line int, lines int, key binary"
+LINE = "hash long, line binary"
 
 
 def chunk_bounds(lines: list[bytes], divisor: int = DIVISOR, long_words: int = LONG_WORDS) -> tuple[list[int], list[int]]:
@@ -129,34 +130,61 @@ def chunks_of(
     return docs.where("text is not null").select(*cols).mapInPandas(run, CHUNK.replace("doc_id long", "doc_id string")).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def windows_at(found: DataFrame, run_words: int) -> DataFrame:
-    """One row per window over the seeds of each text (doc_id, text_hash, text, seeds), with a digest of its lines."""
+def _windows(text: str, seeds: set[int], run_words: int) -> tuple[list[bytes], np.ndarray, list[tuple[int, int]]]:
+    """The lines of a text, their hashes, and the windows over its seeds."""
+    lines = text.encode("utf-8", "surrogatepass").split(b"\n")
+    words, h = [len(x.split()) for x in lines], _line_hashes(lines)
+    best = seeds_of(h, words, run_words)
+    return lines, h, [(a, b) for a, b in windows_of(words, run_words) if best[a] in seeds]
+
+
+def windows_at(found: DataFrame, run_words: int, by_bytes: bool = False) -> DataFrame:
+    """One row per window over the seeds of each text (doc_id, text_hash, text, seeds); its key is the hashes of its lines, or their bytes."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = []
             for doc_id, text_hash, text, at in zip(f["doc_id"], f["text_hash"], f["text"], f["seeds"]):
-                lines = text.encode("utf-8", "surrogatepass").split(b"\n")
-                words, at = [len(x.split()) for x in lines], set(at.tolist())
-                seeds = seeds_of(_line_hashes(lines), words, run_words)
-                for a, b in windows_of(words, run_words):
-                    if seeds[a] in at:
-                        rows.append((doc_id, text_hash, a, b - a, hashlib.blake2b(b"\n".join(lines[a:b]), digest_size=16).digest()))
-            yield pd.DataFrame(rows, columns=["doc_id", "text_hash", "first_line", "lines", "digest"]).astype({"text_hash": "int64"})
+                lines, h, windows = _windows(text, set(at.tolist()), run_words)
+                for a, b in windows:
+                    rows.append((doc_id, text_hash, a, b - a, b"\n".join(lines[a:b]) if by_bytes else h[a:b].tobytes()))
+            yield pd.DataFrame(rows, columns=["doc_id", "text_hash", "first_line", "lines", "key"]).astype({"text_hash": "int64"})
 
     cols = [F.col("doc_id").cast("string").alias("doc_id"), "text_hash", "text", "seeds"]
     return found.select(*cols).mapInPandas(run, WINDOW.replace("doc_id long", "doc_id string")).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def repeated_windows(found: DataFrame, run_words: int) -> DataFrame:
-    """(doc_id, text_hash, first_line, lines): windows that an earlier place has."""
+def window_lines(found: DataFrame, run_words: int) -> DataFrame:
+    """(hash, line): the lines of all windows over the seeds, equal ones of a batch of texts once."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = set()
+            for text, at in zip(f["text"], f["seeds"]):
+                lines, h, windows = _windows(text, set(at.tolist()), run_words)
+                for i in {i for a, b in windows for i in range(a, b)}:
+                    rows.add((_signed(int(h[i])), lines[i]))
+            yield pd.DataFrame(list(rows), columns=["hash", "line"]).astype({"hash": "int64"})
+
+    return found.select("text", "seeds").mapInPandas(run, LINE)
+
+
+def shared_hashes(lines: DataFrame) -> DataFrame:
+    """Hashes that lines of different bytes have."""
+    return lines.distinct().groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
+
+
+def repeated_windows(found: DataFrame, run_words: int, by_bytes: bool | None = None) -> DataFrame:
+    """(doc_id, text_hash, first_line, lines): windows that an earlier place has. Without `by_bytes` the lines decide the key."""
     seeds = F.transform(F.filter("spans", lambda s: s["chunk_no"] < 0), lambda s: s["first_line"])
     seeded = found.where("spans is not null").select("doc_id", "text_hash", "text", seeds.alias("seeds")).where(F.size("seeds") > 0)
-    windows = store(windows_at(seeded, run_words).distinct())
-    place = F.struct("doc_id", "text_hash", "first_line")
-    firsts = _every_salt(windows.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("f_digest"), "first"))
-    salt = F.pmod(F.xxhash64("doc_id", "text_hash", "first_line"), F.lit(SALTS))
-    later = windows.join(firsts, (F.col("digest") == F.col("f_digest")) & (salt == F.col("salt")))
+    if by_bytes is None:
+        by_bytes = not shared_hashes(window_lines(seeded, run_words)).isEmpty()
+    windows = store(windows_at(seeded, run_words, by_bytes).distinct())
+    place, salt = F.struct("doc_id", "text_hash", "first_line"), _salt("first_line")
+    firsts = windows.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n"), _parts(salt)).where("n > 1")
+    firsts = _every_part(firsts.select(F.col("key").alias("f_key"), "first", "parts"))
+    later = windows.join(firsts, (F.col("key") == F.col("f_key")) & (salt == F.col("part")))
     same_text = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
     return later.where(~(same_text & (F.col("first_line") < F.col("first.first_line") + F.col("lines")))).select("doc_id", "text_hash", "first_line", "lines")
 
@@ -189,13 +217,20 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def _salt() -> Column:
-    return F.pmod(F.xxhash64("doc_id", "text_hash", "chunk_no"), F.lit(SALTS))
+def _salt(no: str = "chunk_no") -> Column:
+    """The part in which a row is joined with its group."""
+    return F.pmod(F.xxhash64("doc_id", "text_hash", no), F.lit(SALTS)).cast("int")
+
+
+def _parts(salt: Column) -> Column:
+    """The parts that the rows of a group have, a bit each."""
+    return F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), salt)).alias("parts")
 
 
-def _every_salt(groups: DataFrame) -> DataFrame:
-    """One row per group becomes one for each part that the group's rows are joined in."""
-    return groups.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+def _every_part(groups: DataFrame) -> DataFrame:
+    """One row per group becomes one for each part that has rows of it."""
+    taken = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda i: F.getbit("parts", i) == 1)
+    return groups.withColumn("part", F.explode(taken)).drop("parts")
 
 
 def remove_repeated(docs: DataFrame, carry: tuple[str, ...] = (), run_words: int | None = None, **limits) -> DataFrame:
@@ -208,9 +243,10 @@ def remove_repeated(docs: DataFrame, carry: tuple[str, ...] = (), run_words: int
     rows = rows.withColumn("text_hash", F.xxhash64("text"))
     # equal rows give equal chunk rows, which count once
     chunks = cut_lineage(store(chunks_of(rows, run_words=run_words, **limits)).distinct())
-    repeated = _every_salt(chunks.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select(F.col("hash").alias("r_hash")))
+    repeated = chunks.groupBy("hash").agg(F.count("*").alias("n"), _parts(_salt())).where("n > 1")
+    repeated = _every_part(repeated.select(F.col("hash").alias("r_hash"), "parts"))
     spans = (
-        chunks.join(repeated, (F.col("hash") == F.col("r_hash")) & (_salt() == F.col("salt")), "left_semi")
+        chunks.join(repeated, (F.col("hash") == F.col("r_hash")) & (_salt() == F.col("part")), "left_semi")
         .groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("chunk_no", "hash", "first_line", "lines", "words"))).alias("spans"))
     )
     found = store(_with(rows, spans, "spans"))
@@ -220,15 +256,15 @@ def remove_repeated(docs: DataFrame, carry: tuple[str, ...] = (), run_words: int
 
     chunked = F.filter("spans", lambda s: s["chunk_no"] >= 0)
     cut = found.where("spans is not null").withColumn("spans", chunked).select("doc_id", "text_hash", F.explode(let(_lines(F.col("text")), bytes_of)).alias("c"))
-    cut = cut.select("doc_id", "text_hash", "c.s.*", "c.bytes").distinct()
+    cut = cut.select("doc_id", "text_hash", "c.s.*", "c.bytes")
     place = F.struct("doc_id", "text_hash", "chunk_no")
     # grouping by the bytes compares them; the first of equal chunks stays. Digests name the groups, so that the join back is lean
-    firsts = _every_salt(
-        cut.groupBy("hash", "bytes").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
-        .select(F.col("hash").alias("f_hash"), F.sha2("bytes", 256).alias("f_digest"), "first")
+    firsts = cut.groupBy("hash", "bytes").agg(F.min(place).alias("first"), F.max(place).alias("last"), _parts(_salt()))
+    firsts = _every_part(
+        firsts.where(~F.col("first").eqNullSafe(F.col("last"))).select(F.col("hash").alias("f_hash"), F.sha2("bytes", 256).alias("f_digest"), "first", "parts")
     )
-    marked = cut.select("doc_id", "text_hash", "chunk_no", "hash", "first_line", "lines", "words", F.sha2("bytes", 256).alias("digest"))
-    same = (F.col("hash") == F.col("f_hash")) & (F.col("digest") == F.col("f_digest")) & (_salt() == F.col("salt"))
+    marked = cut.select("doc_id", "text_hash", "chunk_no", "hash", "first_line", "lines", "words", F.sha2("bytes", 256).alias("digest")).distinct()
+    same = (F.col("hash") == F.col("f_hash")) & (F.col("digest") == F.col("f_digest")) & (_salt() == F.col("part"))
     gone = marked.join(firsts, same).where(~place.eqNullSafe(F.col("first")))
     spans = gone.select("doc_id", "text_hash", "first_line", "lines", F.lit(1).alias("chunk"))
     if run_words is not None:
