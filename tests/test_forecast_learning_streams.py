@@ -99,6 +99,43 @@ def toy(spark, n=400):
     return spark.createDataFrame(data, "id int, epi_year int, x double, z double, label int")
 
 
+def test_settings_and_folds_side_by_side(spark):
+    df, names, years = toy(spark).dropna(), ["x", "z"], range(2014, 2022)
+    grid = [{"maxIter": 1, "maxDepth": 1}, {"maxIter": 3, "maxDepth": 2}]
+    models = L.walk_forward_models(df, names, years, grid, L.fit_trees, parallel=3)
+    assert [m[:2] for m in models] == [(i, y) for i in (0, 1) for y in range(2016, 2021)]
+    scored = L.fold_scores(df, names, models)
+    # every model alone gives the same rows, and knows no later year
+    one = L.predict(L.fit_trees(df.where("epi_year < 2018"), names, **grid[1]), df.where("epi_year = 2018"), names)
+    both = scored.where("setting = 1 and fold = 2018").select("id", "probability").exceptAll(one.select("id", "probability"))
+    assert both.isEmpty() and scored.where("epi_year <> fold").isEmpty()
+    table = {r.setting: r for r in L.grid_table(scored, grid).collect()}
+    ap = L.walk_forward_table(scored.where("setting = 0"))
+    want = L.fold_spread(ap).first()
+    assert table[0].median == pytest.approx(want.median) and table[0].min == pytest.approx(want.min) and table[0].n_folds == 5
+    assert [table[i].best for i in (0, 1)] == [table[0].median >= table[1].median, table[0].median < table[1].median]
+    assert "maxDepth" in table[1].params
+    with pytest.raises(ZeroDivisionError):
+        L.side_by_side(spark, [lambda: 1, lambda: 1 // 0])
+    stable = {r.feature: r for r in L.importance_stability(L.importance_by_fold(df, names, ["id"], models[5:], repeats=2)).collect()}
+    assert stable["x"].n_folds == 5 and stable["x"].min <= stable["x"].mean <= stable["x"].max and stable["x"].mean > stable["z"].mean
+
+
+def test_paired_hits_and_decision(spark):
+    eps = spark.createDataFrame([(p, "D", 10, 2000 + p % 2) for p in range(8)] + [(99, "D", 3, 2001)], "place int, kind string, start_index int, start_year int")
+    rows = [(v, p, "D", w, float((p if v == "b" else -p) + (w == 9))) for v in "ab" for p in range(8) for w in (5, 7, 9, 10)]
+    scored = spark.createDataFrame(rows, "variant string, place int, kind string, week_index int, probability double")
+    hits = {r.place: r for r in L.paired_hits(scored, eps, ks=(2, 4)).collect()}
+    assert len(hits) == 9 and (hits[99].a_hit_4, hits[99].b_hit_4) == (0, 0)
+    for p in range(8):
+        assert (hits[p].a_hit_2, hits[p].b_hit_2, hits[p].a_hit_4, hits[p].b_hit_4) == (p < 2, p > 5, p < 4, p > 3)
+    wins = spark.createDataFrame([(i, 2000 + i % 2, 0, 1) for i in range(30)], "place int, start_year int, a int, b int")
+    won = L.paired_decision(wins, "a", "b", ["place"], draws=50).first()
+    assert (won.observed, won.low, won.adopt) == (1.0, 1.0, True)
+    mixed = wins.withColumn("b", F.when(F.col("start_year") == 2001, 0).otherwise(1))
+    assert not L.paired_decision(mixed, "a", "b", ["place"], draws=50).first().adopt
+
+
 def test_models_weights_calibration_importance_and_store(spark, tmp_path):
     df = toy(spark)
     w = L.balanced(df).groupBy("label").agg(F.sum("weight")).collect()

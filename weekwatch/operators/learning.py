@@ -3,21 +3,31 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weekwatch.contracts import ONSET_HORIZONS
-from weekwatch.operators import episodes as E, evaluation as V, features as X, threshold
-from weekwatch.operators.bootstrap import dense_index
+from weekwatch.operators import episodes as E, evaluation as V, features as X, ranking as R, threshold
+from weekwatch.operators.bootstrap import dense_index, difference_interval
 from weekwatch.session import cut_lineage
 
 SEED = 42
 TREES = {"maxIter": 200, "maxDepth": 6, "stepSize": 0.1}
+# fixed values: the settings that are compared
+TREE_GRID = (
+    {"maxDepth": 4, "stepSize": 0.1, "maxIter": 150},
+    {"maxDepth": 6, "stepSize": 0.1, "maxIter": 200},
+    {"maxDepth": 6, "stepSize": 0.05, "maxIter": 300},
+    {"maxDepth": 8, "stepSize": 0.1, "maxIter": 200},
+)
+SIDE_BY_SIDE = 4  # fits that run at a time; each holds its binned rows
 
 
 def _labelled(df: DataFrame, target: str, names: Sequence[str], allow_nulls: bool) -> DataFrame:
@@ -145,18 +155,35 @@ def folds_of(df: DataFrame, years: Sequence[int]) -> list[int]:
     return sorted(r["fold"] for r in V.fold_sizes(df, years).select("fold").collect())
 
 
-def walk_forward_scores(df: DataFrame, names: Sequence[str], years: Sequence[int], fit: Callable, **params) -> DataFrame:
-    """One fit per test year on all earlier years; test rows with fold and probability. Cut the rows' lineage before."""
+def side_by_side(spark: SparkSession, jobs: Sequence[Callable], parallel: int = SIDE_BY_SIDE) -> list:
+    """Results of fits that do not depend on each other, `parallel` at a time; the first that raises ends all."""
+    with ThreadPool(max(1, min(parallel, len(jobs)))) as pool:
+        return pool.map(inheritable_thread_target(spark)(lambda job: job()), jobs, chunksize=1)
+
+
+def walk_forward_models(df: DataFrame, names: Sequence[str], years: Sequence[int], settings: Sequence[dict], fit: Callable, parallel: int = SIDE_BY_SIDE) -> list[tuple[int, int, PipelineModel]]:
+    """(setting, fold, model) for every setting and test year, each fitted on all earlier years. Cut the rows' lineage before."""
+    slots = [(i, year) for i in range(len(settings)) for year in folds_of(df, years)]
+    if not slots:
+        raise ValueError("no fold has both training and test rows")
+    jobs = [lambda i=i, year=year: fit(df.where(F.col("epi_year") < year), names, **settings[i]) for i, year in slots]
+    return [(*slot, model) for slot, model in zip(slots, side_by_side(df.sparkSession, jobs, parallel))]
+
+
+def fold_scores(df: DataFrame, names: Sequence[str], models: Sequence[tuple[int, int, PipelineModel]]) -> DataFrame:
+    """Test rows with setting, fold and probability, for any choice of the fitted models."""
     out = None
-    for year in folds_of(df, years):
-        model = fit(df.where(F.col("epi_year") < year), names, **params)
-        part = predict(model, df.where(F.col("epi_year") == year), names).withColumn("fold", F.lit(year))
+    for setting, year, model in models:
+        part = predict(model, df.where(F.col("epi_year") == year), names).withColumns({"setting": F.lit(setting), "fold": F.lit(year)})
         out = part if out is None else out.unionByName(part)
-    if out is None:
-        raise ValueError("no fold has both training and test rows")
     return out
 
 
+def walk_forward_scores(df: DataFrame, names: Sequence[str], years: Sequence[int], fit: Callable, **params) -> DataFrame:
+    """One fit per test year on all earlier years; test rows with fold and probability. Cut the rows' lineage before."""
+    return fold_scores(df, names, walk_forward_models(df, names, years, [params], fit)).drop("setting")
+
+
 def walk_forward_table(scored: DataFrame) -> DataFrame:
     """Average precision, AUC, prevalence and lift per fold."""
     return V.lift(V.ranking_metrics(V.merged_scores(scored, "probability", "label", ["fold"]), ["fold"]))
@@ -172,17 +199,20 @@ def fold_spread(table: DataFrame, metric: str = "average_precision") -> DataFram
 def permuted(df: DataFrame, names: Sequence[str], key: Sequence[str], repeats: int, seed: int) -> DataFrame:
     """One long frame of (feature, repeat, row), the feature's column permuted over the rows.
 
-    Rows are numbered once; each permutation is a second numbering of the same rows by a hash, joined on the number.
+    Rows are numbered once. A permutation is a second numbering by a hash of the repeat and the key, and only numbers and one copy of
+    the values for each repeat are shuffled: a row meets the values of its partner and takes one feature at a
+    time from there, in the task that scores it. The features of a repeat share their permutation.
     """
-    data = dense_index(df, [F.col(k) for k in key], "_i")
-    jobs = F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.lit(r).alias("repeat")) for n in names for r in range(repeats)]))
-    long = data.withColumn("_job", jobs).select("*", "_job.*").drop("_job")
-    h = F.xxhash64(F.lit(seed), "feature", "repeat", *key)
-    held = F.coalesce(*[F.when(F.col("feature") == n, F.col(n).cast("double")) for n in names])
-    values = long.select("feature", "repeat", *key, held.alias("_value")).withColumn("_h", h)
-    values = dense_index(values, [F.col("_h"), *[F.col(k) for k in key]], "_i", ["feature", "repeat"])
-    mixed = long.join(values.select("feature", "repeat", "_i", "_value"), ["feature", "repeat", "_i"])
-    return mixed.withColumns({n: F.when(F.col("feature") == n, F.col("_value")).otherwise(F.col(n).cast("double")) for n in names}).drop("_i", "_value")
+    data = cut_lineage(dense_index(df, [F.col(k) for k in key], "_i"))
+    slots = data.select("_i", *key, F.explode(F.array(*[F.lit(r) for r in range(repeats)])).alias("repeat"))
+    slots = slots.withColumn("_h", F.xxhash64(F.lit(seed), "repeat", *key))
+    slots = dense_index(slots, [F.col("_h"), *[F.col(k) for k in key]], "_j", ["repeat"]).select("_i", "_j", "repeat")
+    values = F.struct(*[F.col(n).cast("double").alias(n) for n in names]).alias("_other")
+    mixed = slots.join(data.select(F.col("_i").alias("_j"), values), "_j").drop("_j")
+    jobs = F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(f"_other.{n}").alias("value")) for n in names]))
+    long = data.join(mixed, "_i").withColumn("_job", jobs)
+    held = {n: F.when(F.col("_job.feature") == n, F.col("_job.value")).otherwise(F.col(n).cast("double")) for n in names}
+    return long.withColumns({**held, "feature": F.col("_job.feature")}).drop("_i", "_job", "_other")
 
 
 def permutation_importance(model: PipelineModel, test: DataFrame, names: Sequence[str], key: Sequence[str], repeats: int = 3, seed: int = SEED) -> DataFrame:
@@ -199,21 +229,39 @@ def permutation_importance(model: PipelineModel, test: DataFrame, names: Sequenc
     return loss.groupBy("feature").agg(F.avg("loss").alias("importance_mean"), F.stddev_pop("loss").alias("importance_std"))
 
 
+def importance_by_fold(df: DataFrame, names: Sequence[str], key: Sequence[str], models: Sequence[tuple[int, int, PipelineModel]], repeats: int = 3, seed: int = SEED) -> DataFrame:
+    """Permutation importance of each fold's model on the rows of its test year."""
+    out = None
+    for _, year, model in models:
+        part = permutation_importance(model, df.where(F.col("epi_year") == year), names, key, repeats, seed).withColumn("fold", F.lit(year))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def importance_stability(per_fold: DataFrame) -> DataFrame:
-    """Mean, spread and sign agreement of a feature's importance over folds."""
+    """Mean, spread, ends and sign agreement of a feature's importance over folds."""
     return per_fold.groupBy("feature").agg(
-        F.avg("importance_mean").alias("mean"), F.stddev_pop("importance_mean").alias("std"), F.count_if(F.col("importance_mean") > 0).alias("folds_positive"), F.count(F.lit(1)).alias("n_folds")
+        F.avg("importance_mean").alias("mean"), F.stddev_pop("importance_mean").alias("std"),
+        F.min("importance_mean").alias("min"), F.max("importance_mean").alias("max"), F.count_if(F.col("importance_mean") > 0).alias("folds_positive"), F.count(F.lit(1)).alias("n_folds")
     )
 
 
-def small_grid(df: DataFrame, names: Sequence[str], years: Sequence[int], grid: Sequence[dict], fit: Callable = fit_trees) -> DataFrame:
-    """Median walk-forward average precision per parameter set; temporal folds, never shuffled ones."""
-    out = None
-    for i, params in enumerate(grid):
-        t = walk_forward_table(walk_forward_scores(df, names, years, fit, **params))
-        row = fold_spread(t).select(F.lit(i).alias("setting"), F.lit(str(sorted(params.items()))).alias("params"), "median", "mean", "n_folds")
-        out = row if out is None else out.unionByName(row)
-    return out
+def grid_table(scored: DataFrame, settings: Sequence[dict]) -> DataFrame:
+    """Median, mean and least walk-forward average precision per setting; temporal folds, never shuffled ones. `best` marks the highest median, the first among equals."""
+    by = ["setting", "fold"]
+    ap = V.ranking_metrics(V.merged_scores(scored, "probability", "label", by), by)
+    table = ap.groupBy("setting").agg(
+        F.percentile("average_precision", 0.5).alias("median"), F.avg("average_precision").alias("mean"), F.min("average_precision").alias("min"), F.count("average_precision").alias("n_folds")
+    )
+    texts = F.array(*[F.lit(str(sorted(p.items()))) for p in settings])
+    best = table.agg(F.max_by(F.col("setting"), F.struct(F.coalesce("median", F.lit(-1.0)), -F.col("setting"))).alias("b")).select("b").scalar()
+    return table.select("setting", F.get(texts, F.col("setting")).alias("params"), "median", "mean", "min", "n_folds", (F.col("setting") == best).alias("best"))
+
+
+def small_grid(df: DataFrame, names: Sequence[str], years: Sequence[int], grid: Sequence[dict], fit: Callable = fit_trees, parallel: int = SIDE_BY_SIDE) -> DataFrame:
+    """`grid_table` of every setting, all fits of all folds side by side and all their scores judged in one pass."""
+    models = walk_forward_models(df, names, years, grid, fit, parallel)
+    return grid_table(cut_lineage(fold_scores(df, names, models).select("setting", "fold", "label", "probability")), grid)
 
 
 def group_ablation(df: DataFrame, years: Sequence[int], groups: dict[str, Sequence[str]], fit: Callable, **params) -> DataFrame:
@@ -237,6 +285,23 @@ def require_same_rows(a: DataFrame, b: DataFrame, key: Sequence[str]) -> None:
         raise DifferentRows("the variants cover different rows")
 
 
+def paired_hits(scored: DataFrame, eps: DataFrame, ks: Sequence[int] = (5, 10), variants: Sequence[str] = ("a", "b"), by: Sequence[str] = ("kind", "week_index")) -> DataFrame:
+    """One row per episode with `<variant>_hit_<k>`: listed among the first k in a week of the look-back before its start.
+
+    `scored` holds each variant's rows with `variant` and `probability`; an episode without a ranked week is a miss of both.
+    """
+    ranked = R.weekly_rank(scored, "probability", ["variant", *by])
+    best = R.best_before_start(ranked, eps, keys=["variant"])
+    hit = {f"{v}_hit_{k}": F.max(F.when((F.col("variant") == v) & (F.col("best_position") <= k), 1).otherwise(0)) for v in variants for k in ks}
+    return best.groupBy(*R.EP, "start_year").agg(*[c.alias(name) for name, c in hit.items()])
+
+
+def paired_decision(hits: DataFrame, a: str, b: str, unit: Sequence[str], year: str = "start_year", **draws) -> DataFrame:
+    """Difference of the recalls b - a with its paired interval, and whether b is adopted: the interval lies above 0 and so does every year."""
+    interval = difference_interval(hits, F.col(b), F.col(a), unit, **draws)
+    return adopt_variant(interval, hits.groupBy(year).agg(F.avg(F.col(b) - F.col(a)).alias("difference")))
+
+
 def adopt_variant(interval: DataFrame, per_year: DataFrame) -> DataFrame:
     """Adopt only if the interval of the difference excludes 0 from above and every year agrees in sign."""
     years_ok = per_year.agg(F.bool_and(F.col("difference") > 0).alias("ok")).select("ok").scalar()

@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from weekwatch.operators import bootstrap as B, episodes as E, evaluation as V, features as X, learning as L, ranking as R
+from weekwatch.operators import bootstrap as B, episodes as E, evaluation as V, features as X, learning as L, ranking as R, threshold
+from weekwatch.plans.climate import cell_gold
 from weekwatch.plans.registry import query
 from weekwatch.plans.sqltext import interval_of_mean, interval_of_median, onset_block, r, sql, sunday
 from weekwatch.plans.weekly import _MASTER, _RATE_STATES, master, rounded, with_features, with_rates, with_states
@@ -61,17 +62,46 @@ _RATED = {
     **_RATE_STATES,
     "rons": onset_block("rstates", "state", "rate_onset_h"),
     "rfull": """SELECT f.*, o.rate_onset_h3, o.rate_1w AS rate_t, lag(o.rate_1w, 1) OVER w AS rate_lag_1, lag(o.rate_1w, 2) OVER w AS rate_lag_2, lag(o.rate_1w, 3) OVER w AS rate_lag_3, lag(o.rate_1w, 4) OVER w AS rate_lag_4,
- o.rate_1w - lag(o.rate_1w, 1) OVER w AS rate_delta, o.state AS rate_state_t, o.rate_1w / (o.threshold + 1) AS rate_threshold_ratio, (o.rate_1w - o.week_mean) / (o.week_std + 1) AS rate_deviation
+ o.rate_1w - lag(o.rate_1w, 1) OVER w AS rate_delta, o.state AS rate_state_t, o.week_mean AS week_mean_rate, ln(1 + f.population) AS log_population, o.rate_1w / (o.threshold + 1) AS rate_threshold_ratio, (o.rate_1w - o.week_mean) / (o.week_std + 1) AS rate_deviation
  FROM feats f JOIN rons o USING (place, kind, week_index) WINDOW w AS (PARTITION BY f.place, f.kind ORDER BY week_index)""",
 }
-_RNAMES = X.variant_names("v2_casos_incidencia")
-_RR = [*_XR, "rate_t", "rate_lag_1", "rate_lag_2", "rate_lag_3", "rate_lag_4", "rate_4w", "rate_8w", "rate_delta", "rate_threshold_ratio", "rate_deviation"]
+_RR = [*_XR, "rate_t", "rate_lag_1", "rate_lag_2", "rate_lag_3", "rate_lag_4", "rate_4w", "rate_8w", "rate_delta", "rate_threshold_ratio", "rate_deviation", "week_mean_rate", "log_population", "density"]
+_RKEY = "place, kind, week_index, CAST(rate_onset_h3 AS BIGINT) AS label, "
 
 
-@query("rate_onset_dataset", sql("SELECT place, kind, week_index, CAST(rate_onset_h3 AS BIGINT) AS label, " + ", ".join(f"{r(c, 5)} AS {c}" if c in _RR else c for c in _RNAMES) + f" FROM rfull WHERE rate_onset_h3 IS NOT NULL AND {_nn(_RNAMES)}", _RATED))
+def _composition_sql(variant: str) -> str:
+    names = X.variant_names(variant)
+    return sql(f"SELECT {_RKEY}" + ", ".join(f"{r(c, 5)} AS {c}" if c in _RR else c for c in names) + f" FROM rfull WHERE rate_onset_h3 IS NOT NULL AND {_nn(names)}", _RATED)
+
+
+def composition(spark, sf, variant):
+    d, names = L.rate_onset_dataset(with_rates(spark, sf), variant=variant)
+    return rounded(d.select(*KEY, "label", *names), **{c: 5 for c in _RR if c in names})
+
+
+@query("rate_onset_dataset", _composition_sql("v2_casos_incidencia"))
 def rate_onset_dataset(spark, sf):
-    d, names = L.rate_onset_dataset(with_rates(spark, sf))
-    return rounded(d.select(*KEY, "label", *names), **{c: 5 for c in _RR})
+    return composition(spark, sf, "v2_casos_incidencia")
+
+
+@query("rate_onset_cases_only", _composition_sql("v1_features"))
+def rate_onset_cases_only(spark, sf):
+    return composition(spark, sf, "v1_features")
+
+
+@query("rate_onset_cases_population", _composition_sql("v1_mais_populacao"))
+def rate_onset_cases_population(spark, sf):
+    return composition(spark, sf, "v1_mais_populacao")
+
+
+@query("rate_onset_rates_only", _composition_sql("v2_incidencia"))
+def rate_onset_rates_only(spark, sf):
+    return composition(spark, sf, "v2_incidencia")
+
+
+@query("rate_onset_cases_rates_population", _composition_sql("v2_casos_incidencia_populacao"))
+def rate_onset_cases_rates_population(spark, sf):
+    return composition(spark, sf, "v2_casos_incidencia_populacao")
 
 
 def small_set(spark, sf):
@@ -111,12 +141,28 @@ def permutation_importance(spark, sf):
     return L.permutation_importance(L.fit_logistic(train, NAMES), test, NAMES, KEY)
 
 
+@query("importance_stability")
+def importance_stability(spark, sf):
+    """Every fold's model and the loss of average precision on its own test year."""
+    data = small_set(spark, sf)
+    models = L.walk_forward_models(data, NAMES, L.years_of(data), [{}], L.fit_logistic)
+    return L.importance_stability(L.importance_by_fold(data, NAMES, KEY, models))
+
+
 @query("walk_forward_onset")
 def walk_forward_onset(spark, sf):
     data = small_set(spark, sf)
     return L.walk_forward_table(L.walk_forward_scores(data, NAMES, L.years_of(data), L.fit_logistic))
 
 
+@query("walk_forward_state")
+def walk_forward_state(spark, sf):
+    """Spread over the folds of the state target's average precision."""
+    data, names = L.state_dataset(with_states(spark, sf))
+    data = cut_lineage(data.select("epi_year", "label", *names))
+    return L.fold_spread(L.walk_forward_table(L.walk_forward_scores(data, names, L.years_of(data), L.fit_logistic)))
+
+
 @query("walk_forward_recall")
 def walk_forward_recall(spark, sf):
     data = small_set(spark, sf)
@@ -152,6 +198,46 @@ def variant_decision(spark, sf):
     return L.adopt_variant(interval, gain.groupBy("fold").agg(F.avg("d").alias("difference")))
 
 
+WEATHER_K = (5, 10)
+
+
+@query("weather_recall")
+def weather_recall(spark, sf):
+    """Episodes found by the ranking without and with gridded weather: the same rows, folds and draws, adopted or not."""
+    states = threshold.alert_state(cell_gold(spark, sf))
+    data, names = L.onset_dataset(states, cell_weather=True)
+    data = cut_lineage(data.select(*KEY, "epi_year", "epi_week", "label", *[n for n in names if n != "epi_week"]))
+    years = L.years_of(data)
+    sides = [L.walk_forward_scores(data, n, years, L.fit_logistic).select(*KEY, "fold", "label", "probability") for n in (NAMES, names)]
+    a, b = [cut_lineage(side.withColumn("variant", F.lit(v))) for side, v in zip(sides, "ab")]
+    L.require_same_rows(a, b, KEY)
+    eps = E.episodes(states).where(F.col("start_year").isin(L.folds_of(data, years)))
+    hits = cut_lineage(L.paired_hits(a.unionByName(b), eps, WEATHER_K))
+    out = None
+    for k in WEATHER_K:
+        row = L.paired_decision(hits, f"a_hit_{k}", f"b_hit_{k}", list(R.EP)).withColumn("k", F.lit(k))
+        out = row if out is None else out.unionByName(row)
+    recalls = hits.agg(*[F.avg(f"{v}_hit_{k}").alias(f"{v}_{k}") for v in "ab" for k in WEATHER_K], F.count(F.lit(1)).alias("n_episodes"))
+    by_k = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"a_{k}").alias("recall_without"), F.col(f"b_{k}").alias("recall_with")) for k in WEATHER_K]))
+    return recalls.select("n_episodes", by_k.alias("r")).select("n_episodes", "r.*").join(out, "k")
+
+
+_ADOPT = "coalesce(low > 0, false) AND (SELECT bool_and(d > 0) FROM (SELECT avg({b} - {a}) AS d FROM master GROUP BY start_year))"
+
+
+@query("rule_adoption", sql(" UNION ALL ".join(
+    f"SELECT observed, low, high, {_ADOPT.format(a=f'growth_hit_{k}', b=f'history_hit_{k}')} AS adopt, {k}::BIGINT AS k FROM ({interval_of_mean('master', f'(history_hit_{k} - growth_hit_{k})', list(R.EP))})" for k in (5, 10)
+), _MASTER))
+def rule_adoption(spark, sf):
+    """The same decision between two rules of ranking: local history against growth."""
+    m = cut_lineage(master(spark, sf))
+    out = None
+    for k in WEATHER_K:
+        row = L.paired_decision(m, f"growth_hit_{k}", f"history_hit_{k}", list(R.EP)).withColumn("k", F.lit(k))
+        out = row if out is None else out.unionByName(row)
+    return rounded(out, **_ENDS)
+
+
 _UNITS = (("episode", ["place", "kind", "start_index"]), ("place", ["place"]), ("place_year", ["place", "start_year"]))
 _ENDS = {"observed": 6, "low": 6, "high": 6}
 
