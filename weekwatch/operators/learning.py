@@ -229,13 +229,13 @@ def permutation_importance(model: PipelineModel, test: DataFrame, names: Sequenc
     return loss.groupBy("feature").agg(F.avg("loss").alias("importance_mean"), F.stddev_pop("loss").alias("importance_std"))
 
 
-def importance_by_fold(df: DataFrame, names: Sequence[str], key: Sequence[str], models: Sequence[tuple[int, int, PipelineModel]], repeats: int = 3, seed: int = SEED) -> DataFrame:
+def importance_by_fold(df: DataFrame, names: Sequence[str], key: Sequence[str], models: Sequence[tuple[int, int, PipelineModel]], repeats: int = 3, seed: int = SEED, parallel: int = SIDE_BY_SIDE) -> DataFrame:
     """Permutation importance of each fold's model on the rows of its test year."""
-    out = None
-    for _, year, model in models:
-        part = permutation_importance(model, df.where(F.col("epi_year") == year), names, key, repeats, seed).withColumn("fold", F.lit(year))
-        out = part if out is None else out.unionByName(part)
-    return out
+    jobs = [lambda y=year, m=model: permutation_importance(m, df.where(F.col("epi_year") == y), names, key, repeats, seed).withColumn("fold", F.lit(y)) for _, year, model in models]
+    first, *more = side_by_side(df.sparkSession, jobs, parallel)
+    for part in more:
+        first = first.unionByName(part)
+    return first
 
 
 def importance_stability(per_fold: DataFrame) -> DataFrame:
