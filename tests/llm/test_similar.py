@@ -111,3 +111,22 @@ def test_plan_reaches_its_chance():
                 for t in ts:
                     miss *= 1 - sum(__import__("math").comb(width, k) * (1 - q) ** (width - k) * q**k for k in range(t + 1))
                 assert miss <= 0.021 and cost > 0
+
+
+@pytest.mark.parametrize("miss", [S.MISS, 1 - 1e-9])
+def test_no_pair_is_left_out(spark, miss):
+    """Pairs near the bound, chains over them and a large group of copies beside a text that only its rim reaches; with hardly any key as well."""
+    rnd = random.Random(23)
+    base = texts(rnd, 150)
+    rows = base + [altered(t, rnd, rnd.uniform(0.005, 0.03)) for t in base for _ in range(3)]
+    chain = [" ".join(f"c{i}" for i in range(120))]
+    for k in range(12):
+        chain.append(" ".join(chain[-1].split(" ")[8:] + [f"d{k}x{i}" for i in range(8)]))
+    rows += chain[::-1] + [altered(base[3], rnd, 0.006) for _ in range(80)] + ["", " ", "a b", "a b c d e f g h", "a b c d e f g h i"]
+    rnd.shuffle(rows)
+    groups, pairs = plain_groups(rows)
+    least = {}
+    for i, g in enumerate(groups):
+        least[g] = min(i, least.get(g, i))
+    assert pairs > 300
+    assert kept_rows(spark, rows, miss=miss) == set(least.values())

@@ -10,7 +10,11 @@ Rows of one key are compared on 128 other bits, up to 256 rows each with the nex
 there are more rows or more close pairs than two a row. Pairs
 that pass are compared on all bits, and then by the exact Jaccard similarity of their distinct shingles: in rounds, every
 component proposes its closest pairs (1, then 4, 16 ...) to another component, those that hold merge, those that fail are out, until no pair is left between two
-components. So no link between components is left out, and a group of copies costs about one comparison a member.
+components, and a group of copies costs about one comparison a member.
+
+Keys and trees leave out a few similar pairs. So an exact step follows: each class lists the shingles of its prefix, rare ones first, and
+classes of different components that share one are compared, as far as their sizes, places and distances from the component's root allow a
+similarity of the bound. No link between components is left out.
 
 Defined cases: texts of equal shingle sets are one class from the start; texts without words (null, empty, white space) are such a
 class. Texts shorter than a shingle are one shingle. Repeated rows and null doc_ids are rows like others; null doc_ids come last, so a group keeps a
@@ -21,12 +25,12 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from math import acos, comb, log, pi
+from math import acos, ceil, comb, log, pi
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from weekwatch.llm.graph import components
 from weekwatch.llm.shared import store
@@ -36,6 +40,7 @@ from weekwatch.session import cut_lineage
 WORDS, SIMILARITY, MISS = 5, 0.8, 0.02
 LONGS = 16  # of 64 bits
 BUCKET, MIDDLE_BUCKET, BLOCK = 8_000, 256, 1 << 14
+SLOTS = 1 << 16
 SPLITS, MOST_LEFT_OUT = (2, 3, 4, 5, 6, 8), 3  # partitions of each long, bits left out of one
 KEY_COST, PAIR_COST = 1.0, 0.02
 GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -313,6 +318,158 @@ def linked(edges: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, w
     return roots
 
 
+# --- what the keys left out --------------------------------------------------------------------------
+
+
+def _common(similarity: float, words: int):
+    """Whether two texts are similar, and their Jaccard distance."""
+
+    @F.pandas_udf("struct<ok: boolean, apart: double>")
+    def run(xs: pd.Series, ys: pd.Series) -> pd.DataFrame:
+        out, seen, last = [], None, None
+        for x, y in zip(xs, ys):
+            if last is None or x != last:
+                seen, last = shingles(x, words), x
+            other = shingles(y, words)
+            shared = len(np.intersect1d(seen, other, assume_unique=True))
+            union = len(seen) + len(other) - shared
+            out.append((shared >= similarity * union, 1 - shared / max(union, 1)))
+        return pd.DataFrame(out, columns=["ok", "apart"])
+
+    return run
+
+
+def _slots(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(48)).astype(np.int64)
+
+
+def slot_counts(texts: DataFrame, words: int = WORDS) -> np.ndarray:
+    """How many shingles fall on each of 65,536 slots; only the order of a text's shingles hangs on it, so any counts are right."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(SLOTS, np.int64)
+        for f in frames:
+            total += np.bincount(_slots(np.concatenate([np.zeros(0, np.uint64), *[shingles(t, words) for t in f["text"]]])), minlength=SLOTS)
+        yield pd.DataFrame({"slot": np.arange(SLOTS), "n": total})
+
+    out = np.zeros(SLOTS, np.int64)
+    for r in texts.select("text").mapInPandas(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():
+        out[r["slot"]] = r["n"]
+    return out
+
+
+def prefix_length(n: int, similarity: float = SIMILARITY) -> int:
+    """Of two sets of at least this similarity, each has one of the shared elements among its first so many, in any one order of all elements."""
+    return n - ceil(similarity * n - 1e-9) + 1 if n else 0
+
+
+def prefixes(texts: DataFrame, similarity: float = SIMILARITY, words: int = WORDS) -> DataFrame:
+    """(id, n, tokens): shingles of each text (id, text), and the first ones, those of rare slots first."""
+    counts = slot_counts(texts, words)
+
+    @F.pandas_udf("struct<n: int, tokens: array<long>>")
+    def run(xs: pd.Series) -> pd.DataFrame:
+        n, tokens = [], []
+        for x in xs:
+            h = shingles(x, words)
+            n.append(len(h))
+            tokens.append(h[np.lexsort((h, counts[_slots(h)]))[: prefix_length(len(h), similarity)]].view(np.int64))
+        return pd.DataFrame({"n": n, "tokens": pd.Series(tokens, dtype=object)})
+
+    return texts.withColumn("p", run(F.col("text"))).select("id", "p.n", "p.tokens")
+
+
+SHARED = "token long, id long, root long, size long, n int, pos int"
+
+
+def _between(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of rows sorted by token, those of tokens that several components have."""
+
+    def spanning(f: pd.DataFrame) -> pd.DataFrame:
+        token, root = f["token"].to_numpy(), f["root"].to_numpy()
+        new = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+        wide = np.minimum.reduceat(root, new) != np.maximum.reduceat(root, new)
+        return f[np.repeat(wide, np.diff(np.r_[new, len(f)]))]
+
+    held: list[pd.DataFrame] = []
+    for f in frames:
+        if not len(f):
+            continue
+        token = f["token"].to_numpy()
+        start = int(np.searchsorted(token, token[-1]))
+        if not start and (not held or held[-1]["token"].iloc[-1] == token[-1]):
+            held.append(f)  # one token only
+            continue
+        yield spanning(pd.concat([*held, f.iloc[:start]], ignore_index=True))
+        held = [f.iloc[start:]]
+    if held:
+        yield spanning(pd.concat(held, ignore_index=True))
+
+
+def _fit(n_x: Column, pos_x: Column, low: Column, high: Column, pos: Column, similarity: float) -> Column:
+    """Whether a set of n_x elements and one of `low` to `high` elements can be similar if this is the first element they share."""
+    shared = F.least(n_x - pos_x, high - pos)
+    return (high >= similarity * n_x - 1e-6) & (similarity * low <= n_x + 1e-6) & (shared >= similarity / (1 + similarity) * (n_x + low) - 1e-6)
+
+
+def _enough(shared: str, n: str, low: str, high: str, similarity: float) -> Column:
+    """Whether so many elements shared in the prefixes can do: beyond the prefix that ends first, a set has less than `similarity` of its elements."""
+    least = similarity / (1 + similarity) * (F.col(n) + F.col(low))
+    return F.col(shared) >= least - similarity * F.greatest(n, high) - 1e-6
+
+
+def completed(classes: DataFrame, texts: DataFrame, roots: DataFrame | None, similarity: float = SIMILARITY, words: int = WORDS) -> DataFrame | None:
+    """(node, root) of the components of all similar classes, from those that were found: every similar pair between two of these is added.
+
+    Similar sets share an element of their prefixes. A text that shares one with a larger component is compared
+    with the component's root. As Jaccard distances keep the triangle inequality, a member can only be similar if its own distance from the root
+    is at least the text's less 1 - similarity; these members are compared as well, if they share an element.
+    """
+    ids = classes.select("id")
+    if roots is None:
+        ids = ids.select("id", F.col("id").alias("root"), F.lit(1).cast("long").alias("size"))
+    else:
+        sizes = roots.groupBy(F.col("root").alias("r")).agg(F.count("*").alias("size"))
+        ids = ids.join(roots, F.col("id") == F.col("node"), "left").join(sizes, F.col("root") == F.col("r"), "left")
+        ids = ids.select("id", F.coalesce("root", "id").alias("root"), F.coalesce("size", F.lit(1)).cast("long").alias("size"))
+    listed = prefixes(texts, similarity, words).join(ids, "id").select("id", "root", "size", "n", F.posexplode("tokens").alias("pos", "token"))
+    listed = listed.select("token", "id", "root", "size", "n", "pos")
+    found = store(listed.repartition("token").sortWithinPartitions("token").mapInPandas(_between, SHARED))
+    parts = found.groupBy("token", F.col("root").alias("c"), F.col("size").alias("c_size")).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("pos").alias("at"))
+    smaller = F.struct("size", "root") < F.struct(F.col("c_size").alias("size"), F.col("c").alias("root"))
+    fits = _fit(F.col("n"), F.col("pos"), F.col("low"), F.col("high"), F.col("at"), similarity)
+    asked = found.join(parts, "token").where(smaller).groupBy("id", "n", "c", "c_size").agg(
+        F.count("*").alias("shared"), F.min("low").alias("low"), F.max("high").alias("high"), F.bool_or(fits).alias("fits")
+    )
+    asked = store(asked.where(F.col("fits") & _enough("shared", "n", "low", "high", similarity)).select("id", "c", "c_size"))
+    if asked.isEmpty():
+        return roots
+    grown = asked.where("c_size > 1").select("c").distinct()
+    members = found.join(grown, F.col("root") == F.col("c"), "left_semi").where("id <> root").select("id", "root").distinct()
+    needed = asked.select("id").union(asked.select("c")).union(members.select("id")).distinct()
+    texts = store(texts.join(needed, "id", "left_semi"))
+
+    def compared(pairs: DataFrame, a: str, b: str) -> DataFrame:
+        ta, tb = texts.select(F.col("id").alias(a), F.col("text").alias("ta")), texts.select(F.col("id").alias(b), F.col("text").alias("tb"))
+        return pairs.join(ta, a).join(tb, b).withColumn("j", _common(similarity, words)("ta", "tb")).select(*pairs.columns, "j.ok", "j.apart")
+
+    tried = cut_lineage(compared(asked, "id", "c"))
+    links = tried.where("ok").select(F.col("id").alias("a"), F.col("c").alias("b"))
+    open_ = tried.where("not ok and c_size > 1").select("id", "c", "apart")
+    if not open_.isEmpty():
+        reach = cut_lineage(compared(members.withColumnRenamed("root", "c"), "id", "c").select(F.col("id").alias("y"), F.col("c").alias("c_y"), F.col("apart").alias("reach")))
+        y = found.select("token", F.col("id").alias("y"), F.col("root").alias("c_y"), F.col("n").alias("n_y"), F.col("pos").alias("pos_y")).join(reach, ["y", "c_y"])
+        x = open_.join(found.select("id", "token", "n", "pos"), "id").withColumnRenamed("c", "c_y")
+        near = _fit(F.col("n"), F.col("pos"), F.col("n_y"), F.col("n_y"), F.col("pos_y"), similarity) & (F.col("reach") >= F.col("apart") - (1 - similarity) - 1e-9)
+        pairs = x.join(y, ["token", "c_y"]).groupBy("id", "n", "y", "n_y").agg(F.count("*").alias("shared"), F.bool_or(near).alias("near"))
+        pairs = pairs.where(F.col("near") & _enough("shared", "n", "n_y", "n_y", similarity)).select("id", "y")
+        links = links.unionByName(compared(pairs, "id", "y").where("ok").select(F.col("id").alias("a"), F.col("y").alias("b")))
+    links = cut_lineage(links)
+    if links.isEmpty():
+        return roots
+    return components(links if roots is None else links.unionByName(roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))))
+
+
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, miss: float = MISS, bucket: int = BUCKET) -> DataFrame:
     """The rows of `docs` without near-duplicates: of each group the row with the smallest doc_id stays."""
 
@@ -330,6 +487,7 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS
     classes = store(rows.groupBy("digest").agg(first, F.first("fp").alias("fp")).select(F.col("first.row_no").alias("id"), "first", "fp"))
     texts = rows.select(F.col("row_no").alias("id"), F.col("doc.text").cast("string").alias("text"))
     roots = linked(candidates(classes, similarity, miss, bucket), texts, similarity, words)
+    roots = completed(classes, texts, roots, similarity, words)
     group = F.col("id")
     if roots is not None:
         classes, group = classes.join(roots, classes["id"] == roots["node"], "left"), F.coalesce("root", "id")
