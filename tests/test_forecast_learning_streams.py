@@ -260,3 +260,26 @@ def test_open_episode_is_closed_by_a_week_a_gap_or_a_timer(spark, tmp_path):
         (4, 0): (0, 1, 3.0, False), (4, 2): (2, 1, 3.0, False),
     }
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("HDFSBackedStateStoreProvider")
+
+
+def test_fits_read_plain_rows(spark, capsys):
+    """Weights are numbers, so the plan that a fit sends to the executors holds no subquery; an empty table and one class as well."""
+    df = spark.createDataFrame([(1, 0), (2, 0), (3, 0), (4, 1)], "id int, label int")
+    for part, want in ((df, [(1, 4 / 6), (2, 4 / 6), (3, 4 / 6), (4, 2.0)]), (df.where("label = 0"), [(i, 0.5) for i in (1, 2, 3)]), (df.where("id > 9"), [])):
+        out = L.balanced(part)
+        capsys.readouterr()
+        out.explain()
+        assert "ubquery" not in capsys.readouterr().out
+        assert sorted((r.id, pytest.approx(r.weight)) for r in out.collect()) == want
+
+
+def test_registered_scores_leave_the_models_behind(spark, sf, capsys):
+    """The results' plans read scores as rows and hold no model."""
+    from weekwatch.plans import learned
+
+    for name in ("calibrated_brier", "walk_forward_onset"):
+        out = getattr(learned, name)(spark, sf)
+        capsys.readouterr()
+        out.explain()
+        assert "UDF" not in capsys.readouterr().out
+        assert out.collect()

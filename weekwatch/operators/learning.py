@@ -78,9 +78,10 @@ def dataset_metrics(before: DataFrame, target: str, names: Sequence[str]) -> Dat
 
 def balanced(df: DataFrame, label: str = "label") -> DataFrame:
     """Adds weight = n / (2 * n of the class)."""
-    n = df.agg(F.struct(F.count(F.lit(1)).alias("n"), F.sum(label).alias("p")).alias("c")).select("c").scalar()
-    size = F.when(F.col(label) == 1, F.col("_c.p")).otherwise(F.col("_c.n") - F.col("_c.p"))
-    return df.withColumn("_c", n).withColumn("weight", F.col("_c.n") / (2.0 * size)).drop("_c")
+    c = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(label), F.lit(0)).alias("p")).first()
+    # numbers, not a subquery: what is fitted on the rows sends their plan to the executors; a class without rows needs none
+    positive, negative = (F.lit(c["n"] / (2.0 * k) if k else 0.0) for k in (c["p"], c["n"] - c["p"]))
+    return df.withColumn("weight", F.when(F.col(label) == 1, positive).otherwise(negative))
 
 
 def _doubles(df: DataFrame, names: Sequence[str]) -> DataFrame:
