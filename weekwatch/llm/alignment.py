@@ -1,8 +1,8 @@
 """Alignment of the tokens of two tokenizers over the same bytes, with corpus-wide counts of the linked id pairs.
 
 A text with a space before it is encoded by the byte-level tokenizer A; the piece tokenizer B adds that space itself. The
-ends of all tokens, counted in bytes, are keys of one dictionary per side, end -> index. The keys that both dictionaries hold,
-in order, slice both id lists into groups. Within a slice each stretch between two ends of either side lies in one
+ends of all tokens, counted in bytes, are keys of one table per side, end -> index, addressed by the end itself. The keys that
+both tables hold, in order, slice both id lists into groups. Within a slice each stretch between two ends of either side lies in one
 token of A and one of B, which is one link; so a slice of p and q tokens has p + q - 1 links.
 
 Texts are aligned in blocks of about `block_tokens` tokens. A block keeps, packed, which of its own distinct id pairs each of its
@@ -46,7 +46,7 @@ class Byte:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self._encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.tokens, self.names, self.lengths = _by_id({i: t for t, i in ranks.items()})
+        self.bytes, self.starts, self.lengths, *self.names = _by_id({i: t for t, i in ranks.items()}, "|")
 
     def encode(self, text: str) -> list[int]:
         return self._encoding.encode_ordinary(" " + text)
@@ -61,16 +61,18 @@ class Piece:
         self._model = sentencepiece.SentencePieceProcessor(model_file=path)
         m = self._model
         pieces = ((i, m.id_to_piece(i)) for i in range(m.vocab_size()))
-        self.tokens, self.names, self.lengths = _by_id({i: bytes([int(p[3:5], 16)]) if m.is_byte(i) else p.replace("\u2581", " ").encode() for i, p in pieces})
+        self.bytes, self.starts, self.lengths, *self.names = _by_id({i: bytes([int(p[3:5], 16)]) if m.is_byte(i) else p.replace("\u2581", " ").encode() for i, p in pieces}, ";")
 
     def encode(self, text: str) -> list[int]:
         return self._model.encode(text, num_threads=1)
 
 
-def _by_id(tokens: dict[int, bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Bytes, decimal names and lengths, by id."""
+def _by_id(tokens: dict[int, bytes], last: str) -> tuple[np.ndarray, ...]:
+    """Bytes of all tokens in a row; by id, where they start there, lengths, and decimal names with a comma and with the sign behind a group's last token."""
     every = [tokens.get(i, b"") for i in range(max(tokens) + 1)]
-    return every, np.array([str(i) for i in range(len(every))], object), np.array([len(t) for t in every], np.int64)
+    lengths = np.array([len(t) for t in every], np.int64)
+    names = [np.array([f"{i}{sign}" for i in range(len(every))], "S8").view("<u8") for sign in (",", last)]  # ids of up to seven digits
+    return np.frombuffer(b"".join(every), np.uint8), np.cumsum(lengths) - lengths, lengths, *names
 
 
 @lru_cache(maxsize=2)
@@ -78,20 +80,32 @@ def tokenizers(a_path: str, b_path: str) -> tuple[Byte, Piece]:
     return Byte(a_path), Piece(b_path)
 
 
-def align(text: str | None, a: Byte, b: Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[int], list[int]] | None:
+def align(text: str | None, a: Byte, b: Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
     """Ids, ends in bytes and cuts of A and of B: group g has the ids from cut g to cut g + 1. None if there are no tokens."""
     if not text:
         return None
-    want = b" " + text.encode("utf-8", "surrogatepass")
-    ids_a, ids_b = a.encode(text), b.encode(text)
-    for side, ids in ((a, ids_a), (b, ids_b)):
-        if b"".join(map(side.tokens.__getitem__, ids)) != want:
+    want = np.frombuffer(b" " + text.encode("utf-8", "surrogatepass"), np.uint8)
+    sides = []
+    for side in (a, b):
+        ids = np.array(side.encode(text), np.int64)
+        ends = np.cumsum(side.lengths[ids])
+        if not len(ids) or ends[-1] != len(want) or not np.array_equal(_bytes_of(side, ids, ends), want):
             return None
-    ids_a, ids_b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
-    ends_a, ends_b = np.cumsum(a.lengths[ids_a]), np.cumsum(b.lengths[ids_b])
-    index_a, index_b = dict(zip(ends_a.tolist(), range(1, len(ids_a) + 1))), dict(zip(ends_b.tolist(), range(1, len(ids_b) + 1)))
-    common = sorted(index_a.keys() & index_b.keys())
-    return ids_a, ids_b, ends_a, ends_b, [0, *map(index_a.__getitem__, common)], [0, *map(index_b.__getitem__, common)]
+        index = np.zeros(len(want) + 1, np.int32)
+        index[ends] = np.arange(1, len(ids) + 1)
+        sides.append((ids, ends, index))
+    (ids_a, ends_a, index_a), (ids_b, ends_b, index_b) = sides
+    common = np.flatnonzero((index_a > 0) & (index_b > 0))
+    cuts_a, cuts_b = (np.concatenate([[0], index[common]]) for index in (index_a, index_b))
+    return ids_a, ids_b, ends_a, ends_b, cuts_a, cuts_b
+
+
+def _bytes_of(side: Byte | Piece, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The bytes of all tokens, one after the other."""
+    lengths = side.lengths[ids]
+    at = np.repeat(side.starts[ids] - (ends - lengths), lengths)
+    at += np.arange(len(at))
+    return side.bytes[at]
 
 
 def links_of(ids_a: np.ndarray, ids_b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray) -> np.ndarray:
@@ -101,14 +115,18 @@ def links_of(ids_a: np.ndarray, ids_b: np.ndarray, ends_a: np.ndarray, ends_b: n
     return np.concatenate([ids_a << SHIFT | ids_b[in_b], ids_a[in_a[alone]] << SHIFT | ids_b[alone]])
 
 
-def groups_text(ids_a: np.ndarray, ids_b: np.ndarray, cuts_a: list[int], cuts_b: list[int], names_a: np.ndarray, names_b: np.ndarray) -> str:
-    """`a1,a2|b1;a3|b2,b3`."""
-    x, y, join = names_a[ids_a].tolist(), names_b[ids_b].tolist(), ",".join
-    out, i, j = [], 0, 0
-    for p, q in zip(cuts_a[1:], cuts_b[1:]):
-        out.append(f"{x[i] if p == i + 1 else join(x[i:p])}|{y[j] if q == j + 1 else join(y[j:q])}")
-        i, j = p, q
-    return ";".join(out)
+def groups_text(ids_a: np.ndarray, ids_b: np.ndarray, cuts_a: np.ndarray, cuts_b: np.ndarray, names_a: list[np.ndarray], names_b: list[np.ndarray]) -> bytes:
+    """`a1,a2|b1;a3|b2,b3`: the names of all tokens, eight bytes each with the sign behind, are laid at their places; bytes left zero go."""
+    # a token of A comes after the tokens of B of earlier groups, one of B after those of A up to its own
+    at_a = np.arange(cuts_a[-1]) + np.repeat(cuts_b[:-1], np.diff(cuts_a))
+    at_b = np.arange(cuts_b[-1]) + np.repeat(cuts_a[1:], np.diff(cuts_b))
+    out = np.empty(len(at_a) + len(at_b), "<u8")
+    for at, ids, cuts, (within, last) in ((at_a, ids_a, cuts_a, names_a), (at_b, ids_b, cuts_b, names_b)):
+        out[at] = within[ids[: len(at)]]
+        ends = cuts[1:] - 1
+        out[at[ends]] = last[ids[ends]]
+    signs = out.view(np.uint8)
+    return signs[signs != 0].tobytes()[:-1]
 
 
 #: at, times, pairs and sums are compressed little-endian arrays
@@ -129,7 +147,11 @@ def _unpacked(x: bytes, kind: str) -> np.ndarray:
 def _block(name: str, docs: list[tuple], links: list[np.ndarray]) -> tuple:
     """One row: what each document links, as indices into the block's distinct pairs and how often."""
     lengths = np.array([len(x) for x in links], np.int64)
-    pairs, inverse, sums = np.unique(np.concatenate(links) if links else np.zeros(0, np.int64), return_inverse=True, return_counts=True)
+    seen, first = pd.factorize(np.concatenate(links) if links else np.zeros(0, np.int64))  # numbers by first sight, without a sort of all links
+    order = np.argsort(first)
+    rank = np.empty_like(order)
+    rank[order] = np.arange(len(order))
+    pairs, inverse, sums = first[order], rank[seen], np.bincount(seen, minlength=len(first))[order]
     by_doc, times = np.unique(np.repeat(np.arange(len(links)), lengths) << SHIFT | inverse, return_counts=True)
     n_pairs = np.bincount(by_doc >> SHIFT, minlength=len(links)) if len(links) else np.zeros(0, np.int64)
     columns = [list(x) for x in zip(*docs)]
@@ -157,7 +179,7 @@ def blocks_of(docs: DataFrame, a_path: str | None = None, b_path: str | None = N
                 else:
                     ids_a, ids_b, ends_a, ends_b, cuts_a, cuts_b = got
                     links.append(links_of(ids_a, ids_b, ends_a, ends_b))
-                    sha = hashlib.sha256(groups_text(ids_a, ids_b, cuts_a, cuts_b, a.names, b.names).encode()).hexdigest()
+                    sha = hashlib.sha256(groups_text(ids_a, ids_b, cuts_a, cuts_b, a.names, b.names)).hexdigest()
                     done.append((doc_id, len(ids_a), len(ids_b), len(cuts_a) - 1, len(links[-1]), sha))
                     size += len(links[-1])
                 if size >= block_tokens:
