@@ -11,7 +11,8 @@ A document is rejected if its distance by the narrowest group of at least `least
 cutoff. Base rules come first; documents that fail them take no part in the estimates.
 
 All estimates are grouped sums and mergeable quantile sketches, so a source with a third of all rows is
-merged before it is shuffled; what is joined back is one row per group. Medians and the share are exact for
+merged before it is shuffled; what is joined back is one row per group, broadcast while there are few, so that the vectors
+themselves are not shuffled. Each step is written as a table: its plan ends there, and the next one reads files. Medians and the share are exact for
 groups of up to ACCURACY documents and within 1 / ACCURACY of the rank beyond.
 
 Defined cases: a null text has no words and fails the base rules; null languages and sources are groups
@@ -166,13 +167,13 @@ def distance(x: list[Column]) -> Column:
     return sum((c * c for c in y[1:]), y[0] * y[0])
 
 
-def _join(rows: DataFrame, estimates: DataFrame, on: tuple[str, ...] = KEY) -> DataFrame:
-    """Few rows per group are joined; Catalyst broadcasts them while they are small, else AQE splits large groups."""
+def _join(rows: DataFrame, estimates: DataFrame, on: tuple[str, ...] = KEY, small: bool = False) -> DataFrame:
+    """Few rows per group are joined; they are broadcast if they are `small`, else AQE splits large groups."""
     e = estimates.select(*[F.col(c).alias(f"e_{c}") for c in on], *[c for c in estimates.columns if c not in on and c not in rows.columns])
     same = F.lit(True)
     for c in on:
         same = same & F.col(c).eqNullSafe(F.col(f"e_{c}"))
-    return rows.join(e, same).drop(*[f"e_{c}" for c in on])
+    return rows.join(F.broadcast(e) if small else e, same).drop(*[f"e_{c}" for c in on])
 
 
 def _quantile(c: Column, q: float) -> Column:
@@ -196,20 +197,22 @@ def _with_determinant(estimates: DataFrame) -> DataFrame:
     return estimates.withColumn("det", sum((2 * F.log(f"l_{i}_{i}") for i in range(1, len(VECTOR))), 2 * F.log("l_0_0")))
 
 
-def _concentrated(rows: DataFrame, estimates: DataFrame, share: float) -> DataFrame:
+def _concentrated(rows: DataFrame, estimates: DataFrame, share: float, small: bool) -> DataFrame:
     """One step: the `share` of each group's vectors nearest by each of its estimates gives a new one, of no larger determinant."""
     d = distance([F.col(x) for x in VECTOR])
-    near = _join(rows, estimates)
-    limits = cut_lineage(near.groupBy(*ROUND).agg(_quantile(d, share).alias("limit")))
-    return cut_lineage(_estimates(_join(near, limits, ROUND).where(d <= F.col("limit"))))
+    near = _join(rows, estimates, KEY, small)
+    carried = [F.first(c).alias(c) for c in estimates.columns if c not in ROUND]  # one value in each group
+    limits = store(near.groupBy(*ROUND).agg(_quantile(d, share).alias("limit"), *carried))
+    return _estimates(_join(rows, limits, KEY, small).where(d <= F.col("limit")))
 
 
 def fit(vectors: DataFrame, share: float = SHARE, starts: int = STARTS, first_steps: int = FIRST_STEPS) -> DataFrame:
     """(level, g_lang, g_source, n, m_i, l_i_j, det) from vectors with lang, source and lot: the least determinant found for each group."""
     p = len(VECTOR)
-    rows = cut_lineage(_keyed(vectors))
-    middle = cut_lineage(rows.groupBy(*KEY).agg(F.count("*").alias("n"), *[_quantile(F.col(x), 0.5).alias(f"m_{i}") for i, x in enumerate(VECTOR)]))
-    spread = _join(rows, middle).groupBy(*KEY, "n", *[f"m_{i}" for i in range(p)]).agg(
+    rows = store(_keyed(vectors))
+    middle = store(rows.groupBy(*KEY).agg(F.count("*").alias("n"), *[_quantile(F.col(x), 0.5).alias(f"m_{i}") for i, x in enumerate(VECTOR)]))
+    small = middle.count() * starts <= MOST_BROADCAST
+    spread = _join(rows, middle, KEY, small).groupBy(*KEY, "n", *[f"m_{i}" for i in range(p)]).agg(
         *[_quantile(F.abs(F.col(x) - F.col(f"m_{i}")), 0.5).alias(f"s_{i}") for i, x in enumerate(VECTOR)]
     )
     diagonal = [
@@ -217,23 +220,23 @@ def fit(vectors: DataFrame, share: float = SHARE, starts: int = STARTS, first_st
     ]
     medians = _with_determinant(spread.select(*KEY, F.lit(0).alias("start"), "n", *[f"m_{i}" for i in range(p)], *diagonal))
     # about SUBSET vectors for each of the other starts, by eight digits of the row's md5 sum
-    lots = _join(rows, middle.select(*KEY, "n")).withColumn("start", F.explode(F.sequence(F.lit(1), F.lit(starts - 1))))
+    lots = _join(rows, middle.select(*KEY, "n"), KEY, small).withColumn("start", F.explode(F.sequence(F.lit(1), F.lit(starts - 1))))
     number = F.conv(F.substr("lot", F.col("start") * 8 - 7, F.lit(8)), 16, 10).cast("bigint")
     drawn = lots.where(F.pmod(number, F.greatest(F.lit(1), F.floor(F.col("n") / SUBSET))) == 0)
-    estimates = cut_lineage(medians.unionByName(_estimates(drawn, 1.0)))
+    estimates = store(medians.unionByName(_estimates(drawn, 1.0)))
     for _ in range(first_steps):
-        estimates = _concentrated(rows, estimates, share)
+        estimates = store(_concentrated(rows, estimates, share, small))
     found = [c for c in estimates.columns if c not in KEY]
     best = estimates.groupBy(*KEY).agg(F.min_by(F.struct(*found), F.struct("det", "start")).alias("b"))
-    active, done = cut_lineage(best.select(*KEY, "b.*")), None
+    active, done = store(best.select(*KEY, "b.*")), None
     while not active.isEmpty():
-        after = _concentrated(rows, active, share)
-        both = _join(active.withColumnRenamed("det", "det_before"), after.select(*KEY, F.struct(*found).alias("after")))
-        falls = F.col("after.det") < F.col("det_before") - SETTLED
-        still = both.where(~falls).withColumnRenamed("det_before", "det").select(*KEY, *found)
+        after = _concentrated(rows, active, share, small).select(*KEY, F.struct(*found).alias("after"))
+        both = _join(active.withColumnRenamed("det", "det_before"), after, KEY, small)
+        both = store(both.withColumn("falls", F.col("after.det") < F.col("det_before") - SETTLED))
+        still = both.where(~F.col("falls")).withColumnRenamed("det_before", "det").select(*KEY, *found)
         done = still if done is None else done.unionByName(still)
-        active = cut_lineage(both.where(falls).select(*KEY, "after.*"))
-    return cut_lineage((active if done is None else done).drop("start"))
+        active = both.where("falls").select(*KEY, "after.*")
+    return store((active if done is None else done).drop("start"))
 
 
 def verdict(rows: DataFrame, estimates: DataFrame, least: int = LEAST, cutoff: float = CUTOFF) -> DataFrame:
