@@ -35,7 +35,6 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from weekwatch.llm.graph import components
 from weekwatch.llm.shared import store
 from weekwatch.llm.simhash import SEED, masks_of
-from weekwatch.session import cut_lineage
 
 WORDS, SIMILARITY, MISS = 5, 0.8, 0.02
 LONGS = 16  # of 64 bits
@@ -295,26 +294,31 @@ def _holds(similarity: float, words: int):
     return run
 
 
+def _with_links(links: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """Links (a, b), and one of each node to its root."""
+    return links if roots is None else links.unionByName(roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
+
+
 def linked(edges: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, words: int = WORDS) -> DataFrame | None:
     """(node, root) of the components of those edges (a, b, far) whose texts (id, text) are similar, or None without any."""
-    rest, passed, roots, width = cut_lineage(edges.select("a", "b", "far", F.col("a").alias("ca"), F.col("b").alias("cb"))), None, None, 1
+    rest, roots, width = store(edges.select("a", "b", "far", F.col("a").alias("ca"), F.col("b").alias("cb"))), None, 1
     # the rounds move the texts of candidates only
     texts = store(texts.join(rest.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi"))
     while not rest.isEmpty():
         ends = rest.select("*", F.explode(F.array("ca", "cb")).alias("c"))
         # Spark keeps `width` rows of a component in each task before it shuffles them
         nearest = F.row_number().over(W.partitionBy("c").orderBy("far", "a", "b"))
-        picks = cut_lineage(ends.withColumn("r", nearest).where(F.col("r") <= width).select("a", "b").distinct())
+        picks = ends.withColumn("r", nearest).where(F.col("r") <= width).select("a", "b").distinct()
         named = picks.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-        held = cut_lineage(named.select("a", "b", _holds(similarity, words)(F.col("ta"), F.col("tb")).alias("ok")).where("ok").select("a", "b"))
-        passed = held if passed is None else passed.unionByName(held)
-        rest = rest.join(picks, ["a", "b"], "left_anti")
+        tried = store(named.select("a", "b", _holds(similarity, words)(F.col("ta"), F.col("tb")).alias("ok")))
+        held = tried.where("ok").select("a", "b")
+        rest = rest.join(tried, ["a", "b"], "left_anti")
         if not held.isEmpty():
-            roots = cut_lineage(components(passed))
+            roots = components(_with_links(held, roots))
         if roots is not None:
             ra, rb = (roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in "ab")
             rest = rest.join(ra, "a", "left").join(rb, "b", "left").select("a", "b", "far", F.coalesce("ra", "a").alias("ca"), F.coalesce("rb", "b").alias("cb")).where("ca <> cb")
-        rest, width = cut_lineage(rest), width * 4
+        rest, width = store(rest), width * 4
     return roots
 
 
@@ -453,21 +457,21 @@ def completed(classes: DataFrame, texts: DataFrame, roots: DataFrame | None, sim
         ta, tb = texts.select(F.col("id").alias(a), F.col("text").alias("ta")), texts.select(F.col("id").alias(b), F.col("text").alias("tb"))
         return pairs.join(ta, a).join(tb, b).withColumn("j", _common(similarity, words)("ta", "tb")).select(*pairs.columns, "j.ok", "j.apart")
 
-    tried = cut_lineage(compared(asked, "id", "c"))
+    tried = store(compared(asked, "id", "c"))
     links = tried.where("ok").select(F.col("id").alias("a"), F.col("c").alias("b"))
     open_ = tried.where("not ok and c_size > 1").select("id", "c", "apart")
     if not open_.isEmpty():
-        reach = cut_lineage(compared(members.withColumnRenamed("root", "c"), "id", "c").select(F.col("id").alias("y"), F.col("c").alias("c_y"), F.col("apart").alias("reach")))
+        reach = store(compared(members.withColumnRenamed("root", "c"), "id", "c").select(F.col("id").alias("y"), F.col("c").alias("c_y"), F.col("apart").alias("reach")))
         y = found.select("token", F.col("id").alias("y"), F.col("root").alias("c_y"), F.col("n").alias("n_y"), F.col("pos").alias("pos_y")).join(reach, ["y", "c_y"])
         x = open_.join(found.select("id", "token", "n", "pos"), "id").withColumnRenamed("c", "c_y")
         near = _fit(F.col("n"), F.col("pos"), F.col("n_y"), F.col("n_y"), F.col("pos_y"), similarity) & (F.col("reach") >= F.col("apart") - (1 - similarity) - 1e-9)
         pairs = x.join(y, ["token", "c_y"]).groupBy("id", "n", "y", "n_y").agg(F.count("*").alias("shared"), F.bool_or(near).alias("near"))
         pairs = pairs.where(F.col("near") & _enough("shared", "n", "n_y", "n_y", similarity)).select("id", "y")
         links = links.unionByName(compared(pairs, "id", "y").where("ok").select(F.col("id").alias("a"), F.col("y").alias("b")))
-    links = cut_lineage(links)
+    links = store(links)
     if links.isEmpty():
         return roots
-    return components(links if roots is None else links.unionByName(roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    return components(_with_links(links, roots))
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, miss: float = MISS, bucket: int = BUCKET) -> DataFrame:
